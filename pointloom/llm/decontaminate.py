@@ -246,7 +246,7 @@ def find_passages(
 
 def covered(matches: str | F.Column) -> F.Column:
     """Number of words inside any of the matches."""
-    rows = F.array_sort(F.transform(matches, lambda m: F.struct(m["start"].alias("s"), m["end"].alias("e"))))
+    rows = F.sort_array(F.transform(matches, lambda m: F.struct(m["start"].alias("s"), m["end"].alias("e"))))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
     return F.aggregate(
         rows,
@@ -262,7 +262,7 @@ def covered(matches: str | F.Column) -> F.Column:
 def contamination(docs: DataFrame, bench: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_words, n_hit (words inside matches), n_items, items_sha256, contaminated, n_near_items."""
     found = find_passages(docs.select(id_col, text_col), bench, keep=[id_col], text_col=text_col)
-    items = F.array_sort(F.array_distinct(F.col("matches.item")))
+    items = F.sort_array(F.array_distinct(F.col("matches.item")))
     hit = found.withColumn("n_hit", covered("matches")).withColumn("items", items)
     return hit.select(
         id_col,
