@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import decontaminate, quality_rules, simhash
+from pointloom.llm import decontaminate, quality_rules, secrets, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,16 +19,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(_table(spark, sf_dir, "documents"))
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(_table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op3_url_filter": op3_url_filter,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": url_filter.sql(),
     "op8_quality_rules": quality_rules.sql(),
 }
