@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import decontaminate, licenses, pieces, quality_rules, secrets, simhash, url_filter
+from pointloom.llm import decontaminate, licenses, pieces, quality_model, quality_rules, secrets, simhash, token_files, url_filter
+from pointloom.llm.common import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +26,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -35,15 +42,22 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/pointloom-tokens-{uuid.uuid4().hex}"
+    return token_files.written_and_read(_table(spark, sf_dir, "documents"), path)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_quality_model": op2_quality_model,
     "op3_url_filter": op3_url_filter,
     "op4_licenses": op4_licenses,
     "op6_pieces": op6_pieces,
+    "op7_token_files": op7_token_files,
     "op8_quality_rules": op8_quality_rules,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
