@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import decontaminate, licenses, pieces, quality_model, quality_rules, secrets, simhash, token_files, url_filter
+from pointloom.llm import decontaminate, language_model, licenses, pieces, quality_model, quality_rules, secrets, simhash, token_files, url_filter
 from pointloom.llm.common import shared_dir
 
 
@@ -38,6 +38,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_digest(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op2_quality_model": op2_quality_model,
     "op3_url_filter": op3_url_filter,
     "op4_licenses": op4_licenses,
+    "op5_language_model": op5_language_model,
     "op6_pieces": op6_pieces,
     "op7_token_files": op7_token_files,
     "op8_quality_rules": op8_quality_rules,
