@@ -29,7 +29,7 @@ from pointloom.llm.common import fresh, text_chunks
 #: Ids of a block; ids after which a group of blocks is written.
 BLOCK = 2048
 GROUP = 1 << 22
-#: Words that a task's cache of encoded words holds before it begins anew.
+#: Words of a generation of a task's cache of encoded words; two generations are kept.
 CACHE = 1 << 18
 MAGIC = b"MIX1"
 _MOST_ID = 1 << 18
@@ -37,50 +37,55 @@ _MAGNITUDES = 11
 _LIMIT = 120
 _H1, _H2 = 1 << 10, 1 << 11
 _U = np.uint64
+#: What the byte of the order that was right grows by.
+_GAIN = np.array([3 << 16, 3 << 8, 3], np.int32)
 
 
 class _Model:
-    """The adaptive state of ``n`` blocks that are coded side by side."""
+    """The adaptive state of ``n`` blocks that are coded side by side.
+
+    Entries of the two tables are 4 * id + trust; weights hold three bytes: order-2 guess, order-1 guess, neither.
+    """
 
     def __init__(self, n: int):
-        self.row = np.arange(n)
-        self.guess1, self.guess2 = np.full(n * _H1, -1, np.int32), np.full(n * _H2, -1, np.int32)
-        self.trust1, self.trust2 = np.zeros(n * _H1, np.int8), np.zeros(n * _H2, np.int8)
-        self.weights = np.ones((3, n * 32), np.int32)  # of the order-2 guess, the order-1 guess, neither
+        row = np.arange(n)
+        self.row1, self.row2, self.row_w = row * _H1, row * _H2, row * 32
+        self.table1, self.table2 = np.full(n * _H1, -4, np.int32), np.full(n * _H2, -4, np.int32)
+        self.weights = np.full(n * 32, 0x10101, np.int32)
         self.sizes = np.ones((n, _MAGNITUDES), np.int32)
-        self.last = np.zeros(n, np.int64)
-        self.before = np.zeros(n, np.int64)
+        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
     def keep(self, n: int) -> None:
         """Only the first ``n`` blocks go on."""
-        self.row, self.last, self.before, self.sizes = self.row[:n], self.last[:n], self.before[:n], self.sizes[:n]
+        for name in ("row1", "row2", "row_w", "last", "before", "sizes"):
+            setattr(self, name, getattr(self, name)[:n])
 
     def predict(self) -> None:
-        self.at1 = self.row * _H1 + (self.last * 40503 >> 4 & _H1 - 1)
-        self.at2 = self.row * _H2 + (self.last * 40503 + self.before * 30011 >> 3 & _H2 - 1)
-        self.id1, self.id2 = self.guess1[self.at1], self.guess2[self.at2]
-        self.sure1, self.sure2 = self.trust1[self.at1], self.trust2[self.at2]
-        self.state = self.row * 32 + (self.sure2 * 4 + self.sure1 + 16 * (self.id1 == self.id2))
-        self.w2, self.w1, self.w0 = (w[self.state] for w in self.weights)
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray, magnitude: np.ndarray) -> None:
-        self.weights[kind, self.state] += 3
-        full = np.nonzero(self.w2 + self.w1 + self.w0 > _LIMIT - 4)[0]
-        if len(full):
-            at = self.state[full]
-            self.weights[:, at] = (self.weights[:, at] >> 1) | 1
-        other = np.nonzero(kind == 2)[0]
-        self.sizes[other, magnitude[other]] += 4
-        full = other[self.sizes[other].sum(axis=1) > _LIMIT - 4]
+        mixed = self.last * 40503
+        self.at1 = self.row1 + (mixed >> 4 & _H1 - 1)
+        self.at2 = self.row2 + (mixed + self.before * 30011 >> 3 & _H2 - 1)
+        self.e1, self.e2 = self.table1[self.at1], self.table2[self.at2]
+        self.id1, self.id2 = self.e1 >> 2, self.e2 >> 2
+        self.sure1, self.sure2 = self.e1 & 3, self.e2 & 3
+        self.state = self.row_w + (self.sure2 * 4 + self.sure1 + 16 * (self.id1 == self.id2))
+        self.w = self.weights[self.state]
+        self.w2, self.w1, self.w0 = self.w >> 16, self.w >> 8 & 255, self.w & 255
+        self.total = self.w2 + self.w1 + self.w0
+
+    def learn(self, ids: np.ndarray, kind: np.ndarray, rest: np.ndarray, magnitude: np.ndarray) -> None:
+        """``kind``: which order was right (0, 1, or 2 for neither, the blocks ``rest``, with their magnitudes)."""
+        w = self.w + _GAIN[kind]
+        self.weights[self.state] = np.where(self.total > _LIMIT - 4, (w >> 1 & 0x7F7F7F) | 0x10101, w)
+        self.sizes[rest, magnitude] += 4
+        full = rest[self.sizes[rest].sum(axis=1) > _LIMIT - 4]
         if len(full):
             self.sizes[full] = (self.sizes[full] >> 1) | 1
-        for at, guess, trust, was, sure in (
-            (self.at1, self.guess1, self.trust1, self.id1, self.sure1),
-            (self.at2, self.guess2, self.trust2, self.id2, self.sure2),
+        new = (ids << 2).astype(np.int32)
+        for table, at, e, was, sure in (
+            (self.table1, self.at1, self.e1, self.id1, self.sure1),
+            (self.table2, self.at2, self.e2, self.id2, self.sure2),
         ):
-            right = was == ids
-            trust[at] = np.where(right, np.minimum(sure + 1, 3), sure >> 1)
-            guess[at] = np.where(right | (sure > 1), was, ids)
+            table[at] = np.where(was == ids, e + (sure < 3), np.where(sure > 1, e - sure + 1, new))
         self.before, self.last = self.last, ids
 
 
@@ -103,13 +108,25 @@ def _narrow(low, span, start, size, total):
     return low + unit * start.astype(_U), unit * size.astype(_U)
 
 
-def _shifts(low, span):
-    """Which intervals must shift out a word, after the too small ones among them are cut at the next carry."""
-    same = (low ^ (low + span)) < _U(1 << 48)
-    tiny = ~same & (span < _U(1 << 32))
-    if tiny.any():
-        span[tiny] = (_U(0) - low[tiny]) & _U((1 << 32) - 1)
-    return np.nonzero(same | tiny)[0]
+def _shifts(low, span, move) -> None:
+    """Shifts words out of intervals until all are wide enough; ``move(at, words)`` gets those that go from ``at``.
+
+    An interval shifts when its leading words agree, or when it is too small; then it is cut at the next carry first.
+    """
+    at, lo, sp = None, low, span
+    while True:
+        same = (lo ^ (lo + sp)) < _U(1 << 48)
+        tiny = ~same & (sp < _U(1 << 32))
+        if tiny.any():
+            sp = np.where(tiny, (_U(0) - lo) & _U((1 << 32) - 1), sp)
+        k = np.nonzero(same | tiny)[0]
+        if not len(k):
+            return
+        at = k if at is None else at[k]
+        lo, sp = lo[k], sp[k]
+        move(at, lo >> _U(48))
+        lo, sp = lo << _U(16), sp << _U(16)
+        low[at], span[at] = lo, sp
 
 
 def _block_counts(n: int) -> np.ndarray:
@@ -132,8 +149,13 @@ def pack(ids: np.ndarray) -> bytes:
     low, span = np.zeros(blocks, _U), np.full(blocks, (1 << 64) - 1, _U)
     out = np.zeros((blocks, 2 * BLOCK + 8), np.uint16)
     used = np.zeros(blocks, np.int64)
+
+    def emit(at, words):
+        out[at, used[at]] = words
+        used[at] += 1
+
     for step, live in enumerate(_block_counts(n) if n else ()):
-        if live < len(model.row):
+        if live < len(model.last):
             model.keep(live)
         x = grid[step, :live]
         lo, sp = low[:live], span[:live]
@@ -142,25 +164,20 @@ def pack(ids: np.ndarray) -> bytes:
         kind = np.where(two, 0, np.where(x == model.id1, 1, 2))
         start = np.where(two, 0, np.where(kind == 1, model.w2, model.w2 + model.w1))
         size = np.where(two, model.w2, np.where(kind == 1, model.w1, model.w0))
-        lo, sp = _narrow(lo, sp, start, size, model.w2 + model.w1 + model.w0)
-        magnitude = np.zeros(live, np.int64)
-        rest = np.nonzero(kind == 2)[0]
+        lo, sp = _narrow(lo, sp, start, size, model.total)
+        rest, m = np.nonzero(kind == 2)[0], np.zeros(0, np.int64)
         if len(rest):
             y = x[rest]
-            m = magnitude[rest] = _magnitude(y)
+            m = _magnitude(y)
             counts = model.sizes[rest]
             ends, k = np.cumsum(counts, axis=1), np.arange(len(rest))
             mine = counts[k, m]
             a, b = _narrow(lo[rest], sp[rest], ends[k, m] - mine, mine, ends[:, -1])
             unit = b >> _bits(m).astype(_U)
             lo[rest], sp[rest] = a + unit * (y - _base(m)).astype(_U), unit
-        while len(at := _shifts(lo, sp)):
-            out[at, used[at]] = lo[at] >> _U(48)
-            used[at] += 1
-            lo[at] <<= _U(16)
-            sp[at] <<= _U(16)
+        _shifts(lo, sp, emit)
         low[:live], span[:live] = lo, sp
-        model.learn(x, kind, magnitude)
+        model.learn(x, kind, rest, m)
     for k in range(4):  # the rest of each interval's lower end
         out[np.arange(blocks), used] = low >> _U(48)
         used += 1
@@ -191,41 +208,40 @@ def unpack(data: bytes) -> np.ndarray:
     model = _Model(blocks)
     low, span = np.zeros(blocks, _U), np.full(blocks, (1 << 64) - 1, _U)
     grid = np.zeros((min(n, BLOCK), blocks), np.int64)
+
+    def feed(k, _):
+        code[k] = code[k] << _U(16) | words[np.minimum(at[k], len(words) - 1)]
+        at[k] += 1
+
     for step, live in enumerate(_block_counts(n)):
-        if live < len(model.row):
+        if live < len(model.last):
             model.keep(live)
         lo, sp, cd = low[:live], span[:live], code[:live]
         model.predict()
-        total = model.w2 + model.w1 + model.w0
+        total = model.total
         value = np.minimum((cd - lo) // (sp // total.astype(_U)), (total - 1).astype(_U)).astype(np.int64)
         kind = (value >= model.w2).astype(np.int64) + (value >= model.w2 + model.w1)
         start = np.where(kind == 0, 0, np.where(kind == 1, model.w2, model.w2 + model.w1))
         size = np.where(kind == 0, model.w2, np.where(kind == 1, model.w1, model.w0))
         lo, sp = _narrow(lo, sp, start, size, total)
         x = np.where(kind == 0, model.id2, model.id1).astype(np.int64)
-        magnitude = np.zeros(live, np.int64)
-        rest = np.nonzero(kind == 2)[0]
+        rest, m = np.nonzero(kind == 2)[0], np.zeros(0, np.int64)
         if len(rest):
             counts = model.sizes[rest]
             ends, k = np.cumsum(counts, axis=1), np.arange(len(rest))
             unit = sp[rest] // ends[:, -1].astype(_U)
             v = np.minimum((cd[rest] - lo[rest]) // unit, (ends[:, -1] - 1).astype(_U)).astype(np.int64)
-            m = magnitude[rest] = (ends <= v[:, None]).sum(axis=1)
-            m = np.minimum(m, _MAGNITUDES - 1)
+            m = np.minimum((ends <= v[:, None]).sum(axis=1), _MAGNITUDES - 1)
             mine = counts[k, m]
             a, b = _narrow(lo[rest], sp[rest], ends[k, m] - mine, mine, ends[:, -1])
             unit = b >> _bits(m).astype(_U)
             y = np.minimum((cd[rest] - a) // unit, (1 << _bits(m)).astype(_U) - _U(1)).astype(np.int64)
             lo[rest], sp[rest] = a + unit * y.astype(_U), unit
             x[rest] = y + _base(m)
-        while len(move := _shifts(lo, sp)):
-            lo[move] <<= _U(16)
-            sp[move] <<= _U(16)
-            cd[move] = cd[move] << _U(16) | words[np.minimum(at[move], len(words) - 1)]
-            at[move] += 1
+        _shifts(lo, sp, feed)
         low[:live], span[:live] = lo, sp
         grid[step, :live] = x
-        model.learn(x, kind, magnitude)
+        model.learn(x, kind, rest, m)
     ids = np.ascontiguousarray(grid.T).ravel()[:n] if n > BLOCK else grid[:, 0]
     raw = ids.astype("<u4")
     for k, want in enumerate(table[:, 1].tolist()):
@@ -243,14 +259,18 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
         """Little-endian 32-bit ids of each text and the end id."""
         end = np.array([end_id], "<u4").tobytes()
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = sorted({w for words in cut for w in words}.difference(self.cache))
+        if len(self.cache) > CACHE:  # what the last generation used may still be needed
+            self.cache, self.older = {}, self.cache
+        new = {w for words in cut for w in words}.difference(self.cache)
+        kept = new.intersection(self.older)
+        self.cache.update({w: self.older[w] for w in kept})
+        new = sorted(new - kept)
         for lo in range(0, len(new), 4096):
             part = new[lo : lo + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
