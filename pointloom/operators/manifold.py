@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.algebra import dot
+from pointloom.operators.lineage import cut
 
 #: Rows whose sums one partial of the covariance adds up before it is passed on, at most (bounded by a task's input).
 _BATCH = 8192
@@ -115,10 +116,10 @@ def knn(features: DataFrame, k: int, *, blocks: int = 8) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select("i", "rank", "j", F.sqrt("d2").alias("dist"))
 
 
-def approximate_knn(features: DataFrame, k: int, *, tables: int = 8, cut: int = 64, seed: int = 5, rounds: int = 2) -> DataFrame:
+def approximate_knn(features: DataFrame, k: int, *, tables: int = 8, together: int = 64, seed: int = 5, rounds: int = 2) -> DataFrame:
     """i, rank, j, dist: approximate neighbours.
 
-    Random projections order the rows; consecutive runs of ``cut`` rows are compared in full, in ``tables`` orders and
+    Random projections order the rows; consecutive runs of ``together`` rows are compared in full, in ``tables`` orders and
     at two offsets. Then neighbours of neighbours are tried ``rounds`` times.
     """
     width = features.select(F.max(F.size("features"))).first()[0] or 1
@@ -127,7 +128,7 @@ def approximate_knn(features: DataFrame, k: int, *, tables: int = 8, cut: int =
     n = max(1, features.count())
     projected = features.withColumn("axis", F.explode(axes)).select("row", "features", F.col("axis.t").alias("t"), dot(F.col("features"), F.col("axis.w")).alias("p"))
     share = F.percent_rank().over(Window.partitionBy("t").orderBy("p", "row"))
-    runs = projected.withColumn("at", share * n / cut)
+    runs = projected.withColumn("at", share * n / together)
     groups = runs.select("row", "features", "t", F.floor("at").cast("long").alias("run")).unionByName(runs.select("row", "features", (F.col("t") + tables).alias("t"), F.floor(F.col("at") + 0.5).cast("long").alias("run")))
     kind = features.schema["row"].dataType.simpleString()
 
@@ -143,7 +144,8 @@ def approximate_knn(features: DataFrame, k: int, *, tables: int = 8, cut: int =
         rank = F.row_number().over(Window.partitionBy("i").orderBy("d2", "j"))
         return pairs.dropDuplicates(["i", "j"]).withColumn("rank", rank).where(F.col("rank") <= k)
 
-    near = best(groups.groupBy("t", "run").applyInPandas(within, f"i {kind}, j {kind}, d2 double")).persist()
+    near = best(groups.groupBy("t", "run").applyInPandas(within, f"i {kind}, j {kind}, d2 double"))
+    near = cut(near)
     a = features.select(F.col("row").alias("i"), F.col("features").alias("fi"))
     b = features.select(F.col("row").alias("j"), F.col("features").alias("fj"))
     for _ in range(rounds):
@@ -151,7 +153,8 @@ def approximate_knn(features: DataFrame, k: int, *, tables: int = 8, cut: int =
         far = both.alias("p").join(both.alias("q"), F.col("p.j") == F.col("q.i")).select(F.col("p.i").alias("i"), F.col("q.j").alias("j")).where("i <> j").distinct()
         d = F.zip_with("fi", "fj", lambda x, y: (x - y) * (x - y))
         tried = far.join(a, "i").join(b, "j").select("i", "j", F.aggregate(d, F.lit(0.0), lambda s, v: s + v).alias("d2"))
-        near = best(near.select("i", "j", "d2").unionByName(tried)).persist()
+        near = best(near.select("i", "j", "d2").unionByName(tried))
+        near = cut(near)
     return near.select("i", "rank", "j", F.sqrt("d2").alias("dist"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointloom.operators.lineage import cut
+
 
 def bucketed(points: DataFrame, size: float, axes: Sequence[str] = ("x", "y")) -> DataFrame:
     """Points with the bucket number of each axis (``b_<axis>``)."""
@@ -78,8 +80,8 @@ def k_nearest(
         ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         if not last:
             full = ranked.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") == k).select("i")
-            ranked = ranked.join(full, "i", "left_semi").persist()  # the next rounds leave these anchors out
-            left = left.join(ranked.select(F.col("i").alias(id_col)).distinct(), id_col, "left_anti").persist()
+            ranked = cut(ranked.join(full, "i", "left_semi"))  # the next rounds leave these anchors out
+            left = cut(left.join(ranked.select(F.col("i").alias(id_col)).distinct(), id_col, "left_anti"))
         found = ranked if found is None else found.unionByName(ranked)
         if last or left.isEmpty():
             return found.select("i", "rank", "j", F.sqrt("d2").alias("dist"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from math import exp
 
 import pandas as pd
@@ -10,18 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.functions.rng import uniform
+from pointloom.operators.lineage import cut
 from pointloom.operators.neighbors import neighbour_join
 from pointloom.operators.raster import laplacian
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder; where the session names none, in a temporary one (a single machine)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="pointloom-"))
-    return df.checkpoint()
-
-
 def gray_scott_seed(grid: DataFrame, width: int, height: int) -> DataFrame:
     """u = 1 and v = 0, but for a square in the middle."""
     half = max(2, min(width, height) // 10)

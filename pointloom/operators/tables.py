@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pointloom.operators.lineage import cut
+
 
 def read_csv(spark, path: str) -> DataFrame:
     """Quoted CSV with a header, line breaks within quotes; all columns text."""
@@ -164,7 +166,8 @@ def ancestry(pedigree: DataFrame, of: int) -> DataFrame:
     seen, depth = front, 0
     while True:
         depth += 1
-        front = front.join(edges, "id").select(F.col("parent").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)).persist()
+        front = front.join(edges, "id").select(F.col("parent").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth))
+        front = cut(front)
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)

@@ -108,7 +108,7 @@ class Graph:
 
     def advance(self, ticks: int = 1, *, every: int = 4) -> None:
         """Ticks on: each delayed input becomes its node's value; long loops are cut by checkpoints."""
-        from pointloom.operators.simulate import cut
+        from pointloom.operators.lineage import cut
 
         for k in range(ticks):
             new = {d: self.pull(node) for d, (_, node) in self.delays.items()}
