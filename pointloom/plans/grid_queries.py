@@ -74,7 +74,7 @@ _algebra("g12_conjugate", ["a0", "-a1", "-a2", "-a3"], lambda a, b: A.conjugate(
 _algebra("g13_magnitude", ["sqrt(a0*a0+a1*a1+a2*a2+a3*a3)"], lambda a, b: F.array(A.magnitude(a)), 1)
 
 
-@query("g14_threshold", f"WITH {GRID} SELECT y, x, CASE WHEN v >= 2 THEN 1.0 ELSE 0.0 END AS v FROM grid")
+@query("g14_threshold", f"WITH {GRID} SELECT y, x, (CASE WHEN v >= 2 THEN 1.0 ELSE 0.0 END)::DOUBLE AS v FROM grid")
 def g14(spark, d):
     return R.threshold(_grid(spark, d), 2.0)
 

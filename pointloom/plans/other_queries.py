@@ -166,7 +166,7 @@ def g29(spark, d):
 # --- multiscale -------------------------------------------------------------------------------------------------
 
 
-@query("d1_compose_affine", f"SELECT p_partkey AS k, {r6('2*p_size+1', 4)} AS x, {r6('3*(p_retailprice-5)', 4)} AS y FROM part")
+@query("d1_compose_affine", f"SELECT p_partkey AS k, {r6('2*p_size+1', 4)}::DOUBLE AS x, {r6('3*(p_retailprice-5)', 4)} AS y FROM part")
 def d1(spark, d):
     lit = lambda *v: [F.lit(float(x)) for x in v]
     m = X.compose(lit(2, 0, 0, 3, 1, 0), lit(1, 0, 0, 1, 0, -5))
@@ -174,7 +174,7 @@ def d1(spark, d):
     return rounded(table(spark, d, "part").select(F.col("p_partkey").alias("k"), x.alias("x"), y.alias("y")), "x", "y", digits=4)
 
 
-@query("d2_micrometres", f"SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN p_size*1000.0 WHEN 1 THEN {r6('p_size*0.001')} END AS um FROM part")
+@query("d2_micrometres", f"SELECT p_partkey AS k, (CASE p_partkey % 3 WHEN 0 THEN p_size*1000.0 WHEN 1 THEN {r6('p_size*0.001')} END)::DOUBLE AS um FROM part")
 def d2(spark, d):
     unit = F.element_at(F.array(F.lit("Millimeter"), F.lit("nanometer"), F.lit("furlong")), (F.col("p_partkey") % 3 + 1).cast("int"))
     return rounded(table(spark, d, "part").select(F.col("p_partkey").alias("k"), X.to_micrometres(F.col("p_size").cast("double"), unit).alias("um")), "um")
@@ -336,7 +336,7 @@ def e1(spark, d):
     return rounded(table(spark, d, "part").select(k.alias("k"), new[0].alias("a"), new[1].alias("b")), "a", "b")
 
 
-@query("e1_marry", "SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 2.0 END AS a, CASE WHEN p_size % 4 < 2 THEN 3.0 ELSE 4.0 END AS b FROM part")
+@query("e1_marry", "SELECT p_partkey AS k, (CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 2.0 END)::DOUBLE AS a, (CASE WHEN p_size % 4 < 2 THEN 3.0 ELSE 4.0 END)::DOUBLE AS b FROM part")
 def e1m(spark, d):
     s = F.col("p_size")
     draw = F.array((s % 2).cast("double"), F.when(s % 4 < 2, 0.0).otherwise(1.0))
@@ -347,12 +347,12 @@ def e1m(spark, d):
 @query(
     "e3_ancestry",
     """WITH RECURSIVE p AS (SELECT p_partkey AS id, p_partkey // 3 AS a, p_partkey // 5 AS b FROM part), e AS (SELECT id, a AS parent FROM p WHERE a > 0 UNION SELECT id, b FROM p WHERE b > 0),
-    r AS (SELECT 1999::BIGINT AS id, 0 AS depth UNION SELECT parent, depth + 1 FROM r JOIN e USING (id)) SELECT id, min(depth)::INT AS depth FROM r GROUP BY 1""",
+    r AS (SELECT 199::BIGINT AS id, 0 AS depth UNION SELECT parent, depth + 1 FROM r JOIN e USING (id)) SELECT id, min(depth)::INT AS depth FROM r GROUP BY 1""",
 )
 def e3(spark, d):
     k = F.col("p_partkey")
     parents = F.array_distinct(F.filter(F.array(F.floor(k / 3), F.floor(k / 5)), lambda x: x > 0))
-    return B.ancestry(table(spark, d, "part").select(k.alias("id"), parents.alias("parents")), 1999)
+    return B.ancestry(table(spark, d, "part").select(k.alias("id"), parents.alias("parents")), 199)
 
 
 @query("e4_mulberry32")

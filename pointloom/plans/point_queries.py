@@ -90,7 +90,7 @@ def p6(spark, d):
 _BINNED = f"""WITH {PAIRS}, {TYPES}, p AS (SELECT *, least(floor(sqrt(d2)/10.0), 4)::INT AS bin FROM pairs WHERE d2 < 2500.0),
     q AS (SELECT *, {{ring}} AS ring FROM (SELECT *, bin*10.0 AS r0, (bin+1)*10.0 AS r1 FROM p)),
     s AS (SELECT ta, tb, bin, count(*) AS pairs, sum(CASE WHEN ring > 0 THEN 1/ring ELSE 0 END) AS w FROM q GROUP BY 1,2,3)
-    SELECT a.ta, a.tb, b.bin::INT AS bin, (b.bin+0.5)*10.0 AS r, coalesce(pairs, 0) AS pairs, {r6(f'coalesce(w, 0)/(na*nb/{A})', 5)} AS g
+    SELECT a.ta, a.tb, b.bin::INT AS bin, ((b.bin+0.5)*10.0)::DOUBLE AS r, coalesce(pairs, 0) AS pairs, {r6(f'coalesce(w, 0)/(na*nb/{A})', 5)} AS g
     FROM ax a CROSS JOIN range(5) b(bin) LEFT JOIN s ON a.ta = s.ta AND a.tb = s.tb AND b.bin = s.bin"""
 
 
