@@ -45,7 +45,7 @@ class Search:
 EXACT_4 = Search()
 #: Texts that share about 0.8 of their shingles differ in 15 % of the bits: 39 of 256 on average, with a deviation of 6.
 #: Fourteen runs of 18 bits with one difference each find 97 % of them, and texts without relation are 128 bits apart.
-SIMILAR = Search(words=4, budget=48, turns=14, run=18, run_budget=1, subtree=1 << 16)
+SIMILAR = Search(words=4, budget=48, turns=14, run=18, run_budget=1, subtree=1 << 18)
 
 
 def _mixed(h: np.ndarray, words: int) -> np.ndarray:
