@@ -280,3 +280,30 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, *, text_col: str = "tex
     names = tuple(fresh(docs.columns, x) for x in ("n_words__", "matches__", "near__"))
     found = find_passages(docs, bench, keep=docs.columns, text_col=text_col, names=names)
     return found.where(F.size(names[1]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: DuckDB SQL of ``contamination`` without the proximity count; ids are taken to be unique.
+SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {docs}),
+bw AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {bench} WHERE item_id IS NOT NULL AND text IS NOT NULL),
+wins AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[s+1:s+10], ' ') AS t
+         FROM (SELECT item, w, unnest(range(greatest(len(w) - 9, 1))) AS s FROM bw WHERE len(w) > 0)),
+word AS (SELECT doc_id, len(w) AS n_words, unnest(w) AS x, unnest(range(len(w))) AS p FROM dw),
+pos AS (SELECT doc_id, n_words, p, list_value(x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o,
+          lead(x, 5) OVER o, lead(x, 6) OVER o, lead(x, 7) OVER o, lead(x, 8) OVER o, lead(x, 9) OVER o) AS l
+        FROM word WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+cand AS (SELECT doc_id, p, n, array_to_string(l[1:n], ' ') AS t FROM pos, (SELECT DISTINCT n FROM wins) WHERE p + n <= n_words),
+hit AS (SELECT DISTINCT doc_id, p, n, item FROM cand JOIN wins USING (n, t)),
+cover AS (SELECT doc_id, count(DISTINCT p + k) AS n_hit FROM hit, range(10) r(k) WHERE k < n GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+          FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def sql(docs: str = "documents", bench: str = "benchmark") -> str:
+    return SQL.format(docs=docs, bench=bench)
