@@ -33,7 +33,8 @@ def space_words(text: bytes) -> list[bytes]:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; where the cluster names none, a temporary one (single-machine use)."""
     conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir") or spark.conf.get("pointloom.shared.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    path = path or spark.conf.get("pointloom.shared.dir", None)
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="pointloom-")
         spark.conf.set("pointloom.shared.dir", path)
