@@ -9,7 +9,9 @@ exceeded. It returns a spanning forest of its links, never all pairs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 from math import ceil, log2
 
 import numpy as np
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import fresh, map_texts, saved, space_words
+from pointloom.llm.common import byte_texts, fresh, map_texts, saved, space_words
 
 SEED = 42
 
@@ -30,7 +32,7 @@ class Search:
 
     ``turns`` tries begin ``run`` bits apart; within its first ``run`` bits a trie admits ``run_budget`` differences.
     With ``turns * (run_budget + 1) > budget`` no link is missed. ``subtree``: distinct fingerprints under one subtree
-    root, about; it sets how many top levels are laid out as groups.
+    root, about; it sets how many top levels are laid out as groups. ``stride``: bits between starts if not ``run``.
     """
 
     words: int = 1
@@ -39,13 +41,16 @@ class Search:
     run: int = 21
     run_budget: int = 1
     subtree: int = 4096
+    stride: int = 0
 
 
 #: All links at four of 64 bits.
 EXACT_4 = Search()
-#: Texts that share about 0.8 of their shingles differ in 15 % of the bits: 39 of 256 on average, with a deviation of 6.
-#: Fourteen runs of 18 bits with one difference each find 97 % of them, and texts without relation are 128 bits apart.
-SIMILAR = Search(words=4, budget=48, turns=14, run=18, run_budget=1, subtree=1 << 18)
+#: Candidates for a similarity of 0.8: such texts differ in 39 of 256 bits on average, with a deviation of 6, and texts
+#: without relation in 128. Runs of 20 bits begin every 9 bits and admit two differences each.
+SIMILAR = Search(words=4, budget=72, turns=28, run=20, run_budget=2, subtree=1 << 18, stride=9)
+#: Least share of common shingles (numerator, denominator) of texts that are near copies.
+LEAST_SIMILARITY = (4, 5)
 
 
 def _mixed(h: np.ndarray, words: int) -> np.ndarray:
@@ -66,12 +71,30 @@ def _column_sums(bits: np.ndarray) -> np.ndarray:
     return parts.sum(axis=0, dtype=np.int64) + bits[whole:].sum(axis=0, dtype=np.uint8)
 
 
-def fingerprints_of(texts: list[bytes], shingle: int = 4, words_out: int = 1, piece: int = 1 << 15) -> np.ndarray:
-    """A row of int64 words (the unsigned bits reinterpreted) for each text; 0 for texts without words."""
-    digest, seed = xxhash.xxh64_intdigest, SEED
+def shingle_hashes(text: bytes, shingle: int) -> list[int]:
+    """64-bit hashes of the word runs of a text, in order; the whole text if it is shorter, none without words."""
+    words = space_words(text)
+    if not words:
+        return []
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    n = max(1, len(words) - shingle + 1)
+    starts = [0, *(ends[: n - 1] + 1).tolist()]
+    stops = ends[-n:].tolist() if len(words) >= shingle else [len(line)]
+    return [xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, stops, strict=True)]
+
+
+def fingerprints_of(
+    texts: list[bytes], shingle: int = 4, words_out: int = 1, piece: int = 1 << 15, *, distinct: bool = False
+) -> np.ndarray:
+    """A row of int64 words (the unsigned bits reinterpreted) for each text; 0 for texts without words.
+
+    ``distinct``: repeated shingles vote once, and two more words hold a digest of the set of shingles.
+    """
     hashes: list[int] = []
     counts = np.zeros(len(texts), np.int64)
     votes = np.zeros((len(texts), 64 * words_out), np.int64)
+    digests = np.zeros((len(texts), 2), np.int64)
     firsts: list[int] = []  # text of each run of hashes not yet added up
     sizes: list[int] = []
 
@@ -85,35 +108,40 @@ def fingerprints_of(texts: list[bytes], shingle: int = 4, words_out: int = 1, pi
             hashes.clear(), firsts.clear(), sizes.clear()
 
     for k, text in enumerate(texts):
-        words = space_words(text)
-        if not words:
-            continue
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        n = max(1, len(words) - shingle + 1)
-        counts[k] = n
-        starts = [0, *(ends[: n - 1] + 1).tolist()]
-        stops = ends[-n:].tolist() if len(words) >= shingle else [len(line)]
-        for lo in range(0, n, piece):
-            run = [digest(line[a:b], seed) for a, b in zip(starts[lo : lo + piece], stops[lo : lo + piece], strict=True)]
+        found = shingle_hashes(text, shingle)
+        if distinct and found:
+            found = sorted(set(found))
+            digests[k] = np.frombuffer(xxhash.xxh128_digest(np.array(found, np.uint64).tobytes()), np.int64)
+        counts[k] = len(found)
+        for lo in range(0, len(found), piece):
+            run = found[lo : lo + piece]
             hashes += run
             firsts.append(k)
             sizes.append(len(run))
             if len(hashes) >= piece:
                 add_up()
     add_up()
-    return np.packbits(2 * votes > counts[:, None], axis=1).view(">u8").astype(np.uint64).view(np.int64)
+    prints = np.packbits(2 * votes > counts[:, None], axis=1).view(">u8").astype(np.uint64).view(np.int64)
+    return np.concatenate([prints, digests], axis=1) if distinct else prints
 
 
 def with_fingerprint(
-    docs: DataFrame, *, keep: list[str], text_col: str = "text", name: str = "fp", shingle: int = 4, words: int = 1
+    docs: DataFrame,
+    *,
+    keep: list[str],
+    text_col: str = "text",
+    name: str = "fp",
+    shingle: int = 4,
+    words: int = 1,
+    distinct: bool = False,
 ) -> DataFrame:
-    """Columns ``keep`` and the fingerprint of each text (array of ``words`` longs)."""
+    """Columns ``keep`` and the fingerprint of each text (array of ``words`` longs, and two if ``distinct``)."""
+    width = words + 2 * distinct
 
     def start():
         def work(texts):
-            flat = fingerprints_of(texts, shingle, words).ravel()
-            return [pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, words), pa.int32()), pa.array(flat))]
+            flat = fingerprints_of(texts, shingle, words, distinct=distinct).ravel()
+            return [pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, width), pa.int32()), pa.array(flat))]
 
         return work
 
@@ -149,6 +177,7 @@ def trie_links(
     depth: int,
     search: Search = EXACT_4,
     whole: np.ndarray | None = None,
+    label: np.ndarray | None = None,
     *,
     step: int = 2,
     leaf: int = 64,
@@ -158,8 +187,9 @@ def trie_links(
 
     ``values`` are the sorted leading words of both subtrees, whose roots lie at ``depth`` bits, ``whole`` the
     fingerprints if they are longer; ``left`` and ``right`` are the bounds of each subtree. The pairs of a block are expanded before the next block's, so the frontier
-    in memory is a block and its children a level.
+    in memory is a block and its children a level. With ``label`` all links between different labels are returned.
     """
+    every: list[np.ndarray] = []
     parent = np.arange(len(values))
     lo, hi = left
     lo2, hi2 = left if right is None else right
@@ -173,7 +203,7 @@ def trie_links(
             stack.append((depth, pairs[block:]))
             pairs = pairs[:block]
         done = ((pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]) <= leaf) | (depth >= 64)
-        _compare(values[:, None] if whole is None else whole, pairs[done], parent, search.budget)
+        _compare(values[:, None] if whole is None else whole, pairs[done], parent, search.budget, label, every)
         pairs = pairs[~done]
         if not len(pairs):
             continue
@@ -187,13 +217,16 @@ def trie_links(
         ok &= ~same | (np.arange(1 << step)[:, None] <= np.arange(1 << step)[None, :])
         k, x, y = np.nonzero(ok)
         stack.append((depth + step, np.stack([a[k, x], a[k, x + 1], b[k, y], b[k, y + 1], bits[k, x, y]], axis=1)))
+    if label is not None:
+        found = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *every]), axis=0)
+        return found[:, 0], found[:, 1]
     _unite(parent, np.arange(len(values)), parent.copy())
     linked = np.nonzero(parent != np.arange(len(values)))[0]
     return linked, parent[linked]
 
 
-def _compare(values, pairs, parent, budget, piece: int = 1 << 20) -> None:
-    """Compares all fingerprints under each pair of nodes."""
+def _compare(values, pairs, parent, budget, label, every, piece: int = 1 << 20) -> None:
+    """Compares all fingerprints under each pair of nodes; with ``label`` links go to ``every``."""
     na, nb = pairs[:, 1] - pairs[:, 0], pairs[:, 3] - pairs[:, 2]
     work = np.cumsum(na * nb)
     done = 0
@@ -205,30 +238,35 @@ def _compare(values, pairs, parent, budget, piece: int = 1 << 20) -> None:
         i, j = p[owner, 0] + place // m[owner], p[owner, 2] + place % m[owner]
         apart = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in values.T)
         ok = (apart <= budget) & (i != j)
-        _unite(parent, i[ok], j[ok])
+        if label is None:
+            _unite(parent, i[ok], j[ok])
+        else:
+            i, j = i[ok], j[ok]
+            other = label[i] != label[j]
+            every.append(np.stack([np.maximum(i, j)[other], np.minimum(i, j)[other]], axis=1))
 
 
 def links(fps: DataFrame, search: Search = EXACT_4) -> DataFrame:
     """Links (u, v) of nodes that connect what the search links.
 
     ``fps``: node (long) and fp (array of longs), each fingerprint once. Each group of the top levels' subtree pairs
-    yields at most one link for each of its members.
+    yields at most one link for each of its members. If there is a column ``label``, all pairs within the budget whose
+    labels differ are returned instead (some of them more than once).
     """
     depth = min(search.run - 1, max(0, ceil(log2(max(1, fps.count()) / search.subtree))))
-    masks = [m for m in range(1 << depth) if m.bit_count() <= search.run_budget] if depth <= 12 else None
-    if masks is None:
-        masks = [0, *(1 << k for k in range(depth))]  # run_budget is 1 in both searches above
+    masks = [sum(1 << x for x in at) for k in range(search.run_budget + 1) for at in combinations(range(depth), k)]
     turns = []
     for k in range(search.turns):
-        word, bit = divmod(k * search.run, 64)
+        word, bit = divmod(k * (search.stride or search.run) % (64 * search.words), 64)
         x = F.col("fp")[word]
         if bit:
             x = F.shiftleft(x, bit).bitwiseOR(F.shiftrightunsigned(F.col("fp")[(word + 1) % search.words], 64 - bit))
         turns.append(F.struct(F.lit(k).alias("turn"), x.alias("x")))
-    long = [F.col("fp")] if search.words > 1 else []
+    long = [F.slice("fp", 1, search.words).alias("fp")] if search.words > 1 else []
+    label = ["label"] if "label" in fps.columns else []
     root = F.shiftrightunsigned("x", 64 - depth) if depth else F.lit(0).cast("long")
     # a pair of subtrees is named by its smaller root and the bits between both; each member goes to all of its pairs
-    rows = fps.select("node", *long, F.inline(F.array(*turns))).withColumn("root", root)
+    rows = fps.select("node", *long, *label, F.inline(F.array(*turns))).withColumn("root", root)
     rows = rows.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
     low = F.least("root", F.col("root").bitwiseXOR(F.col("mask"))).alias("low")
 
@@ -240,10 +278,12 @@ def links(fps: DataFrame, search: Search = EXACT_4) -> DataFrame:
         cut, n = len(values), len(values)
         if key[2]:  # two subtrees
             cut = int(np.searchsorted(values >> np.uint64(64 - depth), np.uint64(int(key[1])), "right"))
-        u, v = trie_links(values, (0, cut), (cut, n) if key[2] else None, depth, search, whole)
+        of = pdf["label"].to_numpy()[order] if label else None
+        u, v = trie_links(values, (0, cut), (cut, n) if key[2] else None, depth, search, whole, of)
         return pd.DataFrame({"u": node[u], "v": node[v]})
 
-    return rows.select("turn", low, "mask", "x", "node", *long).groupBy("turn", "low", "mask").applyInPandas(walk, "u long, v long")
+    long = ["fp"] if long else []
+    return rows.select("turn", low, "mask", "x", "node", *long, *label).groupBy("turn", "low", "mask").applyInPandas(walk, "u long, v long")
 
 
 def components(pairs: DataFrame, *, most: int = 60) -> DataFrame:
@@ -311,6 +351,47 @@ def _classes_of(marked: DataFrame, fp: str, id_col: str, search: Search, compone
     return saved(rooted.join(ids, "root").select(F.col("fp").alias(fp), F.col("id").alias(component)), "classes")
 
 
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (u, v) whose texts (node, text) share ``LEAST_SIMILARITY`` of their distinct shingles or more."""
+    ends = [texts.select(F.col("node").alias(x), F.col("text").alias("text_" + x)) for x in ("u", "v")]
+    both = pairs.select("u", "v").join(ends[0], "u").join(ends[1], "v").select("u", "v", "text_u", "text_v")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for a, b in zip(*[byte_texts(batch.column(x)) for x in ("text_u", "text_v")], strict=True):
+                a, b = set(shingle_hashes(a, shingle)), set(shingle_hashes(b, shingle))
+                ok.append(LEAST_SIMILARITY[1] * len(a & b) >= LEAST_SIMILARITY[0] * len(a | b))
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(work, "u long, v long")
+
+
+def _similar_classes(
+    marked: DataFrame, fp: str, row: str, text_col: str, shingle: int, search: Search, component: str
+) -> DataFrame:
+    """(fp, component): the smallest row that is reached from a fingerprint by confirmed links.
+
+    First the links of the spanning forests are confirmed; then all pairs of fingerprints that these leave apart.
+    """
+    fps = marked.groupBy(F.col(f"`{fp}`").alias("fp")).agg(F.min(F.col(f"`{row}`")).alias("least"))
+    fps = saved(fps.withColumn("node", F.monotonically_increasing_id()), "fps")
+    forest = saved(links(fps, search).distinct(), "forest")
+    nodes = forest.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    near = saved(fps.join(nodes, "node"), "near")
+    source = marked.select(F.col(f"`{row}`").alias("least"), F.col(f"`{text_col}`").alias("text"))
+    texts = saved(near.select("node", "least").join(source, "least").select("node", "text"), "texts")
+    sure = saved(confirmed(forest, texts, shingle), "sure")
+    label = F.coalesce("root", "node").alias("label")
+    apart = saved(near.join(components(sure), "node", "left").select("node", "fp", label), "apart")
+    more = saved(confirmed(saved(links(apart, search).distinct(), "pairs"), texts, shingle), "more")
+    roots = components(sure.unionByName(more))
+    rooted = fps.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
+    rooted = saved(rooted, "rooted")
+    ids = saved(rooted.groupBy("root").agg(F.min("least").alias("id")), "ids")
+    return saved(rooted.join(ids, "root").select(F.col("fp").alias(fp), F.col("id").alias(component)), "classes")
+
+
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: fingerprint (16 hex digits) and component_id."""
     found = near_duplicates(docs.select(id_col, text_col), keep=[id_col], id_col=id_col, text_col=text_col)
@@ -322,14 +403,15 @@ def keep_one(
 ) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest id (no id comes last), columns unchanged.
 
-    All rows without words are copies of one another. Of rows with the same id any one stays.
+    Near-duplicates share ``LEAST_SIMILARITY`` of their distinct shingles or more, or are linked by such texts. All rows
+    without words are copies of one another. Of rows with the same id any one stays.
     """
     row, fp, component = (fresh(docs.columns, x) for x in ("row__", "fp__", "component__"))
     marked = with_fingerprint(
-        docs, keep=docs.columns, text_col=text_col, name=fp, shingle=shingle, words=search.words
+        docs, keep=docs.columns, text_col=text_col, name=fp, shingle=shingle, words=search.words, distinct=True
     )
     marked = saved(marked.withColumn(row, F.monotonically_increasing_id()), "rows")
-    of_fp = _classes_of(marked, fp, row, search, component)
+    of_fp = _similar_classes(marked, fp, row, text_col, shingle, search, component)
     rank = F.struct(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.col(row).alias("row"))
     best = saved(marked.select(fp, rank.alias("rank")).groupBy(fp).agg(F.min("rank").alias("rank")), "best")
     best = saved(best.join(of_fp, fp).groupBy(component).agg(F.min("rank").alias("rank")), "kept")

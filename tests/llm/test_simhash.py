@@ -93,3 +93,18 @@ def test_keep_one_leaves_one_of_each_group_and_the_columns(spark):
     left = keep_one(docs)
     assert left.columns == docs.columns
     assert sorted(r.doc_id for r in left.collect()) == sorted([50, *(i for i, _ in clean[1:])])
+
+
+def test_keep_one_decides_by_the_shingle_sets(spark):
+    rng = np.random.default_rng(3)
+    rows, gone = [], set()
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 104)]
+        size = 84 if k % 2 else 83  # 80 or 79 of 100 shingles
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:size]))]
+        gone |= {2 * k + 1} if k % 2 else set()
+    long = [f"v{x}" for x in rng.integers(0, 10**9, 1000)]
+    line = [f"line{x}" for x in range(8)]
+    rows += [(1000, " ".join(long)), (1001, " ".join(long[:500] + line * 31 + long[500:]))]
+    left = {r.doc_id for r in keep_one(table(spark, rows)).collect()}
+    assert left == {i for i, _ in rows} - gone - {1001}
