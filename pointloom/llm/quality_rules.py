@@ -97,6 +97,12 @@ def line_fails(line: Column) -> Column:
     )
 
 
+def cleaned(text: Column) -> Column:
+    r"""The text without the ``\n``-split lines that fail; unchanged if none does."""
+    fails = lambda x: x.rlike(r"[^\x20\x09-\x0D]") & line_fails(x)
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~fails(x)), "\n")
+
+
 def measures(docs: DataFrame, *, keep: Sequence[str], text_col: str = "text", prefix: str = "") -> DataFrame:
     """Columns ``keep`` and the figures and verdicts of each text; ``prefix`` names them apart from other columns.
 
@@ -134,10 +140,12 @@ def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def keep_good(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The documents that the rules keep, their columns unchanged."""
+    """The documents that the rules keep, without their failing lines; the other columns are unchanged."""
     prefix = fresh([c[: len("q__")] for c in docs.columns], "q__")
     found = measures(docs, keep=docs.columns, text_col=text_col, prefix=prefix)
-    return found.where(F.col(prefix + "kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.col(f"`{text_col}`")
+    left = F.when(F.col(prefix + "lost_chars") > 0, cleaned(text)).otherwise(text).alias(text_col)
+    return found.where(F.col(prefix + "kept")).select(*[left if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 #: DuckDB SQL of ``judged`` over ``{docs}``; doc_id is taken to be unique.

@@ -77,3 +77,12 @@ def test_equals_sql(spark, docs):
 
 def test_empty_table(docs):
     assert judged(docs.limit(0)).count() == 0
+
+
+def test_failing_lines_are_removed(spark):
+    good = [f"good{k} line{k} with{k} words{k}." for k in range(9)]
+    mixed = ["Sign in", *good[:4], "", "home | menu | search | help", *good[4:], "We use cookies", ""]
+    plain = "\n" + "\n \n".join(good) + "\r\n\n"
+    docs = spark.createDataFrame([(1, "\n".join(mixed), "a"), (2, plain, "b")], "doc_id long, text string, source string")
+    left = {r.doc_id: r.text for r in keep_good(docs).collect()}
+    assert left == {1: "\n".join([*good[:4], "", *good[4:], ""]), 2: plain}
