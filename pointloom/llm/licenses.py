@@ -1,7 +1,7 @@
 """License scans with a positional index of rare template words.
 
-The highest-IDF words of each license notice are indexed with their positions. Each file looks up its own highest-IDF
-license words; every posting votes for the offset of its template in the file, and postings that agree on the offset
+The highest-IDF words of each license notice are indexed with their positions. Each file looks up every
+indexed word it holds; every posting votes for the offset of its template in the file, and postings that agree on the offset
 are the intersection by relative position. A template with enough votes is reported if its key phrase stands in the
 file. Document frequencies are counted over all documents; the rest is SQL expressions over one document.
 """
@@ -43,8 +43,7 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
     ("all-rights-reserved", "all rights reserved", "all rights reserved"),
 )
-#: Words of a file that are looked up; words of a template that are indexed, at most; least share of votes.
-LOOKUPS = 12
+#: Words of a template that are indexed, at most; least share of votes.
 INDEXED = 6
 LEAST_SHARE = 0.5
 
@@ -74,8 +73,8 @@ def document_frequency(docs: DataFrame, text_col: str = "text") -> tuple[dict[st
     return {w: found.get(w, 0) for w in vocabulary}, found.get("", 0)
 
 
-def _index(df: dict[str, int], n: int) -> tuple[dict[str, float], dict[str, list[tuple[int, int]]], list[int]]:
-    """IDF of the indexed words, their postings (template, position) and the number of postings of each template."""
+def _index(df: dict[str, int], n: int) -> tuple[dict[str, list[tuple[int, int]]], list[int]]:
+    """Postings (template, position) of the indexed words and the number of postings of each template."""
     idf = {w: log((n + 1) / (c + 1)) for w, c in df.items()}
     postings: dict[str, list[tuple[int, int]]] = {}
     sizes = []
@@ -87,7 +86,7 @@ def _index(df: dict[str, int], n: int) -> tuple[dict[str, float], dict[str, list
         for w, p in at:
             postings.setdefault(w, []).append((t, p))
         sizes.append(len(at))
-    return {w: idf[w] for w in postings}, postings, sizes
+    return postings, sizes
 
 
 def _n_spaces(text: Column) -> Column:
@@ -128,7 +127,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     score: 1 with a plain phrase, else the largest share of a verified template's indexed words that agree on one
     offset; 0 with no license. A null text has no words.
     """
-    idf, postings, sizes = _index(*document_frequency(docs, text_col))
+    postings, sizes = _index(*document_frequency(docs, text_col))
     index = F.create_map(
         *[
             x
@@ -136,22 +135,19 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in at]))
         ]
     )
-    weight = F.create_map(*[x for w, v in idf.items() for x in (F.lit(w), F.lit(v))])
     names = [fresh([id_col], x) for x in ("words", "line", "places", "best")]
     words, line, places, best = names
     df = docs.select(F.col(f"`{id_col}`"), license_words(F.col(f"`{text_col}`")).alias(words))
     df = df.withColumn(line, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))
 
-    def votes(top: Column) -> Column:
-        at = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(top, x["w"]))
+    def votes(known: Column) -> Column:
+        at = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(known, x["w"]))
         voted = F.transform(
             at, lambda x: F.transform(index[x["w"]], lambda y: F.struct(y["t"].alias("t"), (x["i"] - y["p"]).alias("off")))
         )
         return F.sort_array(F.flatten(voted))
 
     held = F.array_intersect(F.col(words), F.array(*map(F.lit, postings)))
-    ranked = F.sort_array(F.transform(held, lambda w: F.struct((-weight[w]).alias("idf"), w.alias("w"))))
-    top = F.transform(F.slice(ranked, 1, LOOKUPS), lambda x: x["w"])
 
     def shares(runs: Column) -> Column:
         most = lambda t: F.array_max(F.transform(F.filter(runs, lambda r: r["t"] == t), lambda r: r["n"]))
@@ -163,7 +159,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             out.append(F.struct(share.alias("score"), F.lit(label).alias("label")))
         return F.filter(F.array(*out), lambda x: x["score"] >= LEAST_SHARE)
 
-    found = _once(_once(top, votes), lambda v: _once(_runs(v), shares))
+    found = _once(_once(held, votes), lambda v: _once(_runs(v), shares))
     none = F.array().cast("array<struct<score:double,label:string>>")
     n = F.size(words)
     df = df.withColumns(

@@ -56,3 +56,10 @@ def test_native(got, capsys):
 
 def test_empty_table(spark):
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_notice_of_a_file_is_found(spark):
+    plain = [(k, f"plain{k} text of the work") for k in range(20)]
+    docs = spark.createDataFrame([*plain, (100, " . ".join(n for _, n, _ in TEMPLATES))], "doc_id long, text string")
+    labels = {r.doc_id: r.labels for r in scan_licenses(docs).collect()}
+    assert labels[100] == ",".join(sorted({x for x, _, _ in TEMPLATES}))
