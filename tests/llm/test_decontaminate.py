@@ -11,6 +11,25 @@ def words(text):
     return WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
 
+def brute_near(docs, bench, span=20):
+    """Items by document whose three rarest words stand near the rarest, without those that match exactly."""
+    from collections import Counter
+
+    items = [(str(i), words(t)) for i, t in dict.fromkeys(bench) if i is not None and words(t)]
+    counts = Counter(w for _, t in docs for w in words(t))
+    out = {}
+    for doc_id, text in docs:
+        w, n_near = words(text), 0
+        for _, item in items:
+            rare = sorted(set(item), key=lambda x: (counts[x], x.encode()))[:3]
+            size = min(10, len(item))
+            exact = any(w[p : p + size] == item[s : s + size] for s in range(len(item) - size + 1) for p in range(len(w) - size + 1))
+            at = [[p for p, x in enumerate(w) if x == r] for r in rare]
+            n_near += len(rare) == 3 and not exact and any(all(any(abs(p - o) <= span for o in other) for other in at[1:]) for p in at[0])
+        out[doc_id] = n_near
+    return out
+
+
 def brute(docs, bench):
     items = {(str(i), tuple(w)) for i, t in bench if i is not None and (w := words(t))}
     out = []
@@ -87,3 +106,30 @@ def test_common_words_only(spark):
     docs = [(k, "the " * 3000) for k in range(3)]
     got = rows(contamination(table(spark, docs), spark.createDataFrame([(9, "the " * 30)], "item_id long, text string")))
     assert [r[1:4] for r in got] == [(3000, 3000, 1)] * 3
+
+
+def test_proximity_equals_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    vocabulary = [f"t{k}" for k in range(40)] + ["aaa", "bbb", "ccc"]
+    bench = [(k, " ".join(rng.sample(vocabulary, 6))) for k in range(30)] + [(99, "aaa bbb ccc")]
+    docs = [(k, " ".join(rng.choices(vocabulary[:40], k=rng.randint(0, 120)))) for k in range(60)]
+    docs += [(100, "ccc bbb " + "x " * 500 + "ccc aaa"), (101, "aaa " + "x " * 19 + "bbb ccc"), (102, "bbb aaa ccc")]
+    got = {r.doc_id: r.n_near_items for r in contamination(table(spark, docs), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == brute_near(docs, bench)
+    assert (got[100], got[102]) == (0, 1)
+
+
+def test_query_equals_sql(spark):
+    import duckdb
+
+    from pointloom.llm.queries import ORACLE_SQL, QUERIES
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf}/{name}.parquet')")
+    want = con.sql(ORACLE_SQL["op9_decontaminate"])
+    got = QUERIES["op9_decontaminate"](spark, sf)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(tuple(r) for r in got.select(want.columns).collect()) == sorted(want.fetchall())
