@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +32,14 @@ def space_words(text: bytes) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; where the cluster names none, a temporary one (single-machine use)."""
+    """The folder all executors share (``spark.checkpoint.dir``). A session on one machine may go without and gets a
+    temporary one; on a cluster its absence is an error, as executors would write to their own disks."""
     conf = spark.sparkContext.getConf()
     path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     path = path or spark.conf.get("pointloom.shared.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="pointloom-")
         spark.conf.set("pointloom.shared.dir", path)
     return path
@@ -49,6 +53,15 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``saved`` wrote; for tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(taken: Iterable[str], name: str) -> str:
     """``name``, or with underscores added until no taken column is called so (case does not count)."""
     low = {c.lower() for c in taken}
@@ -57,6 +70,42 @@ def fresh(taken: Iterable[str], name: str) -> str:
     return name
 
 
+class Generations:
+    """A dictionary that forgets: when it is full it becomes the older one, from which what is still used is kept."""
+
+    def __init__(self, size: int):
+        self.size, self.now, self.older = size, {}, {}
+
+    def turn(self) -> None:
+        if len(self.now) > self.size:
+            self.now, self.older = {}, self.now
+
+    def missing(self, keys: set) -> list:
+        """The keys that neither generation has, sorted; those of the older one move to the new one."""
+        kept = keys.intersection(self.older)
+        self.now.update({k: self.older[k] for k in kept})
+        return sorted(keys - kept)
+
+
+def spread(table: Sequence[bytes], order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit integers of the table's entries in this order, one after the other, and where each entry ends."""
+    sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+    first, count = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    ends = np.cumsum(count)
+    place = np.repeat(first - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+    return np.frombuffer(b"".join(table), "<u4")[place], ends
+
+
+def strings(texts: pa.Array) -> pa.Array:
+    """Null as the empty text, broken UTF-8 as replacement marks."""
+    texts = texts.cast(pa.string()).fill_null("")
+    try:
+        texts.validate(full=True)
+    except pa.ArrowInvalid:
+        texts = pa.array([t.decode("utf-8", "replace") for t in texts.cast(pa.binary()).to_pylist()], pa.string())
+    return texts
+
+
 def lower_az(text: Column) -> Column:
     """Only A–Z lower-cased."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -73,10 +122,10 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(kind).to_pylist()]
 
 
-def text_chunks(
-    batches: Iterator[pa.RecordBatch], column: str, limit: int
-) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches whose texts sum to about ``limit`` bytes (one text at least), with those texts."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose texts sum to about ``limit`` bytes (one text at least)."""
+    import pyarrow.compute  # noqa: F401
+
     for batch in batches:
         at, n = 0, batch.num_rows
         sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
@@ -85,11 +134,18 @@ def text_chunks(
             while end < n and (end == at or total + sizes[end] <= limit):
                 total += sizes[end]
                 end += 1
-            part = batch.slice(at, end - at)
-            yield part, byte_texts(part.column(column))
+            yield batch.slice(at, end - at)
             at = end
 
 
+def text_chunks(
+    batches: Iterator[pa.RecordBatch], column: str, limit: int
+) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """The same slices, with their texts."""
+    for part in slices(batches, column, limit):
+        yield part, byte_texts(part.column(column))
+
+
 def _text_as(text_col: str, name: str, keep: Sequence[str]) -> list[Column]:
     return [] if text_col in keep else [F.col(f"`{text_col}`").alias(name)]
 

@@ -1,282 +1,121 @@
 """Token ids in compressed binary files: an adaptive mixing range coder over independently reset, checksummed blocks.
 
 Documents are put in id order by a range exchange; each partition becomes a shard. A shard's ids, documents one after
-the other, are cut into blocks of ``BLOCK`` ids. Every block has models of its own: an order-2 and an order-1 table
-predict the next id, an order-0 model knows how often ids of each magnitude came. How much an order is believed is
-itself counted, for each pair of the tables' confidences; these mixed weights drive the arithmetic coder. As blocks
-know nothing of each other, all blocks of a group are coded together, one numpy operation a step for all of them, and
-a damaged block costs only itself.
-
-A group's bytes: ``MIX1``, ids, block size and blocks (32-bit little-endian each); length and CRC-32 of the ids (as
-32-bit little-endian) of every block; then the blocks' code, 16-bit words. Spark writes the groups as rows of Parquet
+the other, are cut into groups, which the coder of ``range_coder`` packs. Spark writes the groups as rows of Parquet
 files, so that any file system it knows will do and a lost task leaves no half file.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointloom.llm.common import fresh, text_chunks
+from pointloom.llm.common import Generations, fresh, slices, spread, strings
+from pointloom.llm.range_coder import pack, unpack
 
-#: Ids of a block; ids after which a group of blocks is written.
-BLOCK = 2048
+#: Ids after which a group is written; a longer document's ids are packed in parts of about as many.
 GROUP = 1 << 22
-#: Words of a generation of a task's cache of encoded words; two generations are kept.
-CACHE = 1 << 18
-MAGIC = b"MIX1"
-_MOST_ID = 1 << 18
-_MAGNITUDES = 11
-_LIMIT = 120
-_H1, _H2 = 1 << 10, 1 << 11
-_U = np.uint64
-#: What the byte of the order that was right grows by.
-_GAIN = np.array([3 << 16, 3 << 8, 3], np.int32)
-
-
-class _Model:
-    """The adaptive state of ``n`` blocks that are coded side by side.
-
-    Entries of the two tables are 4 * id + trust; weights hold three bytes: order-2 guess, order-1 guess, neither.
-    """
-
-    def __init__(self, n: int):
-        row = np.arange(n)
-        self.row1, self.row2, self.row_w = row * _H1, row * _H2, row * 32
-        self.table1, self.table2 = np.full(n * _H1, -4, np.int32), np.full(n * _H2, -4, np.int32)
-        self.weights = np.full(n * 32, 0x10101, np.int32)
-        self.sizes = np.ones((n, _MAGNITUDES), np.int32)
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-
-    def keep(self, n: int) -> None:
-        """Only the first ``n`` blocks go on."""
-        for name in ("row1", "row2", "row_w", "last", "before", "sizes"):
-            setattr(self, name, getattr(self, name)[:n])
-
-    def predict(self) -> None:
-        mixed = self.last * 40503
-        self.at1 = self.row1 + (mixed >> 4 & _H1 - 1)
-        self.at2 = self.row2 + (mixed + self.before * 30011 >> 3 & _H2 - 1)
-        self.e1, self.e2 = self.table1[self.at1], self.table2[self.at2]
-        self.id1, self.id2 = self.e1 >> 2, self.e2 >> 2
-        self.sure1, self.sure2 = self.e1 & 3, self.e2 & 3
-        self.state = self.row_w + (self.sure2 * 4 + self.sure1 + 16 * (self.id1 == self.id2))
-        self.w = self.weights[self.state]
-        self.w2, self.w1, self.w0 = self.w >> 16, self.w >> 8 & 255, self.w & 255
-        self.total = self.w2 + self.w1 + self.w0
-
-    def learn(self, ids: np.ndarray, kind: np.ndarray, rest: np.ndarray, magnitude: np.ndarray) -> None:
-        """``kind``: which order was right (0, 1, or 2 for neither, the blocks ``rest``, with their magnitudes)."""
-        w = self.w + _GAIN[kind]
-        self.weights[self.state] = np.where(self.total > _LIMIT - 4, (w >> 1 & 0x7F7F7F) | 0x10101, w)
-        self.sizes[rest, magnitude] += 4
-        full = rest[self.sizes[rest].sum(axis=1) > _LIMIT - 4]
-        if len(full):
-            self.sizes[full] = (self.sizes[full] >> 1) | 1
-        new = (ids << 2).astype(np.int32)
-        for table, at, e, was, sure in (
-            (self.table1, self.at1, self.e1, self.id1, self.sure1),
-            (self.table2, self.at2, self.e2, self.id2, self.sure2),
-        ):
-            table[at] = np.where(was == ids, e + (sure < 3), np.where(sure > 1, e - sure + 1, new))
-        self.before, self.last = self.last, ids
-
-
-def _magnitude(ids: np.ndarray) -> np.ndarray:
-    """0 for ids below 256, then one more for each further bit."""
-    return np.frexp((ids >> 8).astype(np.float64))[1]
-
-
-def _base(magnitude: np.ndarray) -> np.ndarray:
-    return np.where(magnitude > 0, 128 << magnitude, 0)
-
-
-def _bits(magnitude: np.ndarray) -> np.ndarray:
-    return np.where(magnitude > 0, magnitude + 7, 8)
-
-
-def _narrow(low, span, start, size, total):
-    """The part [start, start + size) of ``total`` of each interval."""
-    unit = span // total.astype(_U)
-    return low + unit * start.astype(_U), unit * size.astype(_U)
-
-
-def _shifts(low, span, move) -> None:
-    """Shifts words out of intervals until all are wide enough; ``move(at, words)`` gets those that go from ``at``.
-
-    An interval shifts when its leading words agree, or when it is too small; then it is cut at the next carry first.
-    """
-    at, lo, sp = None, low, span
-    while True:
-        same = (lo ^ (lo + sp)) < _U(1 << 48)
-        tiny = ~same & (sp < _U(1 << 32))
-        if tiny.any():
-            sp = np.where(tiny, (_U(0) - lo) & _U((1 << 32) - 1), sp)
-        k = np.nonzero(same | tiny)[0]
-        if not len(k):
-            return
-        at = k if at is None else at[k]
-        lo, sp = lo[k], sp[k]
-        move(at, lo >> _U(48))
-        lo, sp = lo << _U(16), sp << _U(16)
-        low[at], span[at] = lo, sp
-
-
-def _block_counts(n: int) -> np.ndarray:
-    """Blocks that have a step of each number: all but the last block are full."""
-    blocks, tail = -(-n // BLOCK), n - (n - 1) // BLOCK * BLOCK
-    return blocks - (np.arange(min(n, BLOCK)) >= tail)
-
-
-def pack(ids: np.ndarray) -> bytes:
-    """A group's bytes for its ids (each below 2**18)."""
-    ids = np.asarray(ids, np.int64)
-    n = len(ids)
-    if n and (ids.min() < 0 or ids.max() >= _MOST_ID):
-        raise ValueError("an id is out of range")
-    blocks = -(-n // BLOCK)
-    grid = np.zeros(blocks * BLOCK, np.int64)
-    grid[:n] = ids
-    grid = np.ascontiguousarray(grid.reshape(blocks, -1).T) if n else grid.reshape(0, 0)
-    model = _Model(blocks)
-    low, span = np.zeros(blocks, _U), np.full(blocks, (1 << 64) - 1, _U)
-    out = np.zeros((blocks, 2 * BLOCK + 8), np.uint16)
-    used = np.zeros(blocks, np.int64)
-
-    def emit(at, words):
-        out[at, used[at]] = words
-        used[at] += 1
-
-    for step, live in enumerate(_block_counts(n) if n else ()):
-        if live < len(model.last):
-            model.keep(live)
-        x = grid[step, :live]
-        lo, sp = low[:live], span[:live]
-        model.predict()
-        two = x == model.id2
-        kind = np.where(two, 0, np.where(x == model.id1, 1, 2))
-        start = np.where(two, 0, np.where(kind == 1, model.w2, model.w2 + model.w1))
-        size = np.where(two, model.w2, np.where(kind == 1, model.w1, model.w0))
-        lo, sp = _narrow(lo, sp, start, size, model.total)
-        rest, m = np.nonzero(kind == 2)[0], np.zeros(0, np.int64)
-        if len(rest):
-            y = x[rest]
-            m = _magnitude(y)
-            counts = model.sizes[rest]
-            ends, k = np.cumsum(counts, axis=1), np.arange(len(rest))
-            mine = counts[k, m]
-            a, b = _narrow(lo[rest], sp[rest], ends[k, m] - mine, mine, ends[:, -1])
-            unit = b >> _bits(m).astype(_U)
-            lo[rest], sp[rest] = a + unit * (y - _base(m)).astype(_U), unit
-        _shifts(lo, sp, emit)
-        low[:live], span[:live] = lo, sp
-        model.learn(x, kind, rest, m)
-    for k in range(4):  # the rest of each interval's lower end
-        out[np.arange(blocks), used] = low >> _U(48)
-        used += 1
-        low <<= _U(16)
-    raw = ids.astype("<u4")
-    crc = [zlib.crc32(raw[lo : lo + BLOCK]) for lo in range(0, n, BLOCK)]
-    head = np.array([n, BLOCK, blocks], "<u4").tobytes() + np.stack([used * 2, crc], 1).astype("<u4").tobytes() if blocks else np.array([0, BLOCK, 0], "<u4").tobytes()
-    return MAGIC + head + out[np.arange(out.shape[1]) < used[:, None]].astype("<u2").tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    """The ids of a group's bytes; raises ValueError at a block whose checksum is wrong."""
-    if data[:4] != MAGIC:
-        raise ValueError("not a group of token blocks")
-    n, block, blocks = np.frombuffer(data, "<u4", 3, 4).astype(int)
-    if not n:
-        return np.zeros(0, np.int64)
-    if block != BLOCK or blocks != -(-n // BLOCK):
-        raise ValueError("a group of other blocks")
-    table = np.frombuffer(data, "<u4", 2 * blocks, 16).reshape(blocks, 2).astype(np.int64)
-    words = np.frombuffer(data, "<u2", offset=16 + 8 * blocks)
-    words = np.concatenate([words, np.zeros(8, np.uint16)]).astype(_U)
-    at = np.cumsum(table[:, 0] // 2) - table[:, 0] // 2
-    if at[-1] + 4 > len(words):
-        raise ValueError("a group is cut short")
-    code = words[at] << _U(48) | words[at + 1] << _U(32) | words[at + 2] << _U(16) | words[at + 3]
-    at = at + 4
-    model = _Model(blocks)
-    low, span = np.zeros(blocks, _U), np.full(blocks, (1 << 64) - 1, _U)
-    grid = np.zeros((min(n, BLOCK), blocks), np.int64)
-
-    def feed(k, _):
-        code[k] = code[k] << _U(16) | words[np.minimum(at[k], len(words) - 1)]
-        at[k] += 1
-
-    for step, live in enumerate(_block_counts(n)):
-        if live < len(model.last):
-            model.keep(live)
-        lo, sp, cd = low[:live], span[:live], code[:live]
-        model.predict()
-        total = model.total
-        value = np.minimum((cd - lo) // (sp // total.astype(_U)), (total - 1).astype(_U)).astype(np.int64)
-        kind = (value >= model.w2).astype(np.int64) + (value >= model.w2 + model.w1)
-        start = np.where(kind == 0, 0, np.where(kind == 1, model.w2, model.w2 + model.w1))
-        size = np.where(kind == 0, model.w2, np.where(kind == 1, model.w1, model.w0))
-        lo, sp = _narrow(lo, sp, start, size, total)
-        x = np.where(kind == 0, model.id2, model.id1).astype(np.int64)
-        rest, m = np.nonzero(kind == 2)[0], np.zeros(0, np.int64)
-        if len(rest):
-            counts = model.sizes[rest]
-            ends, k = np.cumsum(counts, axis=1), np.arange(len(rest))
-            unit = sp[rest] // ends[:, -1].astype(_U)
-            v = np.minimum((cd[rest] - lo[rest]) // unit, (ends[:, -1] - 1).astype(_U)).astype(np.int64)
-            m = np.minimum((ends <= v[:, None]).sum(axis=1), _MAGNITUDES - 1)
-            mine = counts[k, m]
-            a, b = _narrow(lo[rest], sp[rest], ends[k, m] - mine, mine, ends[:, -1])
-            unit = b >> _bits(m).astype(_U)
-            y = np.minimum((cd[rest] - a) // unit, (1 << _bits(m)).astype(_U) - _U(1)).astype(np.int64)
-            lo[rest], sp[rest] = a + unit * y.astype(_U), unit
-            x[rest] = y + _base(m)
-        _shifts(lo, sp, feed)
-        low[:live], span[:live] = lo, sp
-        grid[step, :live] = x
-        model.learn(x, kind, rest, m)
-    ids = np.ascontiguousarray(grid.T).ravel()[:n] if n > BLOCK else grid[:, 0]
-    raw = ids.astype("<u4")
-    for k, want in enumerate(table[:, 1].tolist()):
-        if zlib.crc32(raw[k * BLOCK : (k + 1) * BLOCK]) != want:
-            raise ValueError(f"block {k}: the checksum is wrong")
-    return ids
+#: Text bytes that are encoded at once.
+CHUNK = 4 << 20
+#: Parts of words in a generation of a task's cache of encoded parts; two generations are kept.
+CACHE = 1 << 19
+#: Parts that are encoded as one text.
+_TOGETHER = 256
+#: Fixed value: the pattern by which the word-end tokenizer cuts a text. A run of letters is one part, and so is a run of
+#: other characters but digits and white space; an apostrophe may begin a part of its own.
+_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class _Encoder:
-    """Ids of whole texts by the tokenizers library. Words are encoded once: no token of the file crosses a space."""
+    """Ids of whole texts by the tokenizers library.
+
+    Where the tokenizer's pattern is ``_PARTS``, no token crosses a space, nor the border between letters and marks at
+    a word's end: equal words and parts are then encoded once. Texts of any other tokenizer are encoded whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        """Little-endian 32-bit ids of each text and the end id."""
-        end = np.array([end_id], "<u4").tobytes()
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHE:  # what the last generation used may still be needed
-            self.cache, self.older = {}, self.cache
-        new = {w for words in cut for w in words}.difference(self.cache)
-        kept = new.intersection(self.older)
-        self.cache.update({w: self.older[w] for w in kept})
-        new = sorted(new - kept)
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) + end for words in cut]
+        whole = json.loads(self.tokenizer.to_str())
+        cuts = [x.get("pattern", {}).get("Regex") for x in (whole["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        suffix = whole["model"].get("end_of_word_suffix")
+        self.by_word = _PARTS in cuts and bool(suffix)
+        if self.by_word:
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.known = Generations(CACHE)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _of_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of runs of letters and runs of marks: many are one text, and each ends where a token ends a word."""
+        out: list[bytes] = []
+        groups = [parts[lo : lo + _TOGETHER] for lo in range(0, len(parts), _TOGETHER)]
+        for group, joined in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
+            cut = 4 * np.nonzero(self.ends[np.frombuffer(joined, "<u4")])[0] + 4
+            whole = len(cut) == len(group) and cut[-1] == len(joined)
+            out += [joined[a:b] for a, b in zip([0, *cut.tolist()], cut.tolist(), strict=False)] if whole else self._ids(group)
+        return out
+
+    def _parts_of(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Letters and the marks after them of each word; a word that is not like this, and nothing."""
+        core = pc.utf8_rtrim(words, characters=_MARKS)
+        letters = pc.utf8_is_alpha(core)
+        cut = pc.or_(letters, pc.and_(pc.equal(core, ""), pc.not_equal(words, "")))
+        ends, size = (np.frombuffer(words.buffers()[1], np.int32)[words.offset + 1 :][: len(words)], pc.binary_length(words).to_numpy())
+        n = (size - pc.binary_length(core).to_numpy()) * cut.to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(words)), n)
+        at = (ends - n)[owner] + np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[at]
+        bounds = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+        marks = pa.StringArray.from_buffers(len(words), pa.py_buffer(bounds), pa.py_buffer(data))
+        return pc.if_else(cut, pc.ascii_lower(core), words), marks
+
+    def _table(self, parts: pa.Array) -> list[bytes]:
+        """Ids of distinct parts and words."""
+        names = parts.to_pylist()
+        self.known.turn()
+        get = self.known.now.get
+        new = self.known.missing({x for x in names if get(x) is None})
+        kinds = pa.array(new, pa.string())
+        plain = pc.or_(pc.utf8_is_alpha(kinds), pc.equal(pc.utf8_rtrim(kinds, characters=_MARKS), "")).to_pylist()
+        for made, mine in ((self._of_parts, [x for x, p in zip(new, plain, strict=True) if p and x]), (self._ids, [x for x, p in zip(new, plain, strict=True) if not p or not x])):
+            self.known.now.update(zip(mine, made(mine), strict=True))
+        return list(map(get, names))
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id after it, and how many ids each has."""
+        if not self.by_word:
+            lists = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)) for x in self._ids(texts.to_pylist())]
+            return np.concatenate([np.zeros(0, np.uint32), *lists]), np.array(list(map(len, lists)), np.int64)
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        n = pc.list_value_length(words).to_numpy().astype(np.int64)
+        line = words.flatten().dictionary_encode()
+        distinct = line.dictionary
+        both = pa.concat_arrays([x.cast(pa.string()) for x in self._parts_of(distinct)]).dictionary_encode()
+        table = [*self._table(both.dictionary), np.array([end_id], "<u4").tobytes()]
+        pair = both.indices.to_numpy().reshape(2, -1)
+        # the parts in order: two for each word, one for the end of each text
+        of_word, text = line.indices.to_numpy(), np.repeat(np.arange(len(n)), n)
+        place = 2 * np.arange(len(of_word)) + text
+        order = np.full(2 * len(of_word) + len(n), len(table) - 1, np.int64)
+        order[place], order[place + 1] = pair[0][of_word], pair[1][of_word]
+        ids, ends = spread(table, order)
+        last = ends[2 * np.cumsum(n) + np.arange(len(n))]
+        return ids, np.diff(last, prepend=0)
 
 
 @lru_cache(maxsize=2)
@@ -303,7 +142,8 @@ def write_token_files(
 
     A null text has only the end id. Rows of one id are ordered by a hash of their texts. Columns of the files: shard
     (in order of id), first (the shard's ids before the group), doc_ids, sizes (ids of each document), ids (the
-    group's bytes).
+    group's bytes, in several parts if a document is longer than ``GROUP``). A task holds a group's ids or one
+    document's, and the coder's state of one part.
     """
     tokenizer = tokenizer_file or default_tokenizer()
     text, key = fresh([id_col], "text__"), fresh([id_col], "hash__")
@@ -315,37 +155,37 @@ def write_token_files(
             T.StructField("first", T.LongType()),
             T.StructField("doc_ids", T.ArrayType(docs.schema[id_col].dataType)),
             T.StructField("sizes", T.ArrayType(T.LongType())),
-            T.StructField("ids", T.BinaryType()),
+            T.StructField("ids", T.ArrayType(T.BinaryType())),
         ]
     )
 
     def run(batches):
-        import pyarrow.compute  # noqa: F401
         from pyspark import TaskContext
 
         shard, first, encoder = TaskContext.get().partitionId(), 0, _encoder(tokenizer)
-        names, ids, held = [], [], 0
+        names, ids, sizes, held = [], [], [], 0
 
         def group():
-            sizes = [len(x) // 4 for x in ids]
-            data = pack(np.frombuffer(b"".join(ids), "<u4"))
+            line, n = np.concatenate(ids), np.concatenate(sizes)
+            ids.clear(), sizes.clear()
+            data = [pack(part) for part in np.array_split(line, max(1, round(len(line) / GROUP)))]
             columns = [
                 pa.array([shard], pa.int32()),
                 pa.array([first], pa.int64()),
-                pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.concat_arrays(names)),
-                pa.array([sizes], pa.list_(pa.int64())),
-                pa.array([data], pa.binary()),
+                pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.concat_arrays(names)),
+                pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.array(n, pa.int64())),
+                pa.array([data], pa.list_(pa.binary())),
             ]
-            return pa.RecordBatch.from_arrays(columns, names=schema.names), sum(sizes)
+            return pa.RecordBatch.from_arrays(columns, names=schema.names), int(n.sum())
 
-        for part, texts in text_chunks(batches, text, 1 << 20):
-            ids += encoder.encode([t.decode("utf-8", "replace") for t in texts], end_id)
-            names.append(part.column(id_col))
-            held += sum(map(len, ids[-len(texts) :])) // 4
+        for part in slices(batches, text, CHUNK):
+            made, n = encoder.encode(strings(part.column(text)), end_id)
+            ids.append(made), sizes.append(n), names.append(part.column(id_col))
+            held += len(made)
             if held >= GROUP:
                 batch, n = group()
                 yield batch
-                first, names, ids, held = first + n, [], [], 0
+                first, names, held = first + n, [], 0
         if ids:
             yield group()[0]
 
@@ -368,7 +208,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 shard, first, names, sizes, data = (batch.column(c)[k] for c in ("shard", "first", "doc_ids", "sizes", "ids"))
-                raw = unpack(data.as_py()).astype("<u4")
+                raw = np.concatenate([unpack(part).astype("<u4") for part in data.as_py()])
                 sizes = np.array(sizes.as_py(), np.int64)
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
