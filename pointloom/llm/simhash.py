@@ -9,7 +9,6 @@ exceeded. It returns a spanning forest of its links, never all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from math import ceil, log2
@@ -21,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointloom.llm.common import byte_texts, fresh, map_texts, saved, space_words
+from pointloom.llm.common import discard, fresh, map_texts, saved, space_words
 
 SEED = 42
 
@@ -32,7 +31,8 @@ class Search:
 
     ``turns`` tries begin ``run`` bits apart; within its first ``run`` bits a trie admits ``run_budget`` differences.
     With ``turns * (run_budget + 1) > budget`` no link is missed. ``subtree``: distinct fingerprints under one subtree
-    root, about; it sets how many top levels are laid out as groups. ``stride``: bits between starts if not ``run``.
+    root, about; it sets how many top levels are laid out as groups. ``crowd``: most members of one group; what would be
+    more is dealt out as pairs of blocks.
     """
 
     words: int = 1
@@ -41,16 +41,19 @@ class Search:
     run: int = 21
     run_budget: int = 1
     subtree: int = 4096
-    stride: int = 0
+    crowd: int = 1 << 16
 
 
 #: All links at four of 64 bits.
 EXACT_4 = Search()
 #: Candidates for a similarity of 0.8: such texts differ in 39 of 256 bits on average, with a deviation of 6, and texts
-#: without relation in 128. Runs of 20 bits begin every 9 bits and admit two differences each.
-SIMILAR = Search(words=4, budget=72, turns=28, run=20, run_budget=2, subtree=1 << 18, stride=9)
+#: without relation in 128. Fourteen runs of 18 bits admit two differences each: of pairs that differ in 15 % of their
+#: bits, one in 7,000 agrees in no run.
+SIMILAR = Search(words=4, budget=60, turns=14, run=18, run_budget=2, subtree=1 << 15)
 #: Least share of common shingles (numerator, denominator) of texts that are near copies.
 LEAST_SIMILARITY = (4, 5)
+#: Text bytes and rows of a block of a group of similar fingerprints, whose texts are compared block against block.
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 2048
 
 
 def _mixed(h: np.ndarray, words: int) -> np.ndarray:
@@ -177,7 +180,6 @@ def trie_links(
     depth: int,
     search: Search = EXACT_4,
     whole: np.ndarray | None = None,
-    label: np.ndarray | None = None,
     *,
     step: int = 2,
     leaf: int = 64,
@@ -186,10 +188,9 @@ def trie_links(
     """Spanning forest (member, smaller member) of the links between two subtrees, or within one.
 
     ``values`` are the sorted leading words of both subtrees, whose roots lie at ``depth`` bits, ``whole`` the
-    fingerprints if they are longer; ``left`` and ``right`` are the bounds of each subtree. The pairs of a block are expanded before the next block's, so the frontier
-    in memory is a block and its children a level. With ``label`` all links between different labels are returned.
+    fingerprints if they are longer; ``left`` and ``right`` are the bounds of each subtree. The pairs of a block are
+    expanded before the next block's, so the frontier in memory is a block and its children a level.
     """
-    every: list[np.ndarray] = []
     parent = np.arange(len(values))
     lo, hi = left
     lo2, hi2 = left if right is None else right
@@ -203,7 +204,7 @@ def trie_links(
             stack.append((depth, pairs[block:]))
             pairs = pairs[:block]
         done = ((pairs[:, 1] - pairs[:, 0]) * (pairs[:, 3] - pairs[:, 2]) <= leaf) | (depth >= 64)
-        _compare(values[:, None] if whole is None else whole, pairs[done], parent, search.budget, label, every)
+        _compare(values[:, None] if whole is None else whole, pairs[done], parent, search.budget)
         pairs = pairs[~done]
         if not len(pairs):
             continue
@@ -217,16 +218,13 @@ def trie_links(
         ok &= ~same | (np.arange(1 << step)[:, None] <= np.arange(1 << step)[None, :])
         k, x, y = np.nonzero(ok)
         stack.append((depth + step, np.stack([a[k, x], a[k, x + 1], b[k, y], b[k, y + 1], bits[k, x, y]], axis=1)))
-    if label is not None:
-        found = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *every]), axis=0)
-        return found[:, 0], found[:, 1]
     _unite(parent, np.arange(len(values)), parent.copy())
     linked = np.nonzero(parent != np.arange(len(values)))[0]
     return linked, parent[linked]
 
 
-def _compare(values, pairs, parent, budget, label, every, piece: int = 1 << 20) -> None:
-    """Compares all fingerprints under each pair of nodes; with ``label`` links go to ``every``."""
+def _compare(values, pairs, parent, budget, piece: int = 1 << 20) -> None:
+    """Compares all fingerprints under each pair of nodes and unites those within the budget."""
     na, nb = pairs[:, 1] - pairs[:, 0], pairs[:, 3] - pairs[:, 2]
     work = np.cumsum(na * nb)
     done = 0
@@ -238,35 +236,45 @@ def _compare(values, pairs, parent, budget, label, every, piece: int = 1 << 20)
         i, j = p[owner, 0] + place // m[owner], p[owner, 2] + place % m[owner]
         apart = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in values.T)
         ok = (apart <= budget) & (i != j)
-        if label is None:
-            _unite(parent, i[ok], j[ok])
-        else:
-            i, j = i[ok], j[ok]
-            other = label[i] != label[j]
-            every.append(np.stack([np.maximum(i, j)[other], np.minimum(i, j)[other]], axis=1))
+        _unite(parent, i[ok], j[ok])
+
+
+def _dealt(rows: DataFrame, keys: list[str], crowd: int) -> DataFrame:
+    """Rows with the block pair (left, right) of their group; only groups of more than ``crowd`` rows have blocks.
+
+    A crowded group's rows are dealt into blocks by node, and each goes to all pairs that its block is in: all pairs of
+    rows meet, in several groups of about two ``crowd`` halves. The crowded groups are fewer than rows / ``crowd``.
+    """
+    crowded = rows.groupBy(*keys).count().where(F.col("count") > crowd)
+    crowded = saved(crowded.select(*keys, F.ceil(2 * F.col("count") / crowd).cast("int").alias("blocks")), "crowded")
+    if crowded.isEmpty():
+        return rows.withColumns({"left": F.lit(0), "right": F.lit(0)})
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = rows.join(crowded, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = rows.withColumns({"left": F.least("own", "other"), "right": F.greatest("own", "other")})
+    return both.drop("blocks", "own", "other")
 
 
 def links(fps: DataFrame, search: Search = EXACT_4) -> DataFrame:
     """Links (u, v) of nodes that connect what the search links.
 
     ``fps``: node (long) and fp (array of longs), each fingerprint once. Each group of the top levels' subtree pairs
-    yields at most one link for each of its members. If there is a column ``label``, all pairs within the budget whose
-    labels differ are returned instead (some of them more than once).
+    yields at most one link for each of its members.
     """
     depth = min(search.run - 1, max(0, ceil(log2(max(1, fps.count()) / search.subtree))))
     masks = [sum(1 << x for x in at) for k in range(search.run_budget + 1) for at in combinations(range(depth), k)]
     turns = []
     for k in range(search.turns):
-        word, bit = divmod(k * (search.stride or search.run) % (64 * search.words), 64)
+        word, bit = divmod(k * search.run % (64 * search.words), 64)
         x = F.col("fp")[word]
         if bit:
             x = F.shiftleft(x, bit).bitwiseOR(F.shiftrightunsigned(F.col("fp")[(word + 1) % search.words], 64 - bit))
         turns.append(F.struct(F.lit(k).alias("turn"), x.alias("x")))
     long = [F.slice("fp", 1, search.words).alias("fp")] if search.words > 1 else []
-    label = ["label"] if "label" in fps.columns else []
     root = F.shiftrightunsigned("x", 64 - depth) if depth else F.lit(0).cast("long")
     # a pair of subtrees is named by its smaller root and the bits between both; each member goes to all of its pairs
-    rows = fps.select("node", *long, *label, F.inline(F.array(*turns))).withColumn("root", root)
+    rows = fps.select("node", *long, F.inline(F.array(*turns))).withColumn("root", root)
     rows = rows.withColumn("mask", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
     low = F.least("root", F.col("root").bitwiseXOR(F.col("mask"))).alias("low")
 
@@ -278,19 +286,19 @@ def links(fps: DataFrame, search: Search = EXACT_4) -> DataFrame:
         cut, n = len(values), len(values)
         if key[2]:  # two subtrees
             cut = int(np.searchsorted(values >> np.uint64(64 - depth), np.uint64(int(key[1])), "right"))
-        of = pdf["label"].to_numpy()[order] if label else None
-        u, v = trie_links(values, (0, cut), (cut, n) if key[2] else None, depth, search, whole, of)
+        u, v = trie_links(values, (0, cut), (cut, n) if key[2] else None, depth, search, whole)
         return pd.DataFrame({"u": node[u], "v": node[v]})
 
-    long = ["fp"] if long else []
-    return rows.select("turn", low, "mask", "x", "node", *long, *label).groupBy("turn", "low", "mask").applyInPandas(walk, "u long, v long")
+    keys = ["turn", "low", "mask"]
+    rows = _dealt(rows.select("turn", low, "mask", "x", "node", *(["fp"] if long else [])), keys, search.crowd)
+    return rows.groupBy(*keys, "left", "right").applyInPandas(walk, "u long, v long")
 
 
 def components(pairs: DataFrame, *, most: int = 60) -> DataFrame:
-    """(node, root) of every node in a link (u, v): alternating large-star and small-star rounds.
+    """(node, root) of the nodes in a link (u, v): alternating large-star and small-star rounds.
 
-    Every round is written to the shared folder and the next one reads it, so that lost executors cost one round.
-    The root is a component's smallest node.
+    Every round is written to the shared folder and the next one reads it, so that lost executors cost one round; a
+    round's tables go when the next one's edges are written. The root is a component's smallest node, which has no row.
     """
     low, high = F.least("u", "v"), F.greatest("u", "v")
     edges = saved(pairs.select(high.alias("u"), low.alias("v")).where("u <> v").distinct(), "edges")
@@ -300,15 +308,17 @@ def components(pairs: DataFrame, *, most: int = 60) -> DataFrame:
         least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = saved(large.where("u <> v").distinct(), "large")
-        least = saved(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").select("u", "v", "m")
-        edges = saved(
+        fewer = saved(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(fewer, "u").select("u", "v", "m")
+        new = saved(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v")))
+            .unionByName(fewer.select("u", F.col("m").alias("v")))
             .where("u <> v")
             .distinct(),
             "edges",
         )
+        discard(edges, least, large, fewer)
+        edges = new
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -351,20 +361,71 @@ def _classes_of(marked: DataFrame, fp: str, id_col: str, search: Search, compone
     return saved(rooted.join(ids, "root").select(F.col("fp").alias(fp), F.col("id").alias(component)), "classes")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (u, v) whose texts (node, text) share ``LEAST_SIMILARITY`` of their distinct shingles or more."""
-    ends = [texts.select(F.col("node").alias(x), F.col("text").alias("text_" + x)) for x in ("u", "v")]
-    both = pairs.select("u", "v").join(ends[0], "u").join(ends[1], "v").select("u", "v", "text_u", "text_v")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for a, b in zip(*[byte_texts(batch.column(x)) for x in ("text_u", "text_v")], strict=True):
-                a, b = set(shingle_hashes(a, shingle)), set(shingle_hashes(b, shingle))
-                ok.append(LEAST_SIMILARITY[1] * len(a & b) >= LEAST_SIMILARITY[0] * len(a | b))
-            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    return both.mapInArrow(work, "u long, v long")
+def _shares_enough(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets share ``LEAST_SIMILARITY`` of their union or more; empty sets are equal."""
+    few, many = (a, b) if len(a) <= len(b) else (b, a)
+    if LEAST_SIMILARITY[1] * len(few) < LEAST_SIMILARITY[0] * len(many):
+        return False
+    at = np.minimum(np.searchsorted(many, few), max(len(many) - 1, 0))
+    both = int((many[at] == few).sum()) if len(few) else 0
+    return LEAST_SIMILARITY[1] * both >= LEAST_SIMILARITY[0] * (len(a) + len(b) - both)
+
+
+def _confirmed(fps: np.ndarray, sets: list[np.ndarray], cut: int, budget: int) -> list[tuple[int, int]]:
+    """A spanning forest of the similar pairs across ``cut`` (among all rows if it is 0), the nearest fingerprints first."""
+    n, found = len(fps), []
+    near: list[np.ndarray] = []
+    for lo in range(0, cut or n, 256):
+        rows = np.arange(lo, min(lo + 256, cut or n))
+        others = np.arange(cut, n)
+        apart = sum(np.bitwise_count(fps[rows, k][:, None] ^ fps[others, k][None, :]).astype(np.int64) for k in range(fps.shape[1]))
+        i, j = np.nonzero(apart <= budget)
+        keep = rows[i] < others[j]
+        near.append(np.stack([apart[i, j][keep], rows[i[keep]], others[j[keep]]], 1))
+    pairs = np.concatenate([np.zeros((0, 3), np.int64), *near])
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for i, j in pairs[np.argsort(pairs[:, 0], kind="stable")][:, 1:].tolist():
+        a, b = root(i), root(j)
+        if a != b and _shares_enough(sets[i], sets[j]):
+            parent[max(a, b)] = min(a, b)
+            found.append((i, j))
+    return found
+
+
+def confirmed(groups: DataFrame, texts: DataFrame, shingle: int, search: Search) -> DataFrame:
+    """Links (u, v) that connect all nodes whose fingerprints are within the budget and whose texts share
+    ``LEAST_SIMILARITY`` of their distinct shingles or more.
+
+    ``groups``: node, fp and root, the group that holds all nodes within the budget; ``texts``: node, text. A large
+    group is dealt into blocks of ``BLOCK_BYTES`` and ``BLOCK_ROWS``, about, and each pair of blocks is one task's.
+    """
+    rows = groups.join(texts, "node").withColumn("size", F.octet_length("text"))
+    sizes = rows.groupBy("root").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).where("rows > 1")
+    blocks = F.ceil(F.greatest(F.col("bytes") / BLOCK_BYTES, F.col("rows") / BLOCK_ROWS)).cast("int")
+    rows = rows.join(sizes.select("root", F.greatest(blocks, F.lit(1)).alias("blocks")), "root")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"left": F.least("own", "other"), "right": F.greatest("own", "other")})
+
+    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["own", "node"])
+        cut = int((pdf["own"] == key[1]).sum()) if key[1] != key[2] else 0
+        node = pdf["node"].to_numpy()
+        if key[1] != key[2] and cut in (0, len(pdf)):
+            return pd.DataFrame({"u": node[:0], "v": node[:0]})
+        sets = [np.unique(np.array(shingle_hashes(t.encode(), shingle), np.uint64)) for t in pdf["text"]]
+        fps = np.stack(pdf["fp"].to_numpy()).view(np.uint64)[:, : search.words]
+        pairs = np.array(_confirmed(fps, sets, cut, search.budget), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"u": node[pairs[:, 0]], "v": node[pairs[:, 1]]})
+
+    chosen = rows.select("root", "left", "right", "own", "node", "fp", "text")
+    return chosen.groupBy("root", "left", "right").applyInPandas(compare, "u long, v long")
 
 
 def _similar_classes(
@@ -372,21 +433,17 @@ def _similar_classes(
 ) -> DataFrame:
     """(fp, component): the smallest row that is reached from a fingerprint by confirmed links.
 
-    First the links of the spanning forests are confirmed; then all pairs of fingerprints that these leave apart.
+    Fingerprints within the budget of each other fall into groups; within these the texts are compared.
     """
     fps = marked.groupBy(F.col(f"`{fp}`").alias("fp")).agg(F.min(F.col(f"`{row}`")).alias("least"))
     fps = saved(fps.withColumn("node", F.monotonically_increasing_id()), "fps")
-    forest = saved(links(fps, search).distinct(), "forest")
-    nodes = forest.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    near = saved(fps.join(nodes, "node"), "near")
-    source = marked.select(F.col(f"`{row}`").alias("least"), F.col(f"`{text_col}`").alias("text"))
-    texts = saved(near.select("node", "least").join(source, "least").select("node", "text"), "texts")
-    sure = saved(confirmed(forest, texts, shingle), "sure")
-    label = F.coalesce("root", "node").alias("label")
-    apart = saved(near.join(components(sure), "node", "left").select("node", "fp", label), "apart")
-    more = saved(confirmed(saved(links(apart, search).distinct(), "pairs"), texts, shingle), "more")
-    roots = components(sure.unionByName(more))
-    rooted = fps.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
+    near = components(links(fps, search))
+    near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
+    groups = saved(fps.join(near, "node"), "groups")
+    source = marked.select(F.col(f"`{row}`").alias("least"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    texts = groups.select("node", "least").join(source, "least").select("node", "text")
+    sure = saved(confirmed(groups.select("node", "fp", "root"), texts, shingle, search), "sure")
+    rooted = fps.join(components(sure), "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
     rooted = saved(rooted, "rooted")
     ids = saved(rooted.groupBy("root").agg(F.min("least").alias("id")), "ids")
     return saved(rooted.join(ids, "root").select(F.col("fp").alias(fp), F.col("id").alias(component)), "classes")

@@ -2,6 +2,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+from pointloom.llm import simhash
 from pointloom.llm.simhash import EXACT_4, Search, classes, components, keep_one, links
 
 
@@ -70,7 +71,7 @@ def test_trie_join_finds_every_link(spark):
     near = np.array([[(a ^ b).bit_count() <= 4 for b in values] for a in values])
     for _ in range(30):
         label = np.array([label[near[k]].min() for k in range(len(values))])
-    for search in (EXACT_4, Search(subtree=40)):  # in one group; laid out over several levels
+    for search in (EXACT_4, Search(subtree=40), Search(subtree=200, crowd=60)):  # one group; several levels; block pairs
         got = {r.node: r.root for r in components(links(fps, search)).collect()}
         assert [got.get(k, k) for k in range(len(values))] == label.tolist()
 
@@ -108,3 +109,23 @@ def test_keep_one_decides_by_the_shingle_sets(spark):
     rows += [(1000, " ".join(long)), (1001, " ".join(long[:500] + line * 31 + long[500:]))]
     left = {r.doc_id for r in keep_one(table(spark, rows)).collect()}
     assert left == {i for i, _ in rows} - gone - {1001}
+
+
+def test_keep_one_equals_all_pairs_in_a_large_group(spark, monkeypatch):
+    """Many near copies of one text with edits of their own: those that no chain of similar texts reaches all stay."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(5)
+    base = [f"b{x}" for x in rng.integers(0, 10**9, 150)]
+    texts = []
+    for k in range(150):
+        at = set(rng.integers(0, 150, rng.integers(0, 7)).tolist())
+        texts.append([f"e{k}x{j}" if j in at else w for j, w in enumerate(base)])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    left = keep_one(table(spark, [(k, " ".join(t)) for k, t in enumerate(texts)]))
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(label))
