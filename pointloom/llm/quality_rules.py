@@ -17,17 +17,35 @@ LEAST_WORDS = 20
 MOST_REPEATED = 30
 #: Words of a window that counts as repeated when it stands twice in a text.
 WINDOW = 8
-#: A line fails the punctuation rule if it has more than one mark for so many words.
+#: A line fails the punctuation rule if it has more than one mark for so many words, or at least so many words and no
+#: sign at its end that ends or carries on a sentence.
 WORDS_PER_MARK = 5
+LEAST_UNENDED = 4
 #: A line fails the navigation rule with at least so many separators, if there is one for every four words.
 LEAST_SEPARATORS = 3
 #: Rejected if the removed lines hold more than this percentage of the text.
 MOST_LOST = 50
 SYMBOLS = r"[#*$%&|<>]"
 MARKS = r"[#*$%&|<>]|[!?]{2,}"
+ENDED = r"[.!?…:;\x22'”’»)\]。！？][\x20\x09-\x0D]*\z"
 SEPARATORS = r"[|»›•·]"
-NAVIGATION = r"^\s*(home|menu|search|log ?in|sign (in|up)|next|previous|back to top|skip to content|read more|click here|share this)\W*$"
-BOILERPLATE = r"(enable|requires?) javascript|(uses?|accept) cookies|cookie (policy|settings)|terms of (use|service)|privacy policy|lorem ipsum"
+#: Lines that are nothing but one of these (English, German, Spanish, French) fail the navigation rule.
+_NAVIGATION = (
+    "home|menu|search|log ?in|sign (in|up)|next|previous|back to top|skip to content|read more|click here|share this",
+    "startseite|menü|suche|anmelden|registrieren|weiter|zurück|nach oben|zum inhalt springen|mehr lesen|weiterlesen|teilen",
+    "inicio|menú|buscar|iniciar sesión|registrarse|siguiente|anterior|volver arriba|saltar al contenido|leer más|compartir",
+    "accueil|rechercher|connexion|se connecter|s'inscrire|suivant|précédent|haut de page|aller au contenu|lire la suite|partager",
+)
+NAVIGATION = rf"^\s*({'|'.join(_NAVIGATION)})\W*$"
+#: Lines that hold one of these fail the boilerplate rule.
+BOILERPLATE = "|".join(
+    (
+        "(enable|requires?) javascript|(uses?|accept) cookies|cookie (policy|settings)|terms of (use|service)|privacy policy|lorem ipsum",
+        "javascript aktivieren|verwendet cookies|cookies akzeptieren|cookie-(richtlinie|einstellungen)|nutzungsbedingungen|datenschutzerklärung",
+        "(activ|habilit)(ar|e|a) javascript|utiliza(mos)? cookies|aceptar (las )?cookies|política de (cookies|privacidad)|términos de uso|aviso legal",
+        "activer javascript|utilis(e|ons) des cookies|accepter les cookies|politique de (confidentialité|cookies)|conditions d'utilisation|mentions légales",
+    )
+)
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -82,24 +100,30 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) < window, F.lit(0).cast("long")).otherwise(_bound(hashed, from_hashes))
 
 
-def line_fails(line: Column) -> Column:
-    """True for a line that the punctuation, navigation or boilerplate rule removes."""
+def has_boilerplate(text: Column) -> Column:
+    return F.lower(text).rlike(BOILERPLATE)
+
+
+def line_fails(line: Column, boilerplate: Column) -> Column:
+    """True for a line that the punctuation, navigation or boilerplate rule removes.
+
+    ``boilerplate``: whether the line's text holds any boilerplate, so that most texts are searched once for it.
+    """
     n_words = F.size(F.split(F.trim(line), SPACES))
     marks = F.regexp_count(line, F.lit(MARKS))
     separators = _count(line, SEPARATORS)
-    low = F.lower(line)
-    short = F.length(line) < 400
     return (
         (marks * WORDS_PER_MARK > n_words)
+        | ((n_words >= LEAST_UNENDED) & ~line.rlike(ENDED))
         | ((separators >= LEAST_SEPARATORS) & (separators * 4 >= n_words))
-        | (short & low.rlike(NAVIGATION))
-        | (short & low.rlike(BOILERPLATE))
+        | F.lower(line).rlike(NAVIGATION)
+        | (boilerplate & has_boilerplate(line))
     )
 
 
 def cleaned(text: Column) -> Column:
-    r"""The text without the ``\n``-split lines that fail; unchanged if none does."""
-    fails = lambda x: x.rlike(r"[^\x20\x09-\x0D]") & line_fails(x)
+    r"""The text without the ``\n``-split lines that fail; unchanged if none does, null if it is null."""
+    fails = lambda x: x.rlike(r"[^\x20\x09-\x0D]") & line_fails(x, F.lit(True))
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~fails(x)), "\n")
 
 
@@ -109,11 +133,11 @@ def measures(docs: DataFrame, *, keep: Sequence[str], text_col: str = "text", pr
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars and line_chars (characters of
     removed and of all lines with a word), kept. A null text has no words and fails as too short.
     """
-    names = [fresh([*docs.columns, "kept"], x) for x in ("words__", "lines__", "text__")]
-    words, lines, text = names
+    names = [fresh([*docs.columns, "kept"], x) for x in ("words__", "lines__", "text__", "boilerplate__")]
+    words, lines, text, boilerplate = names
     out = {x: prefix + x for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "line_chars", "kept")}
     df = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text))
-    df = df.withColumns({words: word_array(F.col(text)), lines: line_array(F.col(text))})
+    df = df.withColumns({words: word_array(F.col(text)), lines: line_array(F.col(text)), boilerplate: has_boilerplate(F.col(text))})
     zero = F.lit(0).cast("long")
     df = df.select(
         *[F.col(f"`{c}`") for c in keep],
@@ -122,7 +146,7 @@ def measures(docs: DataFrame, *, keep: Sequence[str], text_col: str = "text", pr
         _count(F.col(text), SYMBOLS).alias(out["n_symbols"]),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias(out["n_dup_lines"]),
         _bound(F.col(words), lambda w: repeated_words(w)).alias(out["n_repeat_words"]),
-        F.aggregate(lines, zero, lambda a, x: a + F.when(line_fails(x), F.length(x)).otherwise(0)).alias(out["lost_chars"]),
+        F.aggregate(lines, zero, lambda a, x: a + F.when(line_fails(x, F.col(boilerplate)), F.length(x)).otherwise(0)).alias(out["lost_chars"]),
         F.aggregate(lines, zero, lambda a, x: a + F.length(x)).alias(out["line_chars"]),
     )
     n, repeats = F.col(out["n_words"]), F.col(out["n_repeat_words"])
@@ -132,7 +156,7 @@ def measures(docs: DataFrame, *, keep: Sequence[str], text_col: str = "text", pr
 
 
 def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The registered result: id, the base figures, base_failed and kept."""
+    """The registered result: id, the base figures, base_failed and kept. A null or empty text has no words and fails."""
     found = measures(docs.select(id_col, text_col), keep=[id_col], text_col=text_col)
     return found.select(
         id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -140,7 +164,10 @@ def judged(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def keep_good(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The documents that the rules keep, without their failing lines; the other columns are unchanged."""
+    """The documents that the rules keep, without their failing lines; the other columns are unchanged.
+
+    Null and empty texts have too few words and go.
+    """
     prefix = fresh([c[: len("q__")] for c in docs.columns], "q__")
     found = measures(docs, keep=docs.columns, text_col=text_col, prefix=prefix)
     text = F.col(f"`{text_col}`")
@@ -164,10 +191,11 @@ marks AS (SELECT doc_id, l, length(l) AS n,
             len(regexp_split_to_array(trim(l, ' '), '[\x20\x09-\x0D]+')) AS nw,
             len(regexp_extract_all(l, '[#*$%&|<>]|[!?]{{2,}}')) AS nm,
             length(l) - length(regexp_replace(l, '[|»›•·]', '', 'g')) AS ns,
-            n < 400 AND (regexp_matches(lower(l), '{navigation}') OR regexp_matches(lower(l), '{boilerplate}')) AS chrome
+            NOT regexp_matches(l, '{ended}') AS unended,
+            regexp_matches(lower(l), '{navigation}') OR regexp_matches(lower(l), '{boilerplate}') AS chrome
           FROM lines),
 loss AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines, sum(n) AS line_chars,
-            coalesce(sum(n) FILTER (nm * 5 > nw OR (ns >= 3 AND ns * 4 >= nw) OR chrome), 0) AS lost_chars
+            coalesce(sum(n) FILTER (nm * 5 > nw OR (nw >= 4 AND unended) OR (ns >= 3 AND ns * 4 >= nw) OR chrome), 0) AS lost_chars
          FROM marks GROUP BY doc_id),
 m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
             (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
@@ -182,4 +210,5 @@ FROM f
 
 
 def sql(docs: str = "documents") -> str:
-    return SQL.format(docs=docs, navigation=NAVIGATION, boilerplate=BOILERPLATE)
+    navigation, boilerplate, ended = (x.replace("'", "''") for x in (NAVIGATION, BOILERPLATE, ENDED))
+    return SQL.format(docs=docs, navigation=navigation, boilerplate=boilerplate, ended=ended)
