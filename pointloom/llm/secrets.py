@@ -1,8 +1,9 @@
 """Secret scans: plain patterns, and credentials in parts that are linked when complementary parts stand close by.
 
-Everything is Spark SQL expressions over one document, which is the widest scope of a link; nothing is shuffled. The
-parts of a document (access identifiers, secrets, endpoints) are sorted by position and joined by interval in two
-sweeps, forwards and backwards: a sort-merge join that keeps the last part of each role, so that no pairs are made.
+Everything is Spark SQL expressions over one document; nothing is shuffled. The scope of a link is a paragraph (text
+without a blank line). The begins and ends of a document's parts (access identifiers, secrets, endpoints) and its blank
+lines are sorted by position and joined by interval in two sweeps, forwards and backwards: a sort-merge join that keeps
+the last end of each role within the scope, so that no pairs are made.
 """
 
 from __future__ import annotations
@@ -47,7 +48,9 @@ KINDS = (
     Kind("link_secret", rf"((?i:pwd|pass|private_?key|credentials?|auth)){_VALUE}([A-Za-z0-9+/_.=!-]{{6,}})", "secret", weak=True),
     Kind(
         "link_key",
-        r"(?<![A-Za-z0-9+/=])(?=[0-9+/a-z]*[A-Z])(?=[0-9+/A-Z]*[a-z])(?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{40,}={0,2}",
+        # neither in nor at the begin of a URL, nor a path of words
+        r"(?<![A-Za-z0-9+/=._%~?&#@-])(?!//)(?!/?(?:[A-Za-z]+/){3})(?=[0-9+/a-z]*[A-Z])(?=[0-9+/A-Z]*[a-z])(?=[A-Za-z+/]*[0-9])"
+        r"[A-Za-z0-9+/]{40,}+={0,2}+(?![:.])",
         "secret",
         weak=True,
     ),
@@ -56,6 +59,8 @@ KINDS = (
 #: What a weak part of a role needs close by: one of these roles.
 COMPLEMENTS = {"secret": ("identifier", "endpoint"), "identifier": ("secret",)}
 BASE = ("assign", "access", "hex")
+#: What lies between two scopes.
+BLANK_LINE = r"\n[\x20\x09\x0D]*\n"
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -95,40 +100,53 @@ def _spans(text: Column, number: int, kind: Kind) -> Column:
     return F.when(hint & text.rlike(kind.pattern), whole).otherwise(_none())
 
 
-def _sweep(parts: Column, backwards: bool) -> Column:
-    """The weak parts, as spans, that have a complement within ``REACH`` before them (after them, if backwards)."""
+def _events(parts: Column, breaks: Column, backwards: bool) -> Column:
+    """Ends (0), scope ends (1) and begins (2) of the parts as seen by a sweep, sorted by place."""
+    first, last = ("e", "s") if backwards else ("s", "e")
+    at = lambda x, side: -x[side] if backwards else x[side]
+    event = lambda place, what, x: F.struct(place.alias("p"), F.lit(what).alias("w"), x.alias("x"))
+    ends = F.transform(parts, lambda x: event(at(x, last), 0, x))
+    begins = F.transform(parts, lambda x: event(at(x, first), 2, x))
+    return F.sort_array(F.concat(ends, F.transform(breaks, lambda x: event(at(x, first), 1, x)), begins))
+
+
+def _sweep(events: Column, backwards: bool) -> Column:
+    """The weak parts, as spans, before whose begin a complement ends in the same scope, at most ``REACH`` away.
+
+    Backwards, places are negative and begin and end change sides. A part that overlaps another is no complement of it.
+    """
     far = F.lit(-(1 << 30))
     roles = ("identifier", "secret", "endpoint")
     names = {r: [k for k, x in enumerate(KINDS) if x.role == r] for r in roles}
     weak = {r: [k for k, x in enumerate(KINDS) if x.role == r and x.weak] for r in COMPLEMENTS}
     zero = F.struct(*[far.alias(r) for r in roles], F.array().cast(f"array<{SPAN}>").alias("done"), _none().alias("now"))
 
-    def step(acc: Column, x: Column) -> Column:
-        here, edge = (-x["e"], -x["s"]) if backwards else (x["s"], x["e"])
+    def step(acc: Column, e: Column) -> Column:
+        x = e["x"]
         linked = F.lit(False)
         for role, others in COMPLEMENTS.items():
             near = F.lit(False)
             for other in others:
-                near |= here - acc[other] <= REACH
+                near |= e["p"] - acc[other] <= REACH
             linked |= x["k"].isin(weak[role]) & near
-        last = [F.when(x["k"].isin(names[r]), F.greatest(acc[r], edge)).otherwise(acc[r]).alias(r) for r in roles]
+        linked &= e["w"] == 2
+        new = lambda r: F.when(e["w"] == 1, far).when((e["w"] == 0) & x["k"].isin(names[r]), e["p"]).otherwise(acc[r])
         full = F.size(acc["now"]) >= _BLOCK
         now = F.when(full, _none()).otherwise(acc["now"])
         return F.struct(
-            *last,
+            *[new(r).alias(r) for r in roles],
             F.when(full, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"]).alias("done"),
             F.when(linked, F.concat(now, F.array(x))).otherwise(now).alias("now"),
         )
 
-    order = F.reverse(parts) if backwards else parts
-    return F.aggregate(order, zero, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["now"]))))
+    return F.aggregate(events, zero, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["now"]))))
 
 
-def _linked(parts: Column) -> Column:
+def _linked(parts: Column, text: Column) -> Column:
     weak = [k for k, x in enumerate(KINDS) if x.weak]
-    both = lambda p: F.array_union(_sweep(p, False), _sweep(p, True))
-    has_weak = F.exists(parts, lambda x: x["k"].isin(weak))
-    return F.when(has_weak & (F.size(parts) > 1), _once(F.sort_array(parts), both)).otherwise(_none())
+    breaks = _spans(text, len(KINDS), Kind("blank", BLANK_LINE, "scope"))
+    both = F.array_union(*[_sweep(_events(parts, breaks, back), back) for back in (False, True)])
+    return F.when(F.exists(parts, lambda x: x["k"].isin(weak)) & (F.size(parts) > 1), both).otherwise(_none())
 
 
 def find_secrets(
@@ -138,7 +156,7 @@ def find_secrets(
 
     Spans are in code points, the end exclusive, k the number in ``KINDS``, sorted by start, then kind. A null text is
     empty. Weak parts (user names, short passwords, random keys) are in ``spans`` only with a complementary part at
-    most ``REACH`` code points away in the same document; endpoints are parts, never secrets.
+    most ``REACH`` code points away in the same paragraph that does not overlap them; endpoints are parts, never secrets.
     """
     taken = [*docs.columns, *names]
     text, parts = fresh(taken, "text__"), fresh(taken, "parts__")
@@ -148,7 +166,7 @@ def find_secrets(
     df = df.withColumn(parts, F.concat(*[_spans(F.col(text), k, x) for k, x in enumerate(KINDS)]))
     df = df.withColumn(base, F.sort_array(F.filter(parts, lambda x: x["k"].isin(plain))))
     return df.select(
-        *[F.col(f"`{c}`") for c in keep], base, F.sort_array(F.concat(base, _once(F.col(parts), _linked))).alias(spans)
+        *[F.col(f"`{c}`") for c in keep], base, F.sort_array(F.concat(base, _once(F.col(parts), lambda p: _linked(p, F.col(text))))).alias(spans)
     )
 
 
@@ -166,7 +184,7 @@ def _n(spans: Column, kind: str) -> Column:
 
 
 def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_assign, n_access, n_hex, base_sha256 and the spans as text."""
+    """Per document: n_assign, n_access, n_hex, base_sha256 and the spans as text. A null or empty text has none."""
     found = find_secrets(docs.select(id_col, text_col), keep=[id_col], text_col=text_col)
     base = F.col("base")
     return found.select(
@@ -178,7 +196,8 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def redacted(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """All documents, each run of overlapping spans replaced by ``mark``; other columns and clean texts unchanged."""
+    """All documents, each run of overlapping spans replaced by ``mark``; other columns and clean texts (null and
+    empty ones too) unchanged."""
     names = tuple(fresh(docs.columns, x) for x in ("base__", "spans__"))
     found = find_secrets(docs, keep=docs.columns, text_col=text_col, names=names)
     text = F.col(f"`{text_col}`")
