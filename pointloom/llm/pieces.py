@@ -1,12 +1,13 @@
 """SentencePiece encoding and decoding: batched Viterbi over the piece scores of a model file.
 
-A text is cut at spaces into words that begin with one; pieces never run across such a cut, except those of several
-spaces, whose runs are words of their own. Words of equal length advance together: at every position the hashes of the
-substrings that end there probe the sorted piece keys, and a maximum over the lengths stores score and backpointer. A
-character no piece covers is spelled in byte pieces. Encoded words are kept in a bounded cache of each task.
-
-The scores of a unigram model file are log-probabilities. Those of a BPE file are merge ranks; Zipf's law makes them
-log-probabilities here, so that the ids of such a file are the likeliest segmentation, not the merge order's.
+A text is cut before each run of spaces; a model with a piece that crosses such a cut encodes whole texts. Words of
+equal length advance together: at every position the hashes of the substrings that end there probe the sorted piece
+keys, and a maximum over the lengths stores score and backpointer. A character that is no piece may be spelled in byte
+pieces. Equal words are encoded once; a task keeps the words of late in a bounded cache.
+
+The scores of a unigram model file are log-probabilities, and the ids are those of the sentencepiece library. Those of a
+BPE file are merge ranks; Zipf's law makes them log-probabilities here, so that the ids of such a file are the likeliest
+segmentation, not the merge order's. Texts are taken as they are: a file's normalisation rules are not applied.
 """
 
 from __future__ import annotations
@@ -16,18 +17,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointloom.llm.common import fresh, map_texts
+from pointloom.llm.common import Generations, fresh, slices, spread, strings
 
 MARK = "▁"
-#: Words that a task's cache holds before it begins anew.
-CACHE = 1 << 18
-#: Score of a byte piece, below all pieces of a model.
-BYTE_SCORE = -1e3
-_RUNS = re.compile(r" +(?= )| +$| [^ ]+")
+#: Words in a generation of a task's cache; two generations are kept. Text bytes that are encoded at once.
+CACHE, CHUNK = 1 << 19, 4 << 20
+#: By how much spelling a character scores below the least piece.
+SPELLED = 10.0
+_RUNS = re.compile(r" +[^ ]*")
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,13 +53,18 @@ class PieceModel:
         scores = np.array([sp.get_score(i) for i in plain])
         if scores.min() < -1000:  # ranks
             scores = -np.log(2 + np.minimum(-scores, n))
-        self.scores = scores[order]
+        self.scores = scores[order].astype(np.float32)  # as the library adds them up
+        self.spelled = self.scores.min() - np.float32(SPELLED)
+        self.filter = np.zeros(1 << 20, bool)  # of the keys' leading bits
+        self.filter[self.keys >> np.uint64(44)] = True
+        self.single = np.unique([ord(self.pieces[i]) for i in plain if len(self.pieces[i]) == 1]).astype(np.uint64)
+        self.whole = any(" " in self.pieces[i].lstrip(" ") for i in plain)
         size = max(len(self.pieces[i]) for i in plain)
         self.chars = np.zeros((len(plain), size), np.uint32)
         for row, i in enumerate(self.ids):
             self.chars[row, : len(self.pieces[i])] = [ord(c) for c in self.pieces[i]]
         self.text = {i: self.pieces[i].encode() for i in plain} | {int(b): bytes([k]) for k, b in enumerate(self.byte_ids)}
-        self.cache: dict[str, bytes] = {}
+        self.known = Generations(CACHE)
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -71,30 +78,34 @@ class PieceModel:
         """Best ids of words of one length; of equal scores the longest last piece."""
         n, size = len(words), len(words[0])
         chars = np.array([list(map(ord, w)) for w in words], np.uint64).reshape(n, size)
-        best = np.full((size + 1, n), -np.inf)
+        best = np.full((size + 1, n), -np.inf, np.float32)
         best[0] = 0
         back = np.zeros((size + 1, n), np.int64)
         piece = np.full((size + 1, n), -1, np.int64)
         hashes = np.zeros((0, n), np.uint64)  # of the substrings that end here, the longest first
+        spells = ~np.isin(chars, self.single)
         for end in range(1, size + 1):
             grown = np.concatenate([hashes[-(self.longest - 1) :] if self.longest > 1 else hashes[:0], np.zeros((1, n), np.uint64)])
             grown = (grown ^ chars[:, end - 1]) * _FACTOR
             hashes = grown ^ grown >> np.uint64(29)
-            first = end - len(hashes)
-            at = np.minimum(np.searchsorted(self.keys, hashes.ravel()), len(self.keys) - 1)
-            hit = self.keys[at] == hashes.ravel()
-            rows = np.nonzero(hit)[0]
+            first, flat = end - len(hashes), hashes.ravel()
+            rows = np.nonzero(self.filter[flat >> np.uint64(44)])[0]
+            at = np.minimum(np.searchsorted(self.keys, flat[rows]), len(self.keys) - 1)
+            hit = self.keys[at] == flat[rows]
+            rows, at = rows[hit], at[hit]
             start, word = rows // n + first, rows % n
-            length = end - start
+            length, ok = end - start, np.ones(len(rows), bool)
             for k in range(int(length.max()) if len(rows) else 0):  # a key that matches is confirmed by its characters
-                live = k < length
-                ok = chars[word[live], start[live] + k] == self.chars[at[rows[live]], k]
-                hit[rows[live][~ok]] = False
-            score = np.where(hit, self.scores[at], -np.inf).reshape(len(hashes), n) + best[first:end]
+                live = np.nonzero(k < length)[0]
+                ok[live] &= chars[word[live], start[live] + k] == self.chars[at[live], k]
+            score, number = np.full(hashes.size, -np.inf, np.float32), np.zeros(hashes.size, np.int64)
+            score[rows[ok]] = self.scores[at[ok]] + best[start[ok], word[ok]]
+            number[rows[ok]] = self.ids[at[ok]]
+            score, each = score.reshape(hashes.shape), np.arange(n)
             pick = np.argmax(score, axis=0)
-            best[end], back[end] = score[pick, np.arange(n)], pick + first
-            piece[end] = np.where(np.isfinite(best[end]), self.ids[at.reshape(len(hashes), n)[pick, np.arange(n)]], -1)
-            spelled = best[end - 1] + BYTE_SCORE
+            best[end], back[end] = score[pick, each], pick + first
+            piece[end] = np.where(np.isfinite(best[end]), number.reshape(hashes.shape)[pick, each], -1)
+            spelled = np.where(spells[:, end - 1], best[end - 1] + self.spelled, np.float32(-np.inf))
             byte = spelled > best[end]
             best[end], back[end], piece[end] = (
                 np.where(byte, spelled, best[end]),
@@ -114,27 +125,39 @@ class PieceModel:
             out.append(ids[::-1])
         return out
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         by_length: dict[int, list[str]] = {}
-        for w in sorted(words):
+        for w in words:
             by_length.setdefault(len(w), []).append(w)
         for size, same in by_length.items():
             step = max(1, (1 << 18) // max(1, size))
             for lo in range(0, len(same), step):
                 part = same[lo : lo + step]
                 for w, ids in zip(part, self.viterbi(part), strict=True):
-                    self.cache[w] = np.array(ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; an empty text has none."""
-        cut = [_cut(t) for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = {w for words in cut for w in words}.difference(self.cache)
-        if new:
-            self._learn(new)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+                    self.known.now[w] = np.array(ids, "<u4").tobytes()
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Little-endian 32-bit ids of each text (binary); an empty text has none."""
+        texts = strings(texts)
+        # a space stands before each text; where runs of spaces are single ones, the words are what lies between
+        plain = pc.and_(pc.not_equal(texts, ""), pc.invert(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " "))))
+        plain = plain.to_numpy(zero_copy_only=False) & (not self.whole)
+        lists = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+        others = [_cut(t, self.whole) for t in texts.filter(pa.array(~plain)).to_pylist()]
+        n = np.concatenate([pc.list_value_length(lists).to_numpy(), np.array(list(map(len, others)), np.int64)]).astype(np.int64)
+        # the others' words without their first space, like those of the plain texts
+        line = pa.concat_arrays([lists.flatten(), pa.array([w[1:] for words in others for w in words], pa.string())]).dictionary_encode()
+        words = [" " + w for w in line.dictionary.to_pylist()]
+        self.known.turn()
+        get = self.known.now.get
+        self._learn(self.known.missing({w for w in words if get(w) is None}))
+        ids, ends = spread(list(map(get, words)), line.indices.to_numpy())
+        bounds = np.concatenate([[0], np.append(0, ends)[np.cumsum(n)]]).astype(np.int32) * 4
+        made = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds), pa.py_buffer(ids.astype("<u4"))])
+        order = np.argsort(~plain, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return made.take(pa.array(place))
 
     def decode(self, ids: bytes) -> str:
         """The text of little-endian 32-bit ids; ids without text and broken UTF-8 become the replacement mark."""
@@ -143,13 +166,11 @@ class PieceModel:
         return data[1:].decode("utf-8", "replace") if data.startswith(b" ") else data.decode("utf-8", "replace")
 
 
-def _cut(text: str) -> list[str]:
-    """Words that begin with a space (one is put before the text); spaces before a space are a word of their own."""
+def _cut(text: str, whole: bool) -> list[str]:
+    """Words of the text with a space before it: each begins with all spaces before it; the last may be spaces alone."""
     if not text:
         return []
-    if "  " not in text and text[0] != " " and text[-1] != " ":
-        return [" " + w for w in text.split(" ")]
-    return _RUNS.findall(" " + text)
+    return [" " + text] if whole else _RUNS.findall(" " + text)
 
 
 @lru_cache(maxsize=2)
@@ -168,12 +189,16 @@ def encode_pieces(
 ) -> DataFrame:
     """Columns ``keep`` and the ids of each text as little-endian 32-bit integers (binary); null is the empty text."""
     path = model_file or default_model()
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(name, T.BinaryType())])
+    text = text_col if text_col in keep else fresh(keep, "text__")
+    own = [] if text_col in keep else [F.col(f"`{text_col}`").alias(text)]
 
-    def start():
+    def run(batches):
         codec = model(path)
-        return lambda texts: [pa.array(codec.encode([t.decode("utf-8", "replace") for t in texts]), pa.binary())]
+        for part in slices(batches, text, CHUNK):
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], codec.encode(part.column(text))], names=schema.names)
 
-    return map_texts(docs, keep, text_col, [(name, "binary")], start)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], *own).mapInArrow(run, schema)
 
 
 def decode_pieces(
@@ -196,7 +221,10 @@ def decode_pieces(
 
 
 def encoded_digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_pieces, ids_crc32 (of the little-endian 32-bit ids), and whether decoding gives the text back."""
+    """Per document: n_pieces, ids_crc32 (of the little-endian 32-bit ids), and whether decoding gives the text back.
+
+    A null text is the empty one, which has no pieces.
+    """
     rows = docs.select(F.col(f"`{id_col}`"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("hash__"), F.col(f"`{text_col}`").alias("text__"))
     ids = encode_pieces(rows, keep=[id_col, "hash__"], text_col="text__", name="ids__")
     both = decode_pieces(ids, keep=[id_col, "hash__", "ids__"], ids_col="ids__", name="back__")
@@ -210,7 +238,8 @@ def encoded_digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def tokenized(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """All columns of the documents and ``piece_ids`` (binary) and ``n_pieces`` of each text."""
+    """All columns of the documents and ``piece_ids`` (binary) and ``n_pieces`` of each text; null and empty texts have
+    no pieces. Columns of these names get an underscore more."""
     name = fresh(docs.columns, "piece_ids")
     found = encode_pieces(docs, keep=docs.columns, text_col=text_col, name=name)
     return found.withColumn(fresh(found.columns, "n_pieces"), (F.octet_length(name) / 4).cast("long"))

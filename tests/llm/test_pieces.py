@@ -1,10 +1,10 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from pointloom.llm import pieces
-from pointloom.llm.pieces import BYTE_SCORE, PieceModel, decode_pieces, default_model, encode_pieces, encoded_digest, tokenized
+from pointloom.llm.pieces import PieceModel, decode_pieces, default_model, encode_pieces, encoded_digest, tokenized
 
 TEXTS = [
     "plain words  and   runs    of spaces ",
@@ -31,7 +31,8 @@ def brute(m: PieceModel, word: str) -> float:
     score = {m.pieces[i]: s for i, s in zip(m.ids, m.scores, strict=True)}
     best = [0.0] + [-np.inf] * len(word)
     for end in range(1, len(word) + 1):
-        best[end] = best[end - 1] + BYTE_SCORE
+        if ord(word[end - 1]) not in m.single:
+            best[end] = best[end - 1] + m.spelled
         for start in range(max(0, end - m.longest), end):
             best[end] = max(best[end], best[start] + score.get(word[start:end], -np.inf))
     return best[-1]
@@ -47,7 +48,7 @@ def test_viterbi_is_optimal():
         assert b"".join(m.text[i] for i in ids).decode() == word
         plain = [i for i in ids if i in value]
         spelled = len(word) - sum(len(m.pieces[i]) for i in plain)
-        assert sum(value[i] for i in plain) + spelled * BYTE_SCORE == pytest.approx(brute(m, word))
+        assert sum(value[i] for i in plain) + spelled * m.spelled == pytest.approx(brute(m, word), rel=1e-5)
 
 
 def test_equal_length_batches_agree_with_single_words():
@@ -69,10 +70,50 @@ def test_round_trip_and_digest(spark, docs):
 
 def test_small_cache_gives_the_same_ids(monkeypatch):
     m = PieceModel(default_model())
-    texts = [t or "" for t in TEXTS]
-    whole = m.encode(texts)
-    monkeypatch.setattr(pieces, "CACHE", 1)
-    assert [m.encode([t])[0] for t in texts] == whole
+    whole = m.encode(pa.array(TEXTS)).to_pylist()
+    m.known.size = 1
+    assert [m.encode(pa.array([t], pa.string()))[0].as_py() for t in TEXTS] == whole
+
+
+def field(number: int, value) -> bytes:
+    """A field of a protocol buffer: text, message, integer or float."""
+    import struct
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    data = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(data)) + data
+
+
+def varint(n: int) -> bytes:
+    return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+
+@pytest.mark.parametrize("crossing", [False, True])
+def test_ids_of_a_unigram_file_are_the_librarys(tmp_path, crossing):
+    from sentencepiece import SentencePieceProcessor
+
+    rng = np.random.default_rng(8)
+    letters = list("abcdeé▁語")
+    plain = {"".join(rng.choice(letters[:7], rng.integers(1, 5))) for _ in range(300)} | set(letters[:7]) | {"▁▁", "▁" * 4, "▁a", "▁ab"}
+    plain = sorted(p for p in plain if crossing or "▁" not in p.lstrip("▁"))
+    pieces_ = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]
+    pieces_ += [(p, float(s), 1) for p, s in zip(plain, -rng.uniform(1, 12, len(plain)))]
+    data = b"".join(field(1, field(1, p) + field(2, s) + field(3, t)) for p, s, t in pieces_)
+    data += field(2, field(3, 1) + field(35, 1)) + field(3, field(1, "identity") + field(3, 1) + field(4, 0) + field(5, 1))
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(data)
+    m, sp = PieceModel(path), SentencePieceProcessor(model_file=path)
+    assert m.whole == crossing
+    texts = ["".join(rng.choice(list("abcdeé語𝒳  "), rng.integers(1, 40))) for _ in range(300)] + ["", " ", "   a  b   "]
+    got = [np.frombuffer(x, "<u4").tolist() for x in m.encode(pa.array(texts)).to_pylist()]
+    want = [sp.encode(t) for t in texts]
+    assert sum(g != w for g, w in zip(got, want, strict=True)) <= 3  # ties, as of "a" + "aa" and "aa" + "a"
+    assert all(sorted(g) == sorted(w) for g, w in zip(got, want, strict=True))
+    assert [m.decode(np.array(x, "<u4").tobytes()) for x in got] == texts
 
 
 def test_pipeline_columns_and_empty_table(docs):
