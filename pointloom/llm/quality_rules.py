@@ -6,6 +6,8 @@ All of it is Spark SQL expressions over one document, without a shuffle.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ LEAST_SEPARATORS = 3
 MOST_LOST = 50
 SYMBOLS = r"[#*$%&|<>]"
 MARKS = r"[#*$%&|<>]|[!?]{2,}"
-ENDED = r"[.!?…:;\x22'”’»)\]。！？][\x20\x09-\x0D]*\z"
+ENDS = ".!?…:;\"'”’»)]。！？"
 SEPARATORS = r"[|»›•·]"
 #: Lines that are nothing but one of these (English, German, Spanish, French) fail the navigation rule.
 _NAVIGATION = (
@@ -47,6 +49,12 @@ BOILERPLATE = "|".join(
     )
 )
 
+#: One of these stands in each boilerplate phrase.
+_BOILERPLATE_WORDS = (
+    "javascript", "cookie", "terms of", "privacy policy", "lorem ipsum", "nutzungsbedingungen", "datenschutz",
+    "política de", "términos de", "aviso legal", "politique de", "conditions d", "mentions légales",
+)
+
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with the value computed once, also inside the lambdas of ``use``."""
@@ -69,8 +77,8 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
-    """Words inside windows of ``window`` words that stand in the text twice or more, the first one included."""
-    starts = F.sequence(F.lit(0), F.size(words) - window)
+    """Words inside windows of ``window`` (a power of two) words that stand in the text twice or more, the first one
+    included."""
 
     def covered(at: Column) -> Column:
         """Words under windows at sorted starts."""
@@ -96,12 +104,18 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         at = F.sort_array(_bound(F.sort_array(texts), twice))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(covered(at))
 
-    hashed = F.transform(starts, lambda s: F.xxhash64(F.slice(words, s + 1, window)))
+    # each word is hashed once; windows of 2, 4 and 8 words are hashed from those of half the size
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    for size in [1 << k for k in range(window.bit_length() - 1)]:
+        hashed = _bound(hashed, lambda h, size=size: F.zip_with(h, F.slice(h, size + 1, F.size(words)), lambda a, b: F.xxhash64(a, b)))
+    hashed = F.slice(hashed, 1, F.size(words) - window + 1)
     return F.when(F.size(words) < window, F.lit(0).cast("long")).otherwise(_bound(hashed, from_hashes))
 
 
 def has_boilerplate(text: Column) -> Column:
-    return F.lower(text).rlike(BOILERPLATE)
+    """Whether a boilerplate phrase stands in the text; a plain search for one word of each comes first."""
+    held = lambda low: reduce(or_, [low.contains(w) for w in _BOILERPLATE_WORDS]) & low.rlike(BOILERPLATE)
+    return _bound(F.lower(text), held)
 
 
 def line_fails(line: Column, boilerplate: Column) -> Column:
@@ -114,7 +128,7 @@ def line_fails(line: Column, boilerplate: Column) -> Column:
     separators = _count(line, SEPARATORS)
     return (
         (marks * WORDS_PER_MARK > n_words)
-        | ((n_words >= LEAST_UNENDED) & ~line.rlike(ENDED))
+        | ((n_words >= LEAST_UNENDED) & ~F.right(F.rtrim(line, F.lit(" \t\n\x0b\x0c\r")), F.lit(1)).isin(*ENDS))
         | ((separators >= LEAST_SEPARATORS) & (separators * 4 >= n_words))
         | F.lower(line).rlike(NAVIGATION)
         | (boilerplate & has_boilerplate(line))
@@ -133,12 +147,17 @@ def measures(docs: DataFrame, *, keep: Sequence[str], text_col: str = "text", pr
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars and line_chars (characters of
     removed and of all lines with a word), kept. A null text has no words and fails as too short.
     """
-    names = [fresh([*docs.columns, "kept"], x) for x in ("words__", "lines__", "text__", "boilerplate__")]
-    words, lines, text, boilerplate = names
+    names = [fresh([*docs.columns, "kept"], x) for x in ("words__", "lines__", "text__")]
+    words, lines, text = names
     out = {x: prefix + x for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "line_chars", "kept")}
     df = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text))
-    df = df.withColumns({words: word_array(F.col(text)), lines: line_array(F.col(text)), boilerplate: has_boilerplate(F.col(text))})
+    df = df.withColumns({words: word_array(F.col(text)), lines: line_array(F.col(text))})
     zero = F.lit(0).cast("long")
+    # bound, so that it is not worked out again for each line
+    lost = _bound(
+        has_boilerplate(F.col(text)),
+        lambda b: F.aggregate(lines, zero, lambda a, x: a + F.when(line_fails(x, b), F.length(x)).otherwise(0)),
+    )
     df = df.select(
         *[F.col(f"`{c}`") for c in keep],
         F.size(words).cast("long").alias(out["n_words"]),
@@ -146,7 +165,7 @@ def measures(docs: DataFrame, *, keep: Sequence[str], text_col: str = "text", pr
         _count(F.col(text), SYMBOLS).alias(out["n_symbols"]),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias(out["n_dup_lines"]),
         _bound(F.col(words), lambda w: repeated_words(w)).alias(out["n_repeat_words"]),
-        F.aggregate(lines, zero, lambda a, x: a + F.when(line_fails(x, F.col(boilerplate)), F.length(x)).otherwise(0)).alias(out["lost_chars"]),
+        lost.alias(out["lost_chars"]),
         F.aggregate(lines, zero, lambda a, x: a + F.length(x)).alias(out["line_chars"]),
     )
     n, repeats = F.col(out["n_words"]), F.col(out["n_repeat_words"])
@@ -210,5 +229,6 @@ FROM f
 
 
 def sql(docs: str = "documents") -> str:
-    navigation, boilerplate, ended = (x.replace("'", "''") for x in (NAVIGATION, BOILERPLATE, ENDED))
+    ended = rf"[{ENDS.replace(']', chr(92) + ']')}][\x20\x09-\x0D]*\z"
+    navigation, boilerplate, ended = (x.replace("'", "''") for x in (NAVIGATION, BOILERPLATE, ended))
     return SQL.format(docs=docs, navigation=navigation, boilerplate=boilerplate, ended=ended)
