@@ -58,9 +58,8 @@ def srgb_to_oklab(r: Column, g: Column, b: Column) -> list[Column]:
 
 
 def oklab_to_oklch(lab: list[Column]) -> list[Column]:
-    """Lightness, chroma, hue in degrees from 0 to 360."""
-    hue = F.degrees(F.atan2(lab[2], lab[1]))
-    return [lab[0], F.sqrt(lab[1] * lab[1] + lab[2] * lab[2]), F.when(hue < 0, hue + 360).otherwise(hue)]
+    """Lightness, chroma, hue in radians from -pi to pi."""
+    return [lab[0], F.sqrt(lab[1] * lab[1] + lab[2] * lab[2]), F.atan2(lab[2], lab[1])]
 
 
 # --- solids -----------------------------------------------------------------------------------------------------
@@ -126,18 +125,54 @@ def lower(tree, names: dict[str, Column]) -> Column:
 # --- trait genomes ----------------------------------------------------------------------------------------------
 
 
-def mutate(position: Column, rate: float, draw: Column) -> Column:
-    """Each trait moved by up to ``rate`` and kept in [0, 1]; ``draw``: uniform numbers, one a trait."""
-    return F.zip_with(position, draw, lambda p, u: F.least(F.lit(1.0), F.greatest(F.lit(0.0), p + rate * (2 * u - 1))))
+def _unit(x: Column) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
 
 
-def marry(a: Column, b: Column, draw: Column) -> Column:
-    """Each trait from one parent or the other."""
-    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b"), draw.alias("u")), lambda x: F.when(x["u"] < 0.5, x["a"]).otherwise(x["b"]))
+def _unless_locked(old: Column, new: Column, locked: list[bool]) -> Column:
+    """``new`` where the trait is free; without ``locked`` all traits are."""
+    if not any(locked):
+        return new
+    fixed = F.array(*[F.lit(x) for x in locked])
+    return F.zip_with(F.arrays_zip(old.alias("o"), new.alias("n")), fixed, lambda x, f: F.when(f, x["o"]).otherwise(x["n"]))
 
 
-def advance(position: Column, velocity: Column, dt: float) -> Column:
-    return F.zip_with(position, velocity, lambda p, v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), p + v * dt)))
+def mutate(position: Column, rate: float, noise: Column, locked: list[bool] = ()) -> Column:
+    """Number traits moved by ``rate`` times standard normal ``noise`` (one a trait) and kept in [0, 1]."""
+    return _unless_locked(position, F.zip_with(position, noise, lambda p, g: _unit(p + rate * g)), locked)
+
+
+def flip(enabled: Column, rate: float, draw: Column, locked: list[bool] = ()) -> Column:
+    """On-off traits turned over where the uniform draw lies below ``rate``."""
+    return _unless_locked(enabled, F.zip_with(enabled, draw, lambda e, u: F.when(u < rate, ~e).otherwise(e)), locked)
+
+
+def marry(a: Column, b: Column, weight: Column, locked: list[bool] = ()) -> Column:
+    """Number traits (or their velocities) blended by a weight of their own; locked ones are the first parent's."""
+    mixed = F.transform(F.arrays_zip(a.alias("a"), b.alias("b"), weight.alias("t")), lambda x: x["a"] * (1 - x["t"]) + x["b"] * x["t"])
+    return _unless_locked(a, mixed, locked)
+
+
+def inherit(a: Column, b: Column, draw: Column, locked: list[bool] = ()) -> Column:
+    """On-off traits of one parent or the other, by the toss of a coin."""
+    either = F.transform(F.arrays_zip(a.alias("a"), b.alias("b"), draw.alias("u")), lambda x: F.when(x["u"] < 0.5, x["a"]).otherwise(x["b"]))
+    return _unless_locked(a, either, locked)
+
+
+def steer(velocity: Column, direction: Column, amount: float, locked: list[bool] = ()) -> Column:
+    return _unless_locked(velocity, F.zip_with(velocity, direction, lambda v, d: v + d * amount), locked)
+
+
+def toward(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: y - x)
+
+
+def advance(position: Column, velocity: Column, dt: float, damping: float, locked: list[bool] = ()) -> tuple[Column, Column]:
+    """Position and velocity a step later: a trait bounces off the walls of [0, 1], and its velocity decays."""
+    free = F.zip_with(position, velocity, lambda p, v: p + v * dt)
+    moved = F.transform(free, lambda p: _unit(F.when(p < 0, -p).when(p > 1, 2 - p).otherwise(p)))
+    turned = F.zip_with(free, velocity, lambda p, v: F.when((p < 0) | (p > 1), -v).otherwise(v) * damping)
+    return _unless_locked(position, moved, locked), _unless_locked(velocity, turned, locked)
 
 
 def decode(position: Column, low: list[float], high: list[float]) -> Column:

@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.rng import shuffle_key, uniform
 from pointloom.operators.neighbors import neighbour_join
+from pointloom.operators.order import numbered
 from pointloom.operators.points import Box, area, quadrat_axes, quadrat_counts, ratio, row_correlation
 
 
 def permuted_labels(cells: DataFrame, sims: int, seed: int) -> DataFrame:
-    """sim, x, y, type_id: in each simulation the labels stand in another order at the same places."""
-    many = cells.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims))))
-    place = Window.partitionBy("sim").orderBy("cell_id")
-    order = Window.partitionBy("sim").orderBy(shuffle_key(F.lit(seed), F.col("sim"), F.col("cell_id")), "cell_id")
-    at = many.select("sim", "x", "y", F.row_number().over(place).alias("k"))
-    labels = many.select("sim", "type_id", F.row_number().over(order).alias("k"))
-    return at.join(labels, ["sim", "k"]).drop("k")
+    """sim, x, y, type_id: in each simulation the labels stand in another order at the same places.
+
+    Cells are numbered once by id, and in each simulation by a hash, both by range partitions; equal numbers meet.
+    """
+    at = numbered(cells.select("cell_id", "x", "y"), ["cell_id"], name="k").drop("cell_id")
+    many = cells.select("cell_id", "type_id", F.explode(F.sequence(F.lit(1), F.lit(sims))).alias("sim"))
+    key = shuffle_key(F.lit(seed), F.col("sim"), F.col("cell_id"))
+    labels = numbered(many, [key, "cell_id"], keys=["sim"], name="k").select("sim", "type_id", "k")
+    return labels.join(at, "k").select("sim", "x", "y", "type_id")
 
 
 def _test(r: DataFrame, sims: int) -> DataFrame:
@@ -88,7 +91,7 @@ def _swap(m: np.ndarray, rng: np.random.Generator, successes: int) -> None:
         done += 1
 
 
-def swap_chain_test(counts: DataFrame, quadrats: int, *, chains: int = 8, samples: int = 10, burn: int = 2000, spacing: int = 500, seed: int = 1) -> DataFrame:
+def swap_chain_test(counts: DataFrame, quadrats: int, *, chains: int = 8, samples: int = 10, burn: int = 10_000, spacing: int = 500, seed: int = 1) -> DataFrame:
     """ta < tb, obs, ses, p against margin-preserving swaps: one sequential chain a task, independently seeded."""
     spark = counts.sparkSession
     types, start = _matrix(counts, quadrats)

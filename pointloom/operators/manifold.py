@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from pointloom.functions.algebra import dot
 from pointloom.operators.lineage import cut
+from pointloom.operators.order import numbered
 
-#: Rows whose sums one partial of the covariance adds up before it is passed on, at most (bounded by a task's input).
-_BATCH = 8192
+#: Rows of a block of the exact search: two blocks with their features are what a task holds.
+BLOCK_ROWS = 4096
 
 
 def column_stats(features: DataFrame) -> DataFrame:
@@ -67,24 +68,34 @@ def eigen_of(matrix: DataFrame) -> DataFrame:
 
 
 def pca(features: DataFrame, components: int = 50) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(row, scores), eigenvalues and basis; the basis is as small as the number of columns and goes into the plan."""
+    """(row, scores), eigenvalues and basis; the basis is as small as the number of columns and is broadcast."""
     cov, mean, n = covariance(features)
     if n < 2:
         raise ValueError("PCA needs two rows")
     values, vectors = eigen(cov)
     k = min(components, len(values), n)
     basis = vectors[:, :k]
-    centred = F.zip_with("features", F.array(*[F.lit(float(m)) for m in mean]), lambda x, m: x - m)
-    scores = [dot(F.col("c"), F.array(*[F.lit(float(w)) for w in basis[:, j]])) for j in range(k)]
-    return features.select("row", centred.alias("c")).select("row", F.array(*scores).alias("scores")), values, basis
+    shared = features.sparkSession.sparkContext.broadcast((mean, basis))
+
+    def project(batches):
+        m, w = shared.value
+        for batch in batches:
+            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(m))
+            ends = pa.array(range(0, k * len(x) + 1, k), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.ListArray.from_arrays(ends, pa.array(((x - m) @ w).ravel()))], names=["row", "scores"])
+
+    kind = features.schema["row"].dataType.simpleString()
+    scores = features.select("row", "features").mapInArrow(project, f"row {kind}, scores array<double>")
+    return scores, values, basis
 
 
-def knn(features: DataFrame, k: int, *, blocks: int = 8) -> DataFrame:
+def knn(features: DataFrame, k: int, *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """i, rank, j, dist: exact k nearest rows (self excluded, ties to the lower j), block against block.
 
-    A stated number of row blocks; each pair of blocks is one group and returns k candidates a row, which a window
-    ranks. Work grows with the square of the rows, memory with two blocks.
+    Rows are dealt into blocks of about ``block_rows``; each pair of blocks is one group and returns k candidates a row,
+    which a window ranks. Work grows with the square of the rows, a task's memory with two blocks.
     """
+    blocks = max(4, -(-features.count() // block_rows))
     rows = features.select("row", "features", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"))
     left = rows.select("row", "features", F.col("block").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(0).alias("side"))
     right = rows.select("row", "features", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("a"), F.col("block").alias("b"), F.lit(1).alias("side"))
@@ -119,17 +130,16 @@ def knn(features: DataFrame, k: int, *, blocks: int = 8) -> DataFrame:
 def approximate_knn(features: DataFrame, k: int, *, tables: int = 8, together: int = 64, seed: int = 5, rounds: int = 2) -> DataFrame:
     """i, rank, j, dist: approximate neighbours.
 
-    Random projections order the rows; consecutive runs of ``together`` rows are compared in full, in ``tables`` orders and
-    at two offsets. Then neighbours of neighbours are tried ``rounds`` times.
+    Random projections order the rows (only ids and projections are sorted); consecutive runs of ``together`` rows are
+    compared in full, in ``tables`` orders and at two offsets. Then neighbours of neighbours are tried ``rounds`` times.
     """
     width = features.select(F.max(F.size("features"))).first()[0] or 1
     rng = np.random.default_rng(seed)
     axes = F.array(*[F.struct(F.lit(t).alias("t"), F.array(*[F.lit(float(v)) for v in rng.normal(size=width)]).alias("w")) for t in range(tables)])
-    n = max(1, features.count())
-    projected = features.withColumn("axis", F.explode(axes)).select("row", "features", F.col("axis.t").alias("t"), dot(F.col("features"), F.col("axis.w")).alias("p"))
-    share = F.percent_rank().over(Window.partitionBy("t").orderBy("p", "row"))
-    runs = projected.withColumn("at", share * n / together)
-    groups = runs.select("row", "features", "t", F.floor("at").cast("long").alias("run")).unionByName(runs.select("row", "features", (F.col("t") + tables).alias("t"), F.floor(F.col("at") + 0.5).cast("long").alias("run")))
+    projected = features.withColumn("axis", F.explode(axes)).select("row", F.col("axis.t").alias("t"), dot(F.col("features"), F.col("axis.w")).alias("p"))
+    places = numbered(projected, ["p", "row"], keys=["t"]).withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
+    run = F.floor((F.col("at") + F.col("half") * (together // 2)) / together)
+    groups = places.select("row", (2 * F.col("t") + F.col("half")).alias("t"), run.alias("run")).join(features, "row")
     kind = features.schema["row"].dataType.simpleString()
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:

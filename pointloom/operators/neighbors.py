@@ -54,7 +54,7 @@ def k_nearest(
     anchors: DataFrame,
     points: DataFrame,
     k: int,
-    start: float,
+    start: float | None = None,
     *,
     axes: Sequence[str] = ("x", "y"),
     same: bool = True,
@@ -62,17 +62,23 @@ def k_nearest(
 ) -> DataFrame:
     """i, rank, j, dist: the k nearest points of each anchor (ties by id; fewer if there are no more).
 
-    Rings grow twofold. An anchor is done when its k-th neighbour lies inside the ring, so that each round joins only
-    anchors in sparse surroundings; the driver sees one count a round.
+    Rings grow twofold from a radius at which k points are expected (or ``start``). An anchor is done when its k-th
+    neighbour lies inside the ring, so that each round joins only anchors in sparse surroundings; the driver sees one
+    count a round.
     """
-    bounds = points.agg(*[F.min(a).alias(f"lo{n}") for n, a in enumerate(axes)], *[F.max(a).alias(f"hi{n}") for n, a in enumerate(axes)]).first()
+    n_points = F.count("*").alias("n")
+    bounds = points.agg(*[F.min(a).alias(f"lo{n}") for n, a in enumerate(axes)], *[F.max(a).alias(f"hi{n}") for n, a in enumerate(axes)], n_points).first()
     outer = anchors.agg(*[F.min(a).alias(f"lo{n}") for n, a in enumerate(axes)], *[F.max(a).alias(f"hi{n}") for n, a in enumerate(axes)]).first()
     if bounds is None or bounds[0] is None or outer[0] is None:
         return anchors.limit(0).select(F.col(id_col).alias("i"), F.lit(0).alias("rank"), F.col(id_col).alias("j"), F.lit(0.0).alias("dist"))
     n = len(axes)
     reach = sum((max(bounds[n + m], outer[n + m]) - min(bounds[m], outer[m])) ** 2 for m in range(n)) ** 0.5 + 1e-9
     order = Window.partitionBy("i").orderBy("d2", "j")
-    left, found, radius = anchors, None, start
+    sides = [max(bounds[n + m] - bounds[m], reach * 1e-3) for m in range(n)]
+    volume = 1.0
+    for side in sides:
+        volume *= side
+    left, found, radius = anchors, None, start or 0.8 * (volume * (k + 1) / bounds["n"]) ** (1 / n)
     while True:
         last = radius > reach
         pairs = neighbour_join(left, points, radius, axes=axes, ids=(id_col, id_col) if same else None)

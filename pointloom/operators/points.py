@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.operators.neighbors import k_nearest, neighbour_join
+from pointloom.operators.order import running
 
 Box = tuple[float, float, float, float]
 
@@ -130,13 +131,13 @@ def contact_network(cells: DataFrame, radius: float) -> DataFrame:
 # --- distances --------------------------------------------------------------------------------------------------
 
 
-def nearest_distance(cells: DataFrame, start: float = 20.0) -> DataFrame:
-    return k_nearest(cells, cells, 1, start).select(F.col("i").alias("cell_id"), F.col("dist").alias("nn"))
+def nearest_distance(cells: DataFrame) -> DataFrame:
+    return k_nearest(cells, cells, 1).select(F.col("i").alias("cell_id"), F.col("dist").alias("nn"))
 
 
-def clark_evans(cells: DataFrame, box: Box, start: float = 20.0) -> DataFrame:
+def clark_evans(cells: DataFrame, box: Box) -> DataFrame:
     """n, mean_nn, r, z, pattern: nearest-neighbour index against complete randomness."""
-    s = nearest_distance(cells, start).agg(F.count("*").alias("n"), F.avg("nn").alias("mean_nn"))
+    s = nearest_distance(cells).agg(F.count("*").alias("n"), F.avg("nn").alias("mean_nn"))
     density = F.col("n") / F.lit(area(box))
     expected = 0.5 / F.sqrt(density)
     error = 0.26136 / F.sqrt(F.col("n") * density)
@@ -145,9 +146,9 @@ def clark_evans(cells: DataFrame, box: Box, start: float = 20.0) -> DataFrame:
     return s.withColumn("pattern", pattern)
 
 
-def kth_distance(cells: DataFrame, k: int, start: float = 40.0) -> DataFrame:
+def kth_distance(cells: DataFrame, k: int) -> DataFrame:
     """cell_id, dist: distance to the k-th neighbour, to the farthest if there are fewer, 0 if there is none."""
-    far = k_nearest(cells, cells, k, start).groupBy(F.col("i").alias("cell_id")).agg(F.max("dist").alias("dist"))
+    far = k_nearest(cells, cells, k).groupBy(F.col("i").alias("cell_id")).agg(F.max("dist").alias("dist"))
     return cells.select("cell_id").join(far, "cell_id", "left").select("cell_id", F.coalesce("dist", F.lit(0.0)).alias("dist"))
 
 
@@ -252,8 +253,7 @@ def kernel_marks(cells: DataFrame, type_a, type_b, radius: float, box: Box, kern
 def auc(scores: DataFrame, score: str = "score", positive: str = "positive") -> DataFrame:
     """auc of a score for a boolean; ties count a half. One row a distinct score is ranked, after grouping."""
     by = scores.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(positive).cast("long")).alias("p"))
-    below = F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = by.withColumn("mid", F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = running(by, [score], F.col("n"), name="below").withColumn("mid", F.col("below") + (F.col("n") + 1) / 2)
     s = ranked.agg(F.sum(F.col("mid") * F.col("p")).alias("ranks"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     negative = F.col("n") - F.col("p")
     return s.select(ratio(F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * negative).alias("auc"))

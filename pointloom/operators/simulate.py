@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from math import exp
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,19 +63,26 @@ def sample_back(series: DataFrame, age: float, *, key: str = "user_id", cubic: b
 
 
 def one_pole(series: DataFrame, tau: float, dt: float = 1.0, *, key: str = "user_id") -> DataFrame:
-    """key, tick, smooth: exponential smoothing that begins at the first value. The recursion of a key is sequential."""
-    a = 1 - exp(-dt / tau)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tick")
-        out, y = [], None
-        for x in pdf["v"].tolist():
-            y = x if y is None else y + a * (x - y)
-            out.append(y)
-        return pdf.assign(smooth=out)[[key, "tick", "smooth"]]
-
-    kind = series.schema[key].dataType.simpleString()
-    return series.select(key, "tick", "v").groupBy(key).applyInPandas(run, f"{key} {kind}, tick int, smooth double")
+    """key, tick, smooth: exponential smoothing that begins at the first value.
+
+    With b = 1 - a, smooth at place n is b**n times (v0 plus the sum of a v / b**k over the places k up to n). Powers of
+    b run out of range, so a key's ticks are cut into runs; a run's value at its begin folds what the runs
+    before it left, and both are window sums and a fold over as many elements as a key has runs.
+    """
+    a, length = 1 - exp(-dt / tau), max(1, min(4096, int(200 * tau / dt)))
+    b, each = 1 - a, Window.partitionBy(key).orderBy("tick")
+    rows = series.select(key, "tick", "v").withColumn("n", F.row_number().over(each) - 1)
+    rows = rows.withColumns({"run": F.floor(F.col("n") / length), "k": F.col("n") % length})
+    term = F.when(F.col("n") == 0, F.col("v")).otherwise(a * F.col("v")) * F.pow(F.lit(b), -F.col("k"))
+    inside = Window.partitionBy(key, "run").orderBy("k")
+    rows = rows.withColumn("own", F.sum(term).over(inside) * F.pow(F.lit(b), F.col("k")))
+    last = rows.groupBy(key, "run").agg(F.max_by("own", "k").alias("left"), F.max("k").alias("size"))
+    ends = last.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("run", "left", "size"))).alias("runs"))
+    zero = F.struct(F.lit(0.0).alias("y"), F.array().cast("array<double>").alias("all"))
+    step = lambda s, x: F.struct((s["y"] * F.pow(F.lit(b), x["size"] + 1) + x["left"]).alias("y"), F.concat(s["all"], F.array(s["y"])).alias("all"))
+    begins = ends.select(key, F.posexplode(F.aggregate("runs", zero, step, lambda s: s["all"])).alias("run", "start"))
+    rows = rows.join(begins, [key, "run"])
+    return rows.select(key, "tick", (F.col("own") + F.col("start") * F.pow(F.lit(b), F.col("k") + 1)).alias("smooth"))
 
 
 # --- bodies -----------------------------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pointloom.operators.lineage import cut
+from pointloom.operators.order import running
 
 
 def read_csv(spark, path: str) -> DataFrame:
@@ -16,9 +17,11 @@ def read_csv(spark, path: str) -> DataFrame:
     return spark.read.options(header=True, multiLine=True, escape='"').csv(path)
 
 
-def inspect_csv(rows: DataFrame, sample: int = 2000) -> DataFrame:
-    """column, numeric (share of values that are numbers in the first rows, the feature's own limit), distinct."""
-    part = rows.limit(sample)
+def inspect_csv(rows: DataFrame, order: str, sample: int = 2000) -> DataFrame:
+    """column, numeric (share of values that are numbers), distinct in the first rows by ``order``: the feature looks at
+    so many rows only."""
+    part = rows.orderBy(order).limit(sample).drop(order)
+    rows = rows.drop(order)
     each = []
     for c in rows.columns:
         v = F.col(f"`{c}`").cast("string")
@@ -83,8 +86,8 @@ def observation_labels(rows: DataFrame, label: str, most: int = 64) -> DataFrame
 def compressed_rows(edges: DataFrame, row: str, col: str, value: str) -> DataFrame:
     """row, start (entries of rows before it), indices and data, sorted by column."""
     g = edges.groupBy(F.col(row).alias("row")).agg(F.sort_array(F.collect_list(F.struct(F.col(col).alias("j"), F.col(value).alias("v")))).alias("e"))
-    before = F.sum(F.size("e")).over(Window.orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
-    return g.select("row", F.coalesce(before, F.lit(0)).alias("start"), F.transform("e", lambda x: x["j"]).alias("indices"), F.transform("e", lambda x: x["v"]).alias("data"))
+    start = running(g.select("row", F.size("e").cast("long").alias("n")), ["row"], F.col("n"), name="start").select("row", "start")
+    return g.join(start, "row").select("row", "start", F.transform("e", lambda x: x["j"]).alias("indices"), F.transform("e", lambda x: x["v"]).alias("data"))
 
 
 def clean_keys(names: DataFrame, column: str) -> DataFrame:

@@ -242,7 +242,7 @@ def _pixels(spark):
 def p27(spark, d):
     from pointloom.operators.neighbors import k_nearest
 
-    near = k_nearest(_pixels(spark), cells_emb(spark, d), 5, 80.0, same=False)
+    near = k_nearest(_pixels(spark), cells_emb(spark, d), 5, same=False)
     return rounded(near.groupBy(F.col("i").cast("int").alias("pixel")).agg(F.sqrt(F.avg(F.col("dist") * F.col("dist"))).alias("v")), "v")
 
 
@@ -250,7 +250,7 @@ def p27(spark, d):
 def p28(spark, d):
     from pointloom.operators.neighbors import k_nearest
 
-    near = k_nearest(_pixels(spark), cells_emb(spark, d), 1, 80.0, same=False)
+    near = k_nearest(_pixels(spark), cells_emb(spark, d), 1, same=False)
     return rounded(near.select(F.col("i").cast("int").alias("pixel"), F.col("dist").alias("v")), "v")
 
 
@@ -296,10 +296,10 @@ def p33(spark, d):
 
 @query(
     "p35_channels_from_features",
-    "SELECT vec_id AS cell_id, k::INT AS channel, round(embedding[k+1]::DOUBLE, 6) + 0.0 AS w FROM embeddings, range(4) r(k) WHERE embedding[k+1] > 0",
+    "SELECT vec_id AS cell_id, k::INT AS channel, round(embedding[k+1]::DOUBLE, 6) + 0.0 AS w FROM embeddings, range(64) r(k) WHERE embedding[k+1] > 0",
 )
 def p35(spark, d):
-    f = features(spark, d).select(F.col("row").alias("cell_id"), F.posexplode(F.slice("features", 1, 4)).alias("channel", "w"))
+    f = features(spark, d).select(F.col("row").alias("cell_id"), F.posexplode("features").alias("channel", "w"))
     return rounded(f.where("w > 0"), "w")
 
 

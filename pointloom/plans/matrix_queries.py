@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from pointloom.operators import manifold as M
 from pointloom.operators import topology as T
+from pointloom.operators.graphs import components
+from pointloom.operators.neighbors import neighbour_join
 from pointloom.plans.point_queries import PAIRS
-from pointloom.plans.registry import query, r6, rounded
+from pointloom.plans.registry import CELLS, query, r6, rounded
 from pointloom.sources.tables import cells_emb, features, grid_q
 
 LONG = "f AS (SELECT vec_id AS row, k::INT AS col, embedding[k+1]::DOUBLE AS v FROM embeddings, range(64) r(k))"
@@ -107,21 +109,28 @@ def t1(spark, d):
     return rounded(T.fuzzy_adjacency(cells_emb(spark, d), 10.0), "mu")
 
 
-_RHO = "rho AS (SELECT i AS c, sqrt(d2) AS rho FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS k FROM pairs) WHERE k = 5)"
+#: Pairs of neighbouring buckets of 100, and the distances of the fifth neighbours.
+_CLOSE = (
+    CELLS + ", c AS MATERIALIZED (SELECT cell_id, x, y, floor(x/100)::INT AS gx, floor(y/100)::INT AS gy FROM cells), "
+    "close AS MATERIALIZED (SELECT a.cell_id AS i, b.cell_id AS j, (b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y) AS d2 FROM "
+    "(SELECT c.*, gx + u AS kx, gy + v AS ky FROM c, range(-1, 2) s(u), range(-1, 2) t(v)) a JOIN c b ON a.kx = b.gx AND a.ky = b.gy WHERE a.cell_id <> b.cell_id), "
+    "rho AS MATERIALIZED (SELECT i AS c, sqrt(d2) AS rho FROM (SELECT i, d2, row_number() OVER (PARTITION BY i ORDER BY d2, j) AS k FROM "
+    "(SELECT a.cell_id AS i, b.cell_id AS j, (b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y) AS d2 FROM c a JOIN c b ON a.cell_id <> b.cell_id)) WHERE k = 5)"
+)
 
 
 @query(
     "t2_adaptive_adjacency",
-    f"""WITH {PAIRS}, {_RHO}, w AS (SELECT i, j, exp(-d2/(2*a.rho*a.rho)) AS p, exp(-d2/(2*b.rho*b.rho)) AS q FROM pairs JOIN rho a ON a.c = i JOIN rho b ON b.c = j WHERE d2 < 900.0)
+    f"""WITH {_CLOSE}, w AS (SELECT i, j, exp(-d2/(2*1.5*1.5*a.rho*a.rho)) AS p, exp(-d2/(2*1.5*1.5*b.rho*b.rho)) AS q FROM close JOIN rho a ON a.c = i JOIN rho b ON b.c = j WHERE d2 < 900.0)
     SELECT i, j, {r6('p+q-p*q')} AS mu FROM w""",
 )
 def t2(spark, d):
-    return rounded(T.adaptive_adjacency(cells_emb(spark, d), 5, 30.0), "mu")
+    return rounded(T.adaptive_adjacency(cells_emb(spark, d), 5, 30.0, scale=1.5), "mu")
 
 
 @query(
     "t3_cknn",
-    f"""WITH {PAIRS}, {_RHO}, w AS (SELECT i, j, sqrt(d2)/sqrt(a.rho*b.rho) AS s FROM pairs JOIN rho a ON a.c = i JOIN rho b ON b.c = j WHERE d2 < 10000.0)
+    f"""WITH {_CLOSE}, w AS (SELECT i, j, sqrt(d2)/sqrt(a.rho*b.rho) AS s FROM close JOIN rho a ON a.c = i JOIN rho b ON b.c = j WHERE d2 < 10000.0)
     SELECT i, j, {r6('s')} AS scaled, {r6('exp(-s*s)')} AS weight FROM w WHERE s < 0.8""",
 )
 def t3(spark, d):
@@ -135,22 +144,25 @@ def t4(spark, d):
 
 @query("t5_rips_persistence")
 def t5(spark, d):
-    return rounded(T.rips(cells_emb(spark, d).where("type_id < 3"), "type_id", 120.0), "birth", "death")
+    return rounded(T.rips(cells_emb(spark, d), "type_id", 120.0), "birth", "death")
 
 
 @query("t6_betti_numbers")
 def t6(spark, d):
-    return T.betti(T.rips(cells_emb(spark, d).where("type_id < 3"), "type_id", 120.0), 60.0, "type_id")
+    return T.betti(T.rips(cells_emb(spark, d), "type_id", 120.0), 60.0, "type_id")
 
 
 @query(
     "t6_components_at_scale",
-    f"""WITH RECURSIVE {PAIRS}, reach AS (SELECT cell_id AS a, cell_id AS b FROM cells WHERE type_id < 3 UNION SELECT r.a, p.j FROM reach r JOIN pairs p ON p.i = r.b AND p.ta = p.tb AND p.d2 <= 3600.0)
+    f"""WITH RECURSIVE {PAIRS}, reach AS (SELECT cell_id AS a, cell_id AS b FROM cells UNION SELECT r.a, p.j FROM reach r JOIN pairs p ON p.i = r.b AND p.ta = p.tb AND p.d2 <= 3600.0)
     SELECT c.type_id, count(DISTINCT m) AS n FROM (SELECT a, min(b) AS m FROM reach GROUP BY 1) JOIN cells c ON c.cell_id = a GROUP BY 1""",
 )
 def t6c(spark, d):
-    b = T.betti(T.rips(cells_emb(spark, d).where("type_id < 3"), "type_id", 120.0), 60.0, "type_id")
-    return b.where("dim = 0").select("type_id", F.col("betti").alias("n"))
+    """Pieces of each type's points linked within 60: counted from the links alone, without a complex."""
+    cells = cells_emb(spark, d)
+    links = neighbour_join(cells, cells, 60.0, keys=("type_id",), inclusive=True)
+    roots = components(cells.select(F.col("cell_id").alias("node")), links.select(F.col("a_cell_id").alias("i"), F.col("c_cell_id").alias("j")))
+    return roots.where("node = root").join(cells, roots["node"] == cells["cell_id"]).groupBy("type_id").agg(F.count("*").alias("n"))
 
 
 def _fields(spark, d):

@@ -15,6 +15,7 @@ from pointloom.operators import manifold as M
 from pointloom.operators import points as P
 from pointloom.operators import raster as R
 from pointloom.operators.inference import permuted_labels, rank_envelope
+from pointloom.operators.order import numbered
 from pointloom.plans.registry import CELLS, query, r6, rounded
 from pointloom.sources.tables import WINDOW_EMB, cells_emb, coo, features, points3, table
 
@@ -83,11 +84,11 @@ def p38(spark, d):
 
 @query(
     "p42_standardised_features",
-    f"""WITH f AS (SELECT vec_id AS row, k::INT AS col, embedding[k+1]::DOUBLE AS v FROM embeddings, range(4) r(k)), s AS (SELECT col, avg(v) AS m, stddev_samp(v) AS sd FROM f GROUP BY 1)
+    f"""WITH f AS (SELECT vec_id AS row, k::INT AS col, embedding[k+1]::DOUBLE AS v FROM embeddings, range(64) r(k)), s AS (SELECT col, avg(v) AS m, stddev_samp(v) AS sd FROM f GROUP BY 1)
     SELECT row, col, {r6('(v-m)/sd', 5)} AS z FROM f JOIN s USING (col)""",
 )
 def p42(spark, d):
-    f = features(spark, d).select("row", F.slice("features", 1, 4).alias("features"))
+    f = features(spark, d)
     s = M.column_stats(f)
     z = f.select("row", F.posexplode("features").alias("col", "v")).join(F.broadcast(s), "col")
     return rounded(z.select("row", "col", ((F.col("v") - F.col("mean")) * F.col("scale")).alias("z")), "z", digits=5)
@@ -104,9 +105,8 @@ def m11(spark, d):
     edges = cut(M.fuzzy_graph(near, M.smooth_knn(near, 14)))
     a, b = M.fit_ab()
     n = f.count()
-    rank = F.row_number().over(Window.orderBy("row")) - 1
     start = [(20 * uniform(F.lit(f"l{k}"), F.col("row")) - 10).alias(k) for k in "xy"]
-    at = cut(f.select("row", rank.cast("long").alias("n"), *start))
+    at = cut(numbered(f.select("row"), ["row"], name="n").select("row", "n", *start))
     for epoch in range(6):
         alpha = 1 - epoch / 6
         p = at.select(F.col("row").alias("head"), F.col("x").alias("hx"), F.col("y").alias("hy"))

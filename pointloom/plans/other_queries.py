@@ -7,6 +7,7 @@ from math import exp
 from pyspark.sql import functions as F
 
 from pointloom.functions import expressions as X
+from pointloom.functions.rng import uniform
 from pointloom.operators import simulate as S
 from pointloom.operators import tables as B
 from pointloom.plans.registry import GRID, query, r6, rounded
@@ -23,12 +24,12 @@ def s3(spark, d):
 
 @query(
     "s5_inspect_columns",
-    """SELECT 'c_name' AS "column", avg((try_cast(c_name AS DOUBLE) IS NOT NULL)::INT::DOUBLE) AS numeric, count(DISTINCT c_name) AS "distinct" FROM customer WHERE c_custkey <= 1000
-    UNION ALL SELECT 'c_acctbal', avg((try_cast(c_acctbal AS DOUBLE) IS NOT NULL)::INT::DOUBLE), count(DISTINCT c_acctbal) FROM customer WHERE c_custkey <= 1000
-    UNION ALL SELECT 'c_mktsegment', avg((try_cast(c_mktsegment AS DOUBLE) IS NOT NULL)::INT::DOUBLE), count(DISTINCT c_mktsegment) FROM customer WHERE c_custkey <= 1000""",
+    """SELECT 'c_name' AS "column", avg((try_cast(c_name AS DOUBLE) IS NOT NULL)::INT::DOUBLE) AS numeric, count(DISTINCT c_name) AS "distinct" FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 2000)
+    UNION ALL SELECT 'c_acctbal', avg((try_cast(c_acctbal AS DOUBLE) IS NOT NULL)::INT::DOUBLE), count(DISTINCT c_acctbal) FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 2000)
+    UNION ALL SELECT 'c_mktsegment', avg((try_cast(c_mktsegment AS DOUBLE) IS NOT NULL)::INT::DOUBLE), count(DISTINCT c_mktsegment) FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 2000)""",
 )
 def s5(spark, d):
-    return B.inspect_csv(table(spark, d, "customer").where("c_custkey <= 1000").select("c_name", "c_acctbal", "c_mktsegment"))
+    return B.inspect_csv(table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), "c_custkey")
 
 
 @query("s6_group_cells", "SELECT c_mktsegment AS type_id, count(*) AS n, min(c_custkey) AS first, 0::BIGINT AS skipped FROM customer GROUP BY 1")
@@ -131,12 +132,12 @@ def k7(spark, d):
 
 @query(
     "k11_clean_keys",
-    r"""WITH k AS (SELECT p_partkey, p_name, regexp_replace(p_name, '[^A-Za-z0-9_.-]', '_', 'g') AS base FROM part WHERE p_partkey <= 500),
+    r"""WITH k AS (SELECT p_partkey, p_name, regexp_replace(p_name, '[^A-Za-z0-9_.-]', '_', 'g') AS base FROM part),
     u AS (SELECT DISTINCT p_name, base FROM k), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_name) AS k FROM u)
     SELECT p_name, CASE WHEN k > 1 THEN base || '__' || k ELSE base END AS key FROM n""",
 )
 def k11(spark, d):
-    return B.clean_keys(table(spark, d, "part").where("p_partkey <= 500").select("p_name").distinct(), "p_name")
+    return B.clean_keys(table(spark, d, "part").select("p_name").distinct(), "p_name")
 
 
 @query("g27_delay", f"WITH {_SERIES} SELECT user_id, tick, lag(v, 3, 0.0) OVER (PARTITION BY user_id ORDER BY tick) AS delayed FROM s")
@@ -322,26 +323,57 @@ def c6(spark, d):
     return rounded(points3(spark, d).select("id", X.lower(tree, {c: F.col(c) for c in "xyz"}).alias("v")), "v")
 
 
+_DRAW = lambda seed, n: f"('0x'||substr(md5('{seed}-'||p_partkey||'-{n}'),1,8))::BIGINT/4294967296.0"
+_NORMAL = lambda seed, n: f"sqrt(-2*ln(greatest({_DRAW(seed, n)}, 1e-12)))*cos(2*pi()*{_DRAW(seed, n + 1)})"
+_UNIT = lambda x: f"least(1, greatest(0, {x}))"
+
+
+def _draw(seed, n):
+    return uniform(F.lit(seed), F.col("p_partkey"), F.lit(n))
+
+
 @query(
     "e1_mutate",
-    f"""WITH t AS (SELECT p_partkey AS k, (p_size/50.0)::DOUBLE AS a, (p_partkey % 10)/10.0 AS b, ('0x'||substr(md5('2-'||p_partkey||'-0'),1,8))::BIGINT/4294967296.0 AS u, ('0x'||substr(md5('2-'||p_partkey||'-1'),1,8))::BIGINT/4294967296.0 AS w FROM part)
-    SELECT k, {r6('5+10*least(1, greatest(0, a+0.2*(2*u-1)))')} AS a, {r6('least(1, greatest(0, b+0.2*(2*w-1)))')} AS b FROM t""",
+    f"""WITH t AS (SELECT p_partkey AS k, (p_size/50.0)::DOUBLE AS a, ((p_partkey % 10)/10.0)::DOUBLE AS b, {_NORMAL(2, 0)} AS u, {_NORMAL(2, 2)} AS w, {_DRAW(2, 6)} AS f FROM part)
+    SELECT k, {r6('5+10*' + _UNIT('a+0.2*u'))} AS a, {r6(_UNIT('b+0.2*w'))} AS b, {r6('a')} AS locked, CASE WHEN f < 0.2 THEN NOT (k % 2 = 0) ELSE k % 2 = 0 END AS enabled FROM t""",
 )
 def e1(spark, d):
-    from pointloom.functions.rng import uniform
-
     k = F.col("p_partkey")
-    pos = F.array(F.col("p_size") / 50.0, (k % 10) / 10.0)
-    new = X.decode(X.mutate(pos, 0.2, F.array(*[uniform(F.lit(2), k, F.lit(n)) for n in range(2)])), [5.0, 0.0], [15.0, 1.0])
-    return rounded(table(spark, d, "part").select(k.alias("k"), new[0].alias("a"), new[1].alias("b")), "a", "b")
+    pos = F.array(F.col("p_size") / 50.0, (k % 10) / 10.0, F.col("p_size") / 50.0)
+    noise = F.array(*[X.gaussian(_draw(2, n), _draw(2, n + 1)) for n in (0, 2, 4)])
+    new = X.decode(X.mutate(pos, 0.2, noise, [False, False, True]), [5.0, 0.0, 0.0], [15.0, 1.0, 1.0])
+    on = X.flip(F.array(k % 2 == 0), 0.2, F.array(_draw(2, 6)))
+    got = table(spark, d, "part").select(k.alias("k"), new[0].alias("a"), new[1].alias("b"), new[2].alias("locked"), on[0].alias("enabled"))
+    return rounded(got, "a", "b", "locked")
 
 
-@query("e1_marry", "SELECT p_partkey AS k, (CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 2.0 END)::DOUBLE AS a, (CASE WHEN p_size % 4 < 2 THEN 3.0 ELSE 4.0 END)::DOUBLE AS b FROM part")
+@query(
+    "e1_marry",
+    f"""WITH t AS (SELECT p_partkey AS k, (p_size/50.0)::DOUBLE AS a, ((p_partkey % 10)/10.0)::DOUBLE AS b, {_DRAW(3, 0)} AS t, {_DRAW(3, 1)} AS u FROM part)
+    SELECT k, {r6('a*(1-t)+b*t')} AS position, {r6('0.1*(1-t)-0.3*t')} AS velocity, CASE WHEN u < 0.5 THEN k % 2 = 0 ELSE k % 3 = 0 END AS enabled FROM t""",
+)
 def e1m(spark, d):
-    s = F.col("p_size")
-    draw = F.array((s % 2).cast("double"), F.when(s % 4 < 2, 0.0).otherwise(1.0))
-    got = X.marry(F.array(F.lit(1.0), F.lit(3.0)), F.array(F.lit(2.0), F.lit(4.0)), draw)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), got[0].alias("a"), got[1].alias("b"))
+    k = F.col("p_partkey")
+    weight = F.array(_draw(3, 0))
+    position = X.marry(F.array(F.col("p_size") / 50.0), F.array((k % 10) / 10.0), weight)
+    velocity = X.marry(F.array(F.lit(0.1)), F.array(F.lit(-0.3)), weight)
+    on = X.inherit(F.array(k % 2 == 0), F.array(k % 3 == 0), F.array(_draw(3, 1)))
+    got = table(spark, d, "part").select(k.alias("k"), position[0].alias("position"), velocity[0].alias("velocity"), on[0].alias("enabled"))
+    return rounded(got, "position", "velocity")
+
+
+@query(
+    "e1_advance",
+    f"""WITH t AS (SELECT p_partkey AS k, (p_size/50.0)::DOUBLE AS p, ((p_partkey % 21)/10.0 - 1 + 0.5*(0.25-p_size/50.0))::DOUBLE AS v FROM part)
+    SELECT k, {r6('least(1, greatest(0, CASE WHEN p+0.5*v < 0 THEN -(p+0.5*v) WHEN p+0.5*v > 1 THEN 2-(p+0.5*v) ELSE p+0.5*v END))')} AS position,
+      {r6('CASE WHEN p+0.5*v < 0 OR p+0.5*v > 1 THEN -0.9*v ELSE 0.9*v END')} AS velocity FROM t""",
+)
+def e1a(spark, d):
+    """Steered toward a quarter, then a step with bouncing and damping."""
+    k = F.col("p_partkey")
+    pos, vel = F.array(F.col("p_size") / 50.0), F.array((k % 21) / 10.0 - 1)
+    position, velocity = X.advance(pos, X.steer(vel, X.toward(pos, F.array(F.lit(0.25))), 0.5), 0.5, 0.9)
+    return rounded(table(spark, d, "part").select(k.alias("k"), position[0].alias("position"), velocity[0].alias("velocity")), "position", "velocity")
 
 
 @query(
@@ -370,7 +402,7 @@ _ROW = lambda m, v: "(" + "+".join(f"({w})*{c}" for w, c in zip(m, v, strict=Tru
     l AS (SELECT k, {', '.join(f'{_LIN(c)} AS {c}' for c in 'rgb')} FROM c),
     m AS (SELECT k, {', '.join(f"cbrt({_ROW(row, 'rgb')}) AS {n}" for n, row in zip(('lc', 'mc', 'sc'), X.TO_CONES, strict=True))} FROM l),
     o AS (SELECT k, {', '.join(f"{_ROW(row, ('lc', 'mc', 'sc'))} AS {n}" for n, row in zip(('li', 'a', 'bb'), X.TO_LAB, strict=True))} FROM m)
-    SELECT k, {r6('li', 5)} AS lightness, {r6('sqrt(a*a+bb*bb)', 5)} AS chroma, CASE WHEN sqrt(a*a+bb*bb) > 0.001 THEN round(degrees(atan2(bb, a)) + CASE WHEN atan2(bb, a) < 0 THEN 360 ELSE 0 END, 3)+0.0 END AS hue FROM o""",
+    SELECT k, {r6('li', 5)} AS lightness, {r6('sqrt(a*a+bb*bb)', 5)} AS chroma, CASE WHEN sqrt(a*a+bb*bb) > 0.001 THEN round(atan2(bb, a), 3)+0.0 END AS hue FROM o""",
 )
 def v1(spark, d):
     k = F.col("p_partkey")

@@ -56,7 +56,7 @@ def p4(spark, d):
     q = spark.range(1024).select(
         F.col("id").alias("cell_id"), (-450 + 900 * uniform(F.lit("1-x"), F.col("id"))).alias("x"), (-450 + 900 * uniform(F.lit("1-y"), F.col("id"))).alias("y")
     )
-    near = k_nearest(q, cells_emb(spark, d), 1, 40.0, same=False)
+    near = k_nearest(q, cells_emb(spark, d), 1, same=False)
     return rounded(near.select(F.col("i").alias("cell_id"), "dist"), "dist")
 
 

@@ -169,7 +169,7 @@ def test_csv_quotes_and_groups(spark, tmp_path):
     assert rows.count() == 4
     got = {r.type_id: r for r in tables.group_cells(rows.withColumn("n", F.monotonically_increasing_id()), "x", "y", "kind", "n").collect()}
     assert set(got) == {'a "b", c', "two lines"} and all(r.skipped == 2 for r in got.values())
-    assert {r.column: r.numeric for r in tables.inspect_csv(rows).collect()}["y"] == 0.75
+    assert {r.column: r.numeric for r in tables.inspect_csv(rows.withColumn("n", F.monotonically_increasing_id()), "n").collect()}["y"] == 0.75
 
 
 def test_matrix_sink_refuses(spark, tmp_path):
