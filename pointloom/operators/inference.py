@@ -138,6 +138,27 @@ def shift_null_counts(cells: DataFrame, type_a, type_b, box: Box, *, r_max: floa
     return axis.join(counts, ["curve", "r"], "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
 
 
+def label_null_counts(cells: DataFrame, type_a, type_b, *, r_max: float, bins: int, sims: int, seed: int) -> DataFrame:
+    """curve, r, pairs: pair counts by distance bin, observed (curve 0) and with the two labels dealt out anew.
+
+    Places stay, so the pairs of both types together are found once; each simulation only looks at who is which.
+    """
+    both = cells.where(F.col("type_id").isin([type_a, type_b]))
+    n_a = both.where(F.col("type_id") == type_a).count()
+    many = both.select("cell_id", F.explode(F.sequence(F.lit(1), F.lit(sims))).alias("sim"))
+    key = shuffle_key(F.lit(seed), F.col("sim"), F.col("cell_id"))
+    drawn = numbered(many, [key, "cell_id"], keys=["sim"], name="k").select("sim", "cell_id", (F.col("k") < n_a).alias("is_a"))
+    labels = drawn.unionByName(both.select(F.lit(0).alias("sim"), "cell_id", (F.col("type_id") == type_a).alias("is_a")))
+    places = both.select("cell_id", "x", "y")
+    k = F.least(F.floor(F.sqrt("d2") / (r_max / bins)), F.lit(bins - 1)).cast("int")
+    pairs = neighbour_join(places, places, r_max).select(F.col("a_cell_id").alias("i"), F.col("c_cell_id").alias("j"), k.alias("r"))
+    a = labels.where("is_a").select("sim", F.col("cell_id").alias("i"))
+    b = labels.where("not is_a").select("sim", F.col("cell_id").alias("j"))
+    counts = pairs.join(a, "i").join(b, ["sim", "j"]).groupBy(F.col("sim").alias("curve"), "r").agg(F.count("*").alias("pairs"))
+    axis = cells.sparkSession.range((sims + 1) * bins).select((F.col("id") / bins).cast("int").alias("curve"), (F.col("id") % bins).cast("int").alias("r"))
+    return axis.join(counts, ["curve", "r"], "left").withColumn("pairs", F.coalesce("pairs", F.lit(0)))
+
+
 def rank_envelope(values: DataFrame, *, curves: int, alpha: float = 0.05) -> DataFrame:
     """r, lo, hi, observed, p: global extreme-rank-length envelope of (curve, r, v); curve 0 is observed.
 

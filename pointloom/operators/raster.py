@@ -165,3 +165,27 @@ def gram(rasters: DataFrame, pixel_area: float, channel: str = "channel") -> Dat
     full = sa.join(sb, "one").join(cross, ["a", "b"], "left").withColumn("sab", F.coalesce("sab", F.lit(0.0)))
     corr = F.when((F.col("sd_a") > 0) & (F.col("sd_b") > 0), (F.col("sab") / F.col("n") - F.col("mean_a") * F.col("mean_b")) / F.col("sd_a") / F.col("sd_b"))
     return full.select("a", "b", (F.col("sab") * pixel_area).alias("c"), "mean_a", "mean_b", corr.alias("corr"))
+
+
+def association(grams: DataFrame, points: DataFrame, box: Box, radius: float, power: int, *, weight: str | None = None) -> DataFrame:
+    """a, b, c, g, self_term, mass_a, mass_b, apron_a of a Gram matrix (a, b, c) of disjoint channels.
+
+    ``points`` (channel, x, y) are those that were splatted with the kernel (1 - d²/r²)^``power``. mass: marks inside the
+    window; apron: marks outside it within the radius, which fill the edge pixels but set no density. self_term: what
+    points add to their own channel, the integral of the kernel squared times the squared marks. g: the rest of c over
+    what complete spatial randomness gives, mass_a mass_b / area.
+    """
+    x0, y0, x1, y1 = box
+    w = F.lit(1.0) if weight is None else F.col(weight)
+    inside = F.col("x").between(x0, x1) & F.col("y").between(y0, y1)
+    near = F.col("x").between(x0 - radius, x1 + radius) & F.col("y").between(y0 - radius, y1 + radius)
+    of = lambda test, v: F.coalesce(F.sum(F.when(test, v)), F.lit(0.0))
+    s = points.groupBy("channel").agg(of(inside, w).alias("mass"), of(near & ~inside, w).alias("apron"), of(inside, w * w).alias("squares"))
+    roughness = (power + 1) ** 2 / (pi * radius * radius * (2 * power + 1))
+    a = s.select(F.col("channel").alias("a"), F.col("mass").alias("mass_a"), F.col("apron").alias("apron_a"), F.col("squares").alias("own"))
+    b = s.select(F.col("channel").alias("b"), F.col("mass").alias("mass_b"))
+    full = grams.select("a", "b", "c").join(a, "a").join(b, "b")
+    full = full.withColumn("self_term", F.when(F.col("a") == F.col("b"), roughness * F.col("own")).otherwise(0.0))
+    expected = F.col("mass_a") * F.col("mass_b") / ((x1 - x0) * (y1 - y0))
+    g = F.when(expected > 0, (F.col("c") - F.col("self_term")) / expected).otherwise(0.0)
+    return full.select("a", "b", "c", g.alias("g"), "self_term", "mass_a", "mass_b", "apron_a")

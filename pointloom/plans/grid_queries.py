@@ -286,6 +286,25 @@ def p31(spark, d):
     return rounded(rounded(g, "mean_a", "mean_b", digits=3), "c", "corr")
 
 
+_INNER = (-250.0, -250.0, 250.0, 250.0)
+_RAST_IN = _RAST.replace("-450+", "-250+").replace(f"{900 / 32}", f"{500 / 32}")
+
+
+@query(
+    "p31_association",
+    f"""WITH {_RAST_IN}, s AS (SELECT a.channel AS a, b.channel AS b, sum(a.v*b.v)*{(500 / 32) ** 2} AS c FROM ras a JOIN ras b USING (y, x) GROUP BY 1, 2),
+    m AS (SELECT channel, count(*) FILTER (x BETWEEN -250 AND 250 AND y BETWEEN -250 AND 250)::DOUBLE AS mass,
+      count(*) FILTER (x BETWEEN -310 AND 310 AND y BETWEEN -310 AND 310 AND NOT (x BETWEEN -250 AND 250 AND y BETWEEN -250 AND 250))::DOUBLE AS apron FROM ch GROUP BY 1),
+    t AS (SELECT a, b, c, p.mass AS mass_a, q.mass AS mass_b, p.apron AS apron_a, CASE WHEN a = b THEN p.mass*4/(pi()*3600*3) ELSE 0 END AS self_term FROM s JOIN m p ON p.channel = a JOIN m q ON q.channel = b)
+    SELECT a, b, {r6('c')} AS c, {r6('(c-self_term)/(mass_a*mass_b/250000.0)', 5)} AS g, {r6('self_term')} AS self_term, mass_a, mass_b, apron_a FROM t""",
+)
+def p31a(spark, d):
+    c = cells_emb(spark, d).withColumn("channel", F.col("type_id") % 3)
+    rasters = R.splat(c, _INNER, 32, 32, 60.0, P.kernel_at("epanechnikov", F.col("d2"), 60.0), keys=("channel",))
+    got = R.association(R.gram(rasters, (500 / 32) ** 2), c, _INNER, 60.0, 1)
+    return rounded(rounded(got, "c", "self_term"), "g", digits=5)
+
+
 @query("p33_colocation_modes")
 def p33(spark, d):
     from pointloom.operators.manifold import eigen_of
