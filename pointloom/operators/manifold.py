@@ -127,7 +127,7 @@ def knn(features: DataFrame, k: int, *, block_rows: int = BLOCK_ROWS) -> DataFra
     return ranked.where(F.col("rank") <= k).select("i", "rank", "j", F.sqrt("d2").alias("dist"))
 
 
-def approximate_knn(features: DataFrame, k: int, *, tables: int = 8, together: int = 64, seed: int = 5, rounds: int = 2) -> DataFrame:
+def approximate_knn(features: DataFrame, k: int, *, tables: int = 8, together: int = 512, seed: int = 5, rounds: int = 1) -> DataFrame:
     """i, rank, j, dist: approximate neighbours.
 
     Random projections order the rows (only ids and projections are sorted); consecutive runs of ``together`` rows are
@@ -144,7 +144,7 @@ def approximate_knn(features: DataFrame, k: int, *, tables: int = 8, together: i
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids = np.stack(pdf["features"]), pdf["row"].to_numpy()
-        d2 = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2)
+        d2 = np.concatenate([((x[lo : lo + 64, None, :] - x[None, :, :]) ** 2).sum(2) for lo in range(0, len(x), 64)])
         np.fill_diagonal(d2, np.inf)
         most = min(k, len(ids) - 1)
         pick = np.argsort(d2, axis=1, kind="stable")[:, :most]

@@ -387,7 +387,10 @@ def e3(spark, d):
     return B.ancestry(table(spark, d, "part").select(k.alias("id"), parents.alias("parents")), 199)
 
 
-@query("e4_mulberry32")
+@query(
+    "e4_mulberry32",
+    "WITH a AS (SELECT id, (id+1831565813)&4294967295 AS a FROM range(1000) r(id)), b AS (SELECT id, (((xor(a,a>>15))*((a|1)&65535)+((((xor(a,a>>15))*((a|1)>>16))&65535)<<16))&4294967295) AS t FROM a), c AS (SELECT id, xor(t,((t+(((xor(t,t>>7))*((t|61)&65535)+((((xor(t,t>>7))*((t|61)>>16))&65535)<<16))&4294967295))&4294967295)) AS t FROM b) SELECT id, round(xor(t, t>>14)/4294967296.0, 9)+0.0 AS u FROM c",
+)
 def e4(spark, d):
     return rounded(spark.range(1000).select("id", X.mulberry32(F.col("id")).alias("u")), "u", digits=9)
 
