@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from pointloom.llm.common import discard, fresh, map_texts, saved, space_words
@@ -49,11 +49,11 @@ EXACT_4 = Search()
 #: Candidates for a similarity of 0.8: such texts differ in 39 of 256 bits on average, with a deviation of 6, and texts
 #: without relation in 128. Fourteen runs of 18 bits admit two differences each: of pairs that differ in 15 % of their
 #: bits, one in 7,000 agrees in no run.
-SIMILAR = Search(words=4, budget=60, turns=14, run=18, run_budget=2, subtree=1 << 15)
+SIMILAR = Search(words=4, budget=60, turns=14, run=18, run_budget=2, subtree=1 << 18, crowd=1 << 19)
 #: Least share of common shingles (numerator, denominator) of texts that are near copies.
 LEAST_SIMILARITY = (4, 5)
 #: Text bytes and rows of a block of a group of similar fingerprints, whose texts are compared block against block.
-BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 2048
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 1024
 
 
 def _mixed(h: np.ndarray, words: int) -> np.ndarray:
@@ -256,6 +256,11 @@ def _dealt(rows: DataFrame, keys: list[str], crowd: int) -> DataFrame:
     return both.drop("blocks", "own", "other")
 
 
+def _grouped(rows: DataFrame, keys: list[str]) -> GroupedData:
+    """Groups that are dealt out by all keys, also where a join before dealt the rows out by some of them."""
+    return rows.repartition(*keys).groupBy(*keys)
+
+
 def links(fps: DataFrame, search: Search = EXACT_4) -> DataFrame:
     """Links (u, v) of nodes that connect what the search links.
 
@@ -291,7 +296,7 @@ def links(fps: DataFrame, search: Search = EXACT_4) -> DataFrame:
 
     keys = ["turn", "low", "mask"]
     rows = _dealt(rows.select("turn", low, "mask", "x", "node", *(["fp"] if long else [])), keys, search.crowd)
-    return rows.groupBy(*keys, "left", "right").applyInPandas(walk, "u long, v long")
+    return _grouped(rows, [*keys, "left", "right"]).applyInPandas(walk, "u long, v long")
 
 
 def components(pairs: DataFrame, *, most: int = 60) -> DataFrame:
@@ -425,7 +430,7 @@ def confirmed(groups: DataFrame, texts: DataFrame, shingle: int, search: Search)
         return pd.DataFrame({"u": node[pairs[:, 0]], "v": node[pairs[:, 1]]})
 
     chosen = rows.select("root", "left", "right", "own", "node", "fp", "text")
-    return chosen.groupBy("root", "left", "right").applyInPandas(compare, "u long, v long")
+    return _grouped(chosen, ["root", "left", "right"]).applyInPandas(compare, "u long, v long")
 
 
 def _similar_classes(

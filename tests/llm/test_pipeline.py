@@ -23,7 +23,7 @@ ROWS = [
     *CLEAN,
     (100, CLEAN[3][1]),
     (101, CLEAN[4][1].replace("\n", " extra\n", 2)),
-    (102, prose(60) + "\n" + ITEM + "\n" + prose(60)),
+    (102, prose(60) + "\n" + ITEM + ".\n" + prose(60)),
     (103, prose(100) + f'\ntoken = "{HEX}".'),
     (104, "too short"),
     (105, None),
@@ -61,6 +61,23 @@ def test_stages_keep_the_columns(spark, sf_dir):
         assert stage(spark, docs, sf_dir).columns == docs.columns
 
 
+def test_stages_take_nulls_repeats_and_clashing_columns(spark, sf_dir):
+    """Null and repeated ids, null and empty texts, and columns named like those the stages make on the way."""
+    names = ["row__", "fp__", "component__", "digest__", "hit__", "base__", "spans__", "words__", "lines__", "text__", "piece_ids", "n_pieces", "q__n_words"]
+    texts = [CLEAN[0][1], CLEAN[0][1], CLEAN[1][1], None, "", " ", prose(3000), CLEAN[2][1] + "\n" + ITEM + "."]
+    rows = [(k if k > 1 else None, t, *[f"{n}{k}" for n in names]) for k, t in enumerate(texts)] + [(2, CLEAN[1][1], *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    left = {n: [tuple(r)[:2] for r in stage(spark, docs, sf_dir).collect()] for n, stage in corpus_pipeline.STAGES}
+    assert len(left["quality_rules"]) == 6 and len(left["secret_scan"]) == len(left["sentencepiece"]) == 9
+    assert sorted(map(str, (i for i, _ in left["near_duplicates"]))) == ["2", "3", "6", "7", "None"]
+    assert len(left["decontamination"]) == 8
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        kept = {tuple(r)[2:] for r in out.select(docs.columns).collect()}
+        assert kept <= {r[2:] for r in rows}, name
+
+
 def test_empty_documents(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
