@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -104,6 +105,23 @@ def write_matrix(df: DataFrame, path: str, *, rows: int | None = None, force: bo
     df.write.mode("overwrite" if force else "errorifexists").parquet(path)
 
 
+def write_pairs(edges: DataFrame, path: str, rows: int, *, row: str = "i", col: str = "j", force: bool = False) -> None:
+    """Writes a sparse square matrix of the observations; refuses indices outside 0 to ``rows`` - 1."""
+    wrong = edges.where(~F.col(row).between(0, rows - 1) | ~F.col(col).between(0, rows - 1) | F.col(row).isNull() | F.col(col).isNull())
+    if not wrong.isEmpty():
+        raise ValueError(f"the matrix is not {rows} by {rows}")
+    edges.write.mode("overwrite" if force else "errorifexists").parquet(path)
+
+
+def write_neighbors(distances: DataFrame, weights: DataFrame, path: str, rows: int, params: dict, *, force: bool = False) -> None:
+    """Writes distances, connectivities and one row of parameters (as JSON) under ``path``."""
+    write_pairs(distances, f"{path}/distances", rows, force=force)
+    write_pairs(weights, f"{path}/connectivities", rows, row="head", col="tail", force=force)
+    text = json.dumps({"connectivities_key": "connectivities", "distances_key": "distances", "params": params}, sort_keys=True)
+    one = distances.sparkSession.createDataFrame([(text,)], "params string")
+    one.write.mode("overwrite" if force else "errorifexists").parquet(f"{path}/params")
+
+
 # --- multiscale pyramids ----------------------------------------------------------------------------------------
 
 

@@ -182,6 +182,43 @@ def test_matrix_sink_refuses(spark, tmp_path):
     tables.write_matrix(df, path, force=True)
 
 
+def test_square_sink_and_neighbour_parameters(spark, tmp_path):
+    near = spark.createDataFrame([(0, 1, 0.5), (1, 0, 0.5)], "i long, j long, dist double")
+    weights = near.selectExpr("i AS head", "j AS tail", "1.0D AS weight")
+    with pytest.raises(ValueError, match="1 by 1"):
+        tables.write_pairs(near, f"file://{tmp_path}/s", 1)
+    tables.write_neighbors(near, weights, f"file://{tmp_path}/n", 2, {"k": 1})
+    assert '"k": 1' in spark.read.parquet(f"file://{tmp_path}/n/params").first().params
+    assert spark.read.parquet(f"file://{tmp_path}/n/distances").count() == 2
+
+
+def test_places_and_sums_in_a_global_order(spark):
+    from pointloom.operators.order import numbered, running
+
+    rows = [(k % 3, (k * 7919) % 1000, k) for k in range(1000)]
+    df = spark.createDataFrame(rows, "g int, v int, k int").repartition(5)
+    got = {r.k: r.at for r in numbered(df, ["v", "k"]).collect()}
+    want = {k: n for n, (_, _, k) in enumerate(sorted(rows, key=lambda r: (r[1], r[2])))}
+    assert got == want
+    sums = {r.k: r.before for r in running(df, ["v", "k"], F.col("v"), keys=["g"]).collect()}
+    assert all(sums[k] == sum(v2 for g2, v2, k2 in rows if g2 == g and (v2, k2) < (v, k)) for g, v, k in rows[:60])
+
+
+def test_smoothing_over_many_runs_equals_the_recursion(spark):
+    from math import exp
+
+    from pointloom.operators.simulate import one_pole
+
+    rows = [(u, t, float((t * 37 + u) % 101)) for u in range(2) for t in range(2500)]
+    got = {(r.user_id, r.tick): r.smooth for r in one_pole(spark.createDataFrame(rows, "user_id int, tick int, v double"), 2.0).collect()}
+    for u in range(2):
+        y = None
+        for t in range(2500):
+            x = float((t * 37 + u) % 101)
+            y = x if y is None else y + (1 - exp(-0.5)) * (x - y)
+            assert got[u, t] == pytest.approx(y)
+
+
 def test_too_many_labels(spark):
     with pytest.raises(ValueError):
         tables.observation_labels(spark.range(100).withColumn("l", F.col("id")), "l")
