@@ -22,7 +22,7 @@ HEX = "0123456789abcdef" * 2
 ROWS = [
     *CLEAN,
     (100, CLEAN[3][1]),
-    (101, CLEAN[4][1].replace("\n", " extra\n", 2)),
+    (101, CLEAN[4][1].replace(".\n", " extra.\n", 2)),
     (102, prose(60) + "\n" + ITEM + ".\n" + prose(60)),
     (103, prose(100) + f'\ntoken = "{HEX}".'),
     (104, "too short"),
