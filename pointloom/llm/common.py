@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -70,6 +72,21 @@ def fresh(taken: Iterable[str], name: str) -> str:
     return name
 
 
+def one_thread() -> None:
+    """Keeps the matrix products of this Python worker on one core: tasks share a machine, and BLAS threads of many
+    workers wait for each other. Does nothing where numpy's BLAS is not OpenBLAS or cannot be found."""
+    if not os.path.exists("/proc/self/maps"):
+        return
+    with open("/proc/self/maps") as maps:
+        paths = {line.split()[-1] for line in maps if "openblas" in line}
+    for path in paths:
+        lib = ctypes.CDLL(path)
+        names = ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads")
+        found = next((n for n in names if hasattr(lib, n)), None)
+        if found:
+            getattr(lib, found)(1)
+
+
 class Generations:
     """A dictionary that forgets: when it is full it becomes the older one, from which what is still used is kept."""
 
