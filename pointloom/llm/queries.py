@@ -6,7 +6,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import decontaminate, language_model, licenses, pieces, quality_model, quality_rules, secrets, simhash, token_files, url_filter
+from pointloom.llm import (
+    collocations,
+    decontaminate,
+    embedding_dedup,
+    language_model,
+    licenses,
+    pieces,
+    quality_model,
+    quality_rules,
+    secrets,
+    simhash,
+    source_audit,
+    token_files,
+    url_filter,
+)
 from pointloom.llm.common import shared_dir
 
 
@@ -55,6 +69,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_classes(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_quality_model": op2_quality_model,
@@ -66,10 +92,15 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
+    "op11_collocations": op11_collocations,
+    "op12_source_audit": op12_source_audit,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": url_filter.sql(),
     "op8_quality_rules": quality_rules.sql(),
     "op9_decontaminate": decontaminate.sql(),
+    "op11_collocations": collocations.sql(),
+    "op12_source_audit": source_audit.sql(),
 }
