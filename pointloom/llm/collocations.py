@@ -29,7 +29,7 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bits of a filter (8 MB as bytes); its size does not depend on the input.
 FILTER_BITS = 1 << 26
 #: Text bytes of a shard, about; positions of a block of a bitmap; bitmap blocks that one depth-first step extends.
-SHARD_BYTES, BLOCK, STEP = 12 << 20, 16, 1 << 18
+SHARD_BYTES, BLOCK, STEP = 6 << 20, 16, 1 << 17
 
 #: 0: part of a word; 1: space or tab between words; 2: end of a piece.
 _KIND = np.zeros(256, np.uint8)
