@@ -10,10 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.functions.algebra import dot
-from pointloom.operators.lineage import cut
-from pointloom.operators.order import numbered
-
 #: Rows of a block of the exact search: two blocks with their features are what a task holds.
 BLOCK_ROWS = 4096
 
@@ -127,47 +123,6 @@ def knn(features: DataFrame, k: int, *, block_rows: int = BLOCK_ROWS) -> DataFra
     return ranked.where(F.col("rank") <= k).select("i", "rank", "j", F.sqrt("d2").alias("dist"))
 
 
-def approximate_knn(features: DataFrame, k: int, *, tables: int = 8, together: int = 512, seed: int = 5, rounds: int = 1) -> DataFrame:
-    """i, rank, j, dist: approximate neighbours.
-
-    Random projections order the rows (only ids and projections are sorted); consecutive runs of ``together`` rows are
-    compared in full, in ``tables`` orders and at two offsets. Then neighbours of neighbours are tried ``rounds`` times.
-    """
-    width = features.select(F.max(F.size("features"))).first()[0] or 1
-    rng = np.random.default_rng(seed)
-    axes = F.array(*[F.struct(F.lit(t).alias("t"), F.array(*[F.lit(float(v)) for v in rng.normal(size=width)]).alias("w")) for t in range(tables)])
-    projected = features.withColumn("axis", F.explode(axes)).select("row", F.col("axis.t").alias("t"), dot(F.col("features"), F.col("axis.w")).alias("p"))
-    places = numbered(projected, ["p", "row"], keys=["t"]).withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
-    run = F.floor((F.col("at") + F.col("half") * (together // 2)) / together)
-    groups = places.select("row", (2 * F.col("t") + F.col("half")).alias("t"), run.alias("run")).join(features, "row")
-    kind = features.schema["row"].dataType.simpleString()
-
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids = np.stack(pdf["features"]), pdf["row"].to_numpy()
-        d2 = np.concatenate([((x[lo : lo + 64, None, :] - x[None, :, :]) ** 2).sum(2) for lo in range(0, len(x), 64)])
-        np.fill_diagonal(d2, np.inf)
-        most = min(k, len(ids) - 1)
-        pick = np.argsort(d2, axis=1, kind="stable")[:, :most]
-        return pd.DataFrame({"i": np.repeat(ids, most), "j": ids[pick].ravel(), "d2": np.take_along_axis(d2, pick, 1).ravel()})
-
-    def best(pairs: DataFrame) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("i").orderBy("d2", "j"))
-        return pairs.dropDuplicates(["i", "j"]).withColumn("rank", rank).where(F.col("rank") <= k)
-
-    near = best(groups.groupBy("t", "run").applyInPandas(within, f"i {kind}, j {kind}, d2 double"))
-    near = cut(near)
-    a = features.select(F.col("row").alias("i"), F.col("features").alias("fi"))
-    b = features.select(F.col("row").alias("j"), F.col("features").alias("fj"))
-    for _ in range(rounds):
-        both = near.select("i", "j").unionByName(near.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
-        far = both.alias("p").join(both.alias("q"), F.col("p.j") == F.col("q.i")).select(F.col("p.i").alias("i"), F.col("q.j").alias("j")).where("i <> j").distinct()
-        d = F.zip_with("fi", "fj", lambda x, y: (x - y) * (x - y))
-        tried = far.join(a, "i").join(b, "j").select("i", "j", F.aggregate(d, F.lit(0.0), lambda s, v: s + v).alias("d2"))
-        near = best(near.select("i", "j", "d2").unionByName(tried))
-        near = cut(near)
-    return near.select("i", "rank", "j", F.sqrt("d2").alias("dist"))
-
-
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     """recall: share of the true neighbours that were found."""
     hit = truth.select("i", "j").join(found.select("i", "j"), ["i", "j"]).agg(F.count("*").alias("hit")).withColumn("one", F.lit(1))

@@ -25,24 +25,22 @@ def ratio(top: Column, bottom: Column) -> Column:
 # --- edge geometry ----------------------------------------------------------------------------------------------
 
 
-def disk_corner_area(r: Column, x: Column, y: Column) -> Column:
-    """Signed area of the disk of radius r around the origin within the rectangle from the origin to (x, y)."""
-    ax, ay = F.least(F.abs(x), r), F.least(F.abs(y), r)
-
-    def segment(u: Column) -> Column:
-        share = F.when(r > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), u / r))).otherwise(0.0)
-        return 0.5 * (u * F.sqrt(F.greatest(F.lit(0.0), r * r - u * u)) + r * r * F.asin(share))
-
-    cut = F.sqrt(F.greatest(F.lit(0.0), r * r - ay * ay))
-    inside = F.when(ax * ax + ay * ay <= r * r, ax * ay).otherwise(cut * ay + segment(ax) - segment(cut))
-    return F.signum(x) * F.signum(y) * inside
+def _wedge(r: Column, away: Column, along: Column) -> Column:
+    """Signed area that a disk shares with the right triangle of its centre, the foot of a line ``away`` from it, and the
+    point ``along`` the line: a triangle up to where the line leaves the disk, then a sector."""
+    d, a = F.abs(away), F.abs(along)
+    inside = F.least(a, F.sqrt(F.greatest(r * r - d * d, F.lit(0.0))))
+    both = 0.5 * d * inside + 0.5 * r * r * (F.atan2(a, d) - F.atan2(inside, d))
+    return F.signum(away) * F.signum(along) * both
 
 
 def disk_box_area(r: Column, x: Column, y: Column, box: Box) -> Column:
-    """Area of the disk around (x, y) that lies in the box."""
-    x1, y1, x2, y2 = F.lit(box[0]) - x, F.lit(box[1]) - y, F.lit(box[2]) - x, F.lit(box[3]) - y
-    s = lambda a, b: disk_corner_area(r, a, b)
-    return s(x2, y2) - s(x1, y2) - s(x2, y1) + s(x1, y1)
+    """Area of the disk around (x, y) that lies in the box: the triangles of the centre and each side, each cut by the
+    circle, counted negative for sides that face away from the centre (Green's theorem along the boundary)."""
+    left, low, right, high = (x - box[0], y - box[1], box[2] - x, box[3] - y)
+    upright = [_wedge(r, away, high) - _wedge(r, away, -low) for away in (left, right)]
+    level = [_wedge(r, away, right) - _wedge(r, away, -left) for away in (low, high)]
+    return upright[0] + upright[1] + level[0] + level[1]
 
 
 def annulus_box_area(inner: Column, outer: Column, x: Column, y: Column, box: Box) -> Column:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pointloom.operators import descent as D
+from pointloom.operators import forest as O
+from pointloom.operators import layout as L
 from pointloom.operators import manifold as M
 from pointloom.operators import topology as T
 from pointloom.operators.graphs import components
@@ -54,13 +57,17 @@ def m5(spark, d):
 
 @query("m6_knn_approximate")
 def m6(spark, d):
-    return rounded(M.approximate_knn(features(spark, d), 10), "dist", digits=5)
+    return rounded(D.descent(features(spark, d), 10)[0], "dist", digits=5)
 
 
 @query("m7_recall")
 def m7(spark, d):
+    """Recall of the descent, and the distances that it and the exact search take."""
     f = features(spark, d)
-    return rounded(M.recall(M.approximate_knn(f, 10), M.knn(f, 10)), "recall")
+    found, taken = D.descent(f, 10)
+    n = F.count("*").alias("n")
+    exact = f.agg(n).select((F.col("n") * (F.col("n") - 1)).alias("exact_distances"))
+    return rounded(M.recall(found, M.knn(f, 10)).join(exact, F.lit(True)).withColumn("distances", F.lit(taken)), "recall")
 
 
 @query(
@@ -83,6 +90,22 @@ def m9(spark, d):
     return rounded(M.fuzzy_graph(near, M.smooth_knn(near, 14)), "weight", digits=4)
 
 
+@query("m11_layout")
+def m11(spark, d):
+    """The plane layout of the features' fuzzy graph: 200 epochs from drawn places."""
+    near = M.knn(features(spark, d), 14)
+    return rounded(L.layout(M.fuzzy_graph(near, M.smooth_knn(near, 14))), "x", "y", digits=3)
+
+
+@query("m12_umap")
+def m12(spark, d):
+    """How trustworthy the whole way from the features to the plane is, and what it gives: one row a row of features."""
+    f = features(spark, d)
+    at = L.umap(f)
+    trust = M.trustworthiness(f, at.select("row", F.array("x", "y").alias("features")), 10)
+    return rounded(rounded(at.join(F.broadcast(trust), F.lit(True)), "x", "y", digits=3), "trust", digits=4)
+
+
 @query("m10_fit_ab")
 def m10(spark, d):
     return rounded(spark.createDataFrame([M.fit_ab()], "a double, b double"), "a", "b", digits=3)
@@ -152,6 +175,36 @@ def t6(spark, d):
     return T.betti(T.rips(cells_emb(spark, d), "type_id", 120.0), 60.0, "type_id")
 
 
+#: The forest by definition: an edge is in it unless its ends are connected by edges before it.
+_FOREST = (
+    CELLS + ", e AS MATERIALIZED (SELECT a.type_id, a.cell_id AS i, b.cell_id AS j, sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) AS d, "
+    "row_number() OVER (ORDER BY sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)), a.cell_id, b.cell_id) AS k "
+    "FROM cells a JOIN cells b ON a.type_id = b.type_id AND a.cell_id < b.cell_id WHERE (b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y) <= 14400.0), "
+    "u AS MATERIALIZED (SELECT i AS p, j AS q, k FROM e UNION ALL SELECT j, i, k FROM e), "
+    "reach AS (SELECT k, i AS node FROM e UNION SELECT r.k, u.q FROM reach r JOIN u ON u.p = r.node AND u.k < r.k), "
+    "forest AS (SELECT e.* FROM e ANTI JOIN reach r ON r.k = e.k AND r.node = e.j)"
+)
+
+
+@query("t6_component_deaths", f"WITH RECURSIVE {_FOREST} SELECT type_id, i, j, {r6('d')} AS death FROM forest")
+def t6d(spark, d):
+    """Where the components of each type's points merge, up to 120: the finite bars of dimension 0."""
+    return rounded(O.component_deaths(cells_emb(spark, d), 120.0, keys=("type_id",)), "death")
+
+
+@query(
+    "t6_component_counts",
+    f"""WITH RECURSIVE {_FOREST}, n AS (SELECT type_id, count(*) AS points FROM cells GROUP BY 1),
+    m AS (SELECT type_id, {r6('d')} AS scale, row_number() OVER (PARTITION BY type_id ORDER BY d, i, j) AS merged FROM forest)
+    SELECT type_id, 0.0::DOUBLE AS scale, points AS n FROM n UNION ALL SELECT m.type_id, scale, min(points - merged) FROM m JOIN n USING (type_id) GROUP BY 1, 2""",
+)
+def t6n(spark, d):
+    """How many components each type has at every scale up to 120, all from one forest."""
+    cells = cells_emb(spark, d)
+    deaths = rounded(O.component_deaths(cells, 120.0, keys=("type_id",)), "death")
+    return O.component_counts(cells, deaths, keys=("type_id",))
+
+
 @query(
     "t6_components_at_scale",
     f"""WITH RECURSIVE {PAIRS}, reach AS (SELECT cell_id AS a, cell_id AS b FROM cells UNION SELECT r.a, p.j FROM reach r JOIN pairs p ON p.i = r.b AND p.ta = p.tb AND p.d2 <= 3600.0)

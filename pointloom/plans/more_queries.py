@@ -15,7 +15,6 @@ from pointloom.operators import manifold as M
 from pointloom.operators import points as P
 from pointloom.operators import raster as R
 from pointloom.operators.inference import permuted_labels, rank_envelope
-from pointloom.operators.order import numbered
 from pointloom.plans.registry import CELLS, query, r6, rounded
 from pointloom.sources.tables import WINDOW_EMB, cells_emb, coo, features, points3, table
 
@@ -94,42 +93,6 @@ def p42(spark, d):
     return rounded(z.select("row", "col", ((F.col("v") - F.col("mean")) * F.col("scale")).alias("z")), "z", digits=5)
 
 
-@query("m11_layout")
-def m11(spark, d):
-    """Two coordinates a row from the fuzzy graph: rounds of attraction along edges and repulsion from random rows, each
-    round one aggregation (all forces of a round from the same positions)."""
-    from pointloom.operators.lineage import cut
-
-    f = features(spark, d)
-    near = M.knn(f, 14)
-    edges = cut(M.fuzzy_graph(near, M.smooth_knn(near, 14)))
-    a, b = M.fit_ab()
-    n = f.count()
-    start = [(20 * uniform(F.lit(f"l{k}"), F.col("row")) - 10).alias(k) for k in "xy"]
-    at = cut(numbered(f.select("row"), ["row"], name="n").select("row", "n", *start))
-    for epoch in range(6):
-        alpha = 1 - epoch / 6
-        p = at.select(F.col("row").alias("head"), F.col("x").alias("hx"), F.col("y").alias("hy"))
-        q = at.select(F.col("row").alias("tail"), F.col("x").alias("tx"), F.col("y").alias("ty"))
-        e = edges.join(p, "head").join(q, "tail")
-        dx, dy = F.col("hx") - F.col("tx"), F.col("hy") - F.col("ty")
-        d2 = dx * dx + dy * dy
-        pull = F.when(d2 > 0, -2 * a * b * F.pow(d2, F.lit(b - 1)) / (1 + a * F.pow(d2, F.lit(b))) * F.col("weight")).otherwise(0.0)
-        draws = at.select("row", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
-        draws = draws.withColumn("n", F.floor(uniform(F.lit(f"n{epoch}"), F.col("row"), F.col("k")) * n))
-        far = draws.join(at.select("n", F.col("row").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy")), "n").where("o <> row")
-        rx, ry = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
-        r2 = rx * rx + ry * ry
-        push = 2 * b / ((0.001 + r2) * (1 + a * F.pow(r2, F.lit(b))))
-        clip = lambda v: F.greatest(F.lit(-4.0), F.least(F.lit(4.0), v))
-        forces = e.select(F.col("head").alias("row"), clip(pull * dx).alias("fx"), clip(pull * dy).alias("fy"))
-        forces = forces.unionByName(far.select("row", clip(push * rx).alias("fx"), clip(push * ry).alias("fy")))
-        step = forces.groupBy("row").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
-        moved = at.join(step, "row", "left")
-        at = cut(moved.select("row", "n", *[(F.col(c) + 0.1 * alpha * F.coalesce(f"f{c}", F.lit(0.0))).alias(c) for c in "xy"]))
-    return rounded(at.select("row", "x", "y"), "x", "y", digits=3)
-
-
 @query("s17_column_cost", "SELECT w::INT AS wanted, least(1.0, w/64.0)::DOUBLE AS csc, 1.0::DOUBLE AS csr FROM (VALUES (1), (16), (64), (100)) t(w)")
 def s17(spark, d):
     from pointloom.operators.tables import sparse_column_cost as cost

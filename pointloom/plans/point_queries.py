@@ -69,16 +69,16 @@ def p5(spark, d):
     return rounded(P.kth_distance(cells_emb(spark, d), 5), "dist")
 
 
-def _corner(r, x, y):
-    ax, ay = f"least(abs({x}), {r})", f"least(abs({y}), {r})"
-    seg = lambda u: f"0.5*({u}*sqrt(greatest(0.0, {r}*{r}-{u}*{u}))+{r}*{r}*asin(greatest(-1.0, least(1.0, {u}/{r}))))"
-    cut = f"sqrt(greatest(0.0, {r}*{r}-{ay}*{ay}))"
-    return f"(sign({x})*sign({y})*CASE WHEN {ax}*{ax}+{ay}*{ay} <= {r}*{r} THEN {ax}*{ay} ELSE {cut}*{ay}+{seg(ax)}-{seg(cut)} END)"
+def _wedge(r, away, along):
+    d, a = f"abs({away})", f"abs({along})"
+    inside = f"least({a}, sqrt(greatest(0.0, {r}*{r}-{d}*{d})))"
+    return f"(sign({away})*sign({along})*(0.5*{d}*{inside}+0.5*{r}*{r}*(atan2({a}, {d})-atan2({inside}, {d}))))"
 
 
 def _disk(r, x, y):
-    x1, y1, x2, y2 = f"({W[0]}-{x})", f"({W[1]}-{y})", f"({W[2]}-{x})", f"({W[3]}-{y})"
-    return f"({_corner(r, x2, y2)}-{_corner(r, x1, y2)}-{_corner(r, x2, y1)}+{_corner(r, x1, y1)})"
+    left, low, right, high = f"({x}-({W[0]}))", f"({y}-({W[1]}))", f"({W[2]}-{x})", f"({W[3]}-{y})"
+    sides = [(left, high, low), (right, high, low), (low, right, left), (high, right, left)]
+    return "(" + "+".join(f"{_wedge(r, away, far)}-{_wedge(r, away, f'(-{near})')}" for away, far, near in sides) + ")"
 
 
 @query("p6_annulus_area", f"WITH {CELLS} SELECT cell_id, {r6(_disk('200.0', 'x', 'y') + '-' + _disk('100.0', 'x', 'y'), 4)} AS ring FROM cells")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import expressions as X
 from pointloom.functions.algebra import conjugate, mul
-from pointloom.operators import inference, manifold, points, raster, tables, topology, wavelet
+from pointloom.operators import descent, inference, manifold, points, raster, tables, topology, wavelet
 from pointloom.operators.neighbors import k_nearest, neighbour_join
 from pointloom.plans.graph import Graph, Op, list_ops, register
 from pointloom.streaming.stateful import read_events, run_to_memory, smoothed, windowed
@@ -146,7 +146,7 @@ def test_knn_of_a_line(spark):
 
 def test_approximate_knn_recall(spark):
     f = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("row"), F.col("embedding").cast("array<double>").alias("features"))
-    assert manifold.recall(manifold.approximate_knn(f, 10), manifold.knn(f, 10)).first().recall >= 0.9
+    assert manifold.recall(descent.descent(f, 10)[0], manifold.knn(f, 10)).first().recall >= 0.9
 
 
 def test_square_has_one_hole():

@@ -67,6 +67,7 @@ HOLDS = {
     "m4_pca_scores": [lambda f: np.allclose(f[[f"s{k}" for k in range(5)]].mean(), 0, atol=1e-3), lambda f: (np.diff(f[[f"s{k}" for k in range(5)]].var()) <= 1e-6).all()],
     "m6_knn_approximate": [per("i", 10), lambda f: (f.i != f.j).all(), lambda f: all((np.diff(g.sort_values("rank").dist) >= 0).all() for _, g in f.groupby("i"))],
     "m7_recall": [lambda f: 0.95 <= f.recall[0] <= 1],
+    "m12_umap": [lambda f: f.row.is_unique and len(f) == 500 and np.isfinite(f[["x", "y"]].to_numpy()).all(), lambda f: f.trust.nunique() == 1 and f.trust[0] > 0.58],
     "m9_fuzzy_graph": [symmetric("head", "tail", "weight"), lambda f: f.weight.between(0, 1).all()],
     "p14_partial_correlation": [symmetric("ta", "tb", "r"), lambda f: (f[f.ta == f.tb].r.dropna() == 1).all(), lambda f: f.r.dropna().abs().le(1 + 1e-6).all()],
     "p16_swap_null": [lambda f: f.p.between(0, 1).all() and f.obs.dropna().abs().le(1).all(), lambda f: (f.ta < f.tb).all()],
