@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from math import pi
+from math import pi, radians
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,6 +63,61 @@ def oklab_to_oklch(lab: list[Column]) -> list[Column]:
     return [lab[0], F.sqrt(lab[1] * lab[1] + lab[2] * lab[2]), F.atan2(lab[2], lab[1])]
 
 
+_FROM_LAB, _FROM_CONES = (tuple(map(tuple, np.linalg.inv(np.array(m)).tolist())) for m in (TO_LAB, TO_CONES))
+#: How far out of 0 to 1 a linear component may lie to count as inside.
+GAMUT_EDGE, GAMUT_STEPS = 1e-6, 24
+
+
+def oklch_to_linear(lightness: Column, chroma: Column, hue: Column) -> list[Column]:
+    cones = _times(_FROM_LAB, [lightness, chroma * F.cos(hue), chroma * F.sin(hue)])
+    return _times(_FROM_CONES, [c * c * c for c in cones])
+
+
+def in_gamut(lightness: Column, chroma: Column, hue: Column) -> Column:
+    ok = [c.between(-GAMUT_EDGE, 1 + GAMUT_EDGE) for c in oklch_to_linear(lightness, chroma, hue)]
+    return ok[0] & ok[1] & ok[2]
+
+
+def gamut_chroma(lightness: Column, chroma: Column, hue: Column) -> Column:
+    """The chroma itself if the colour can be shown, or the largest that can at this lightness and hue, by bisection."""
+    zero = F.struct(F.lit(0.0).alias("lo"), chroma.cast("double").alias("hi"))
+
+    def step(s, _):
+        mid = (s["lo"] + s["hi"]) / 2
+        ok = in_gamut(lightness, mid, hue)
+        return F.struct(F.when(ok, mid).otherwise(s["lo"]).alias("lo"), F.when(ok, s["hi"]).otherwise(mid).alias("hi"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(GAMUT_STEPS)), zero, step, lambda s: s["lo"])
+    return F.when(in_gamut(lightness, chroma, hue), chroma).otherwise(found)
+
+
+def oklch_to_srgb(lightness: Column, chroma: Column, hue: Column) -> list[Column]:
+    """Red, green and blue from 0 to 1; ``chroma`` is one that can be shown."""
+    return [F.least(F.greatest(linear_to_srgb(c), F.lit(0.0)), F.lit(1.0)) for c in oklch_to_linear(lightness, chroma, hue)]
+
+
+def diverging(t: Column, negative: float = radians(250), positive: float = radians(29), centre: float = 0.97, end: float = 0.55, chroma: float = 0.15) -> list[Column]:
+    """Lightness, chroma and hue of a signed value from -1 to 1: size sets the first two, the sign the hue alone."""
+    size = F.least(F.abs(t), F.lit(1.0))
+    return [centre + (end - centre) * size, chroma * size, F.when(t < 0, negative).otherwise(positive)]
+
+
+def sequential(t: Column, hue: Column, low: float = 0.14, high: float = 0.86, chroma: float = 0.15) -> list[Column]:
+    """Lightness, chroma and hue of a value from 0 to 1: lightness grows evenly, chroma fast at first."""
+    v = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    return [low + (high - low) * v, chroma * F.pow(v, F.lit(0.4)), hue]
+
+
+def categorical_hue(k: Column, n: int, offset: float = radians(200)) -> Column:
+    """Hue of one of n categories, evenly around the circle."""
+    return (offset + 2 * pi * k / max(n, 1)) % (2 * pi)
+
+
+def mixed(first: list[Column], second: list[Column], share: Column) -> list[Column]:
+    """Two colours (lightness, a, b) mixed in proportion."""
+    return [a + (b - a) * share for a, b in zip(first, second, strict=True)]
+
+
 # --- solids -----------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -181,6 +182,17 @@ def rank_envelope(values: DataFrame, *, curves: int, alpha: float = 0.05) -> Dat
     return hull.withColumn("one", F.lit(1)).join(F.broadcast(p), "one").drop("one")
 
 
+def excursions(envelope: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys,) side, begin, end, n, largest: the runs of an envelope (r, lo, hi, observed) in which the observed curve lies
+    ``above`` or ``below`` it, and by how much at most. Places on the curve are whole numbers; a gap ends a run."""
+    side = F.when(F.col("observed") > F.col("hi"), "above").when(F.col("observed") < F.col("lo"), "below")
+    excess = F.greatest(F.col("observed") - F.col("hi"), F.col("lo") - F.col("observed"))
+    out = envelope.select(*keys, "r", side.alias("side"), excess.alias("excess")).where("side IS NOT NULL")
+    island = F.col("r") - F.row_number().over(Window.partitionBy(*keys, "side").orderBy("r"))
+    runs = out.withColumn("island", island).groupBy(*keys, "side", "island")
+    return runs.agg(F.min("r").alias("begin"), F.max("r").alias("end"), F.count("*").alias("n"), F.max("excess").alias("largest")).drop("island")
+
+
 def block_bootstrap(cells: DataFrame, type_a, type_b, box: Box, *, r_max: float, bins: int, tile: float, resamples: int, seed: int, alpha: float = 0.05) -> DataFrame:
     """bin, g, lo, hi: pair correlation with an interval from tiles drawn with replacement, empty tiles included.
 

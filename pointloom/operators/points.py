@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from math import ceil, pi
+from collections.abc import Sequence
+from math import ceil, exp, log, pi, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointloom.operators.neighbors import k_nearest, neighbour_join
+from pointloom.functions.rng import uniform
+from pointloom.operators.neighbors import k_nearest, neighbour_join, squared
 from pointloom.operators.order import running
 
 Box = tuple[float, float, float, float]
@@ -248,10 +250,65 @@ def kernel_marks(cells: DataFrame, type_a, type_b, radius: float, box: Box, kern
     return full.select("cell_id", F.when(density > 0, F.coalesce("w", F.lit(0.0)) / density).otherwise(0.0).alias("m"))
 
 
-def auc(scores: DataFrame, score: str = "score", positive: str = "positive") -> DataFrame:
-    """auc of a score for a boolean; ties count a half. One row a distinct score is ranked, after grouping."""
-    by = scores.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(positive).cast("long")).alias("p"))
-    ranked = running(by, [score], F.col("n"), name="below").withColumn("mid", F.col("below") + (F.col("n") + 1) / 2)
-    s = ranked.agg(F.sum(F.col("mid") * F.col("p")).alias("ranks"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+def auc(scores: DataFrame, score: str = "score", positive: str = "positive", *, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys,) auc of a score for a boolean; ties count a half. One row a distinct score is ranked, after grouping."""
+    by = scores.groupBy(*keys, score).agg(F.count("*").alias("n"), F.sum(F.col(positive).cast("long")).alias("p"))
+    ranked = running(by, [score], F.col("n"), keys=keys, name="below").withColumn("mid", F.col("below") + (F.col("n") + 1) / 2)
+    s = ranked.groupBy(*keys).agg(F.sum(F.col("mid") * F.col("p")).alias("ranks"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     negative = F.col("n") - F.col("p")
-    return s.select(ratio(F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * negative).alias("auc"))
+    return s.select(*keys, ratio(F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * negative).alias("auc"))
+
+
+def kernel_moments(name: str, radius: float) -> tuple[float, float]:
+    """Second moment along an axis and integral of the square of a kernel of unit integral."""
+    if name == "gaussian":
+        s2, inside = radius * radius / 9, 1 - exp(-4.5)
+        return s2 * (1 - 5.5 * exp(-4.5)) / inside, (1 - exp(-9)) / (4 * pi * s2 * inside**2)
+    n = KERNELS[name]
+    return radius * radius / (2 * (n + 2)), (n + 1) ** 2 / (pi * radius * radius * (2 * n + 1))
+
+
+def matched_radius(name: str, base: float) -> float:
+    """The radius at which a kernel has the second moment of the top hat of radius ``base``."""
+    return base * sqrt(kernel_moments("tophat", 1.0)[0] / kernel_moments(name, 1.0)[0])
+
+
+#: The farthest that a drawn Gaussian step goes, in deviations: draws below 1e-12 count as that.
+FARTHEST = sqrt(-2 * log(1e-12))
+
+
+def jittered(cells: DataFrame, scale: float, seed: int) -> DataFrame:
+    """Adds jx, jy: each point moved by an isotropic Gaussian step that depends on its id alone."""
+    size = scale * F.sqrt(-2 * F.ln(F.greatest(uniform(F.lit(f"{seed}-r"), F.col("cell_id")), F.lit(1e-12))))
+    turn = 2 * pi * uniform(F.lit(f"{seed}-t"), F.col("cell_id"))
+    return cells.withColumns({"jx": F.col("x") + size * F.cos(turn), "jy": F.col("y") + size * F.sin(turn)})
+
+
+def kernel_scores(a: DataFrame, b: DataFrame, box: Box, base: float, *, jitter: float = 0.05, wider: float = 0.02, seed: int = 17) -> DataFrame:
+    """kernel, radius, auc, tied, radius_sensitivity, jitter_sensitivity, moment2, roughness of each kernel, at the radius
+    that matches a top hat of radius ``base``.
+
+    ``a`` (cell_id, x, y, positive) are marked by their ``b``-neighbours (cell_id, x, y, other points). auc: how well the
+    marks tell the positive cells; tied: share of marks that another cell has too (to nine digits); sensitivities: root of
+    the squared change over the squared marks, for a radius ``wider`` by that share and for points moved by Gaussian steps
+    of ``jitter`` of the base. One neighbour join at the farthest radius serves all kernels and all three marks.
+    """
+    radii = {k: matched_radius(k, base) for k in (*KERNELS, "gaussian")}
+    step = jitter * base
+    reach = max(radii.values()) * (1 + wider) + 2 * FARTHEST * step
+    pairs = neighbour_join(jittered(a, step, seed), jittered(b, step, seed), reach, ids=None)
+    moved = squared(("jx", "jy"))
+    marks = {}
+    for k, r in radii.items():
+        marks |= {f"{k}_m": kernel_at(k, F.col("d2"), r), f"{k}_w": kernel_at(k, F.col("d2"), r * (1 + wider)), f"{k}_j": kernel_at(k, moved, r)}
+    near = pairs.groupBy(F.col("a_cell_id").alias("cell_id")).agg(*[F.sum(v).alias(c) for c, v in marks.items()])
+    density = F.broadcast(b.agg((F.count("*") / F.lit(area(box))).alias("density")).withColumn("one", F.lit(1)))
+    full = a.select("cell_id", "positive", F.lit(1).alias("one")).join(near, "cell_id", "left").join(density, "one")
+    mark = lambda c: F.coalesce(F.round(F.coalesce(F.col(c), F.lit(0.0)) / F.col("density"), 9), F.lit(0.0))
+    each = [F.struct(F.lit(k).alias("kernel"), *[mark(f"{k}_{s}").alias(s) for s in "mwj"]) for k in radii]
+    rows = full.select("cell_id", "positive", F.inline(F.array(*each)))
+    change = lambda s: F.sqrt(F.sum((F.col(s) - F.col("m")) * (F.col(s) - F.col("m"))) / F.greatest(F.sum(F.col("m") * F.col("m")), F.lit(1e-30)))
+    sums = rows.groupBy("kernel").agg(change("w").alias("radius_sensitivity"), change("j").alias("jitter_sensitivity"))
+    ties = rows.groupBy("kernel", "m").agg(F.count("*").alias("n")).groupBy("kernel").agg((F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("tied"))
+    fixed = rows.sparkSession.createDataFrame([(k, r, *kernel_moments(k, r)) for k, r in radii.items()], "kernel string, radius double, moment2 double, roughness double")
+    return fixed.join(auc(rows, "m", keys=("kernel",)), "kernel").join(ties, "kernel").join(sums, "kernel")

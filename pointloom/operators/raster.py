@@ -167,13 +167,21 @@ def gram(rasters: DataFrame, pixel_area: float, channel: str = "channel") -> Dat
     return full.select("a", "b", (F.col("sab") * pixel_area).alias("c"), "mean_a", "mean_b", corr.alias("corr"))
 
 
-def association(grams: DataFrame, points: DataFrame, box: Box, radius: float, power: int, *, weight: str | None = None) -> DataFrame:
-    """a, b, c, g, self_term, mass_a, mass_b, apron_a of a Gram matrix (a, b, c) of disjoint channels.
+def effective_radius(radius: float) -> float:
+    """How far apart two points may be to add to a Gram matrix: splats of both reach this far together."""
+    return 2 * radius
+
+
+def association(
+    grams: DataFrame, points: DataFrame, box: Box, radius: float, power: int, *, weight: str | None = None, cell: str | None = None
+) -> DataFrame:
+    """a, b, c, g, self_term, mass_a, mass_b, apron_a of a Gram matrix (a, b, c).
 
     ``points`` (channel, x, y) are those that were splatted with the kernel (1 - d²/r²)^``power``. mass: marks inside the
     window; apron: marks outside it within the radius, which fill the edge pixels but set no density. self_term: what
-    points add to their own channel, the integral of the kernel squared times the squared marks. g: the rest of c over
-    what complete spatial randomness gives, mass_a mass_b / area.
+    points add by themselves, the integral of the kernel squared times the product of their marks in both channels. With
+    ``cell``, the column that tells a point, channels may share points, as those of several features do; without, a point
+    is of one channel only. g: the rest of c over what complete spatial randomness gives, mass_a mass_b / area.
     """
     x0, y0, x1, y1 = box
     w = F.lit(1.0) if weight is None else F.col(weight)
@@ -185,7 +193,47 @@ def association(grams: DataFrame, points: DataFrame, box: Box, radius: float, po
     a = s.select(F.col("channel").alias("a"), F.col("mass").alias("mass_a"), F.col("apron").alias("apron_a"), F.col("squares").alias("own"))
     b = s.select(F.col("channel").alias("b"), F.col("mass").alias("mass_b"))
     full = grams.select("a", "b", "c").join(a, "a").join(b, "b")
-    full = full.withColumn("self_term", F.when(F.col("a") == F.col("b"), roughness * F.col("own")).otherwise(0.0))
+    if cell is None:
+        full = full.withColumn("self_term", F.when(F.col("a") == F.col("b"), roughness * F.col("own")).otherwise(0.0))
+    else:
+        own = points.where(inside).select(F.col(cell).alias("cell"), F.col("channel").alias("a"), w.alias("wa"))
+        both = own.join(own.select("cell", F.col("a").alias("b"), F.col("wa").alias("wb")), "cell").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("shared"))
+        full = full.join(both, ["a", "b"], "left").withColumn("self_term", roughness * F.coalesce("shared", F.lit(0.0)))
     expected = F.col("mass_a") * F.col("mass_b") / ((x1 - x0) * (y1 - y0))
     g = F.when(expected > 0, (F.col("c") - F.col("self_term")) / expected).otherwise(0.0)
     return full.select("a", "b", "c", g.alias("g"), "self_term", "mass_a", "mass_b", "apron_a")
+
+
+# --- whitened channels ------------------------------------------------------------------------------------------
+
+
+def standardised(rasters: DataFrame, channel: str = "channel") -> DataFrame:
+    """channel, y, x, z: pixels less their channel's mean over its deviation (of all pixels); 0 where it is constant."""
+    s = rasters.groupBy(channel).agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
+    return rasters.join(s, channel).select(F.col(channel).alias("channel"), "y", "x", F.when(F.col("sd") > 0, (F.col("v") - F.col("m")) / F.col("sd")).otherwise(0.0).alias("z"))
+
+
+def whitening(modes: DataFrame, count: int) -> DataFrame:
+    """mode, channel, w: the first ``count`` modes (mode, value, channel, loading), each over the root of its value. Values
+    are taken to be a millionth of the first at least, as collinear channels have values of nearly nothing."""
+    top = modes.where("mode = 0").agg(F.max("value").alias("top")).withColumn("one", F.lit(1))
+    floor = 1e-6 * F.greatest("top", F.lit(1e-12))
+    rows = modes.where(F.col("mode") < count).withColumn("one", F.lit(1)).join(F.broadcast(top), "one")
+    return rows.select("mode", "channel", (F.col("loading") / F.sqrt(F.greatest("value", floor))).alias("w"))
+
+
+def whitened(rasters: DataFrame, weights: DataFrame, channel: str = "channel") -> DataFrame:
+    """y, x, mode, u: standardised channels through a whitening matrix (mode, channel, w); their covariance over the
+    pixels is the identity if the modes are those of the rasters' correlation."""
+    return standardised(rasters, channel).join(weights, "channel").groupBy("y", "x", "mode").agg(F.sum(F.col("w") * F.col("z")).alias("u"))
+
+
+def channel_probe(rasters: DataFrame, weights: DataFrame, y: int, x: int, limit: float, channel: str = "channel") -> DataFrame:
+    """y, x, distance, similarity of each pixel's whitened channels to those of one pixel: 1 at no distance, 0 from the
+    limit on. The pixel is taken to the nearest one of the raster. What is broadcast is one number a mode."""
+    u = whitened(rasters, weights, channel)
+    ends = rasters.agg(F.max("y"), F.max("x")).first()
+    y, x = (min(max(v, 0), int(end or 0)) for v, end in zip((y, x), ends, strict=True))
+    probe = u.where((F.col("y") == y) & (F.col("x") == x)).select("mode", F.col("u").alias("own"))
+    far = u.join(F.broadcast(probe), "mode").groupBy("y", "x").agg(F.sqrt(F.sum((F.col("u") - F.col("own")) * (F.col("u") - F.col("own")))).alias("distance"))
+    return far.withColumn("similarity", F.greatest(F.lit(0.0), 1 - F.col("distance") / limit))

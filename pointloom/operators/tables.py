@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pointloom.operators.lineage import cut
+from pointloom.operators.manifold import pca
 from pointloom.operators.order import running
 
 
@@ -74,6 +75,42 @@ def variable_genes(features: DataFrame, top: int, *, log: bool = True) -> DataFr
     return ranked.where(F.col("k") <= top).select("col", "variance")
 
 
+def bottom_k(rows: DataFrame, key: Column, k: int) -> DataFrame:
+    """The k rows with the smallest keys (hexadecimal digests), exactly and without a sort of all rows.
+
+    Rows are counted by the first four digits of their keys, at most 65,536 counts; whole groups below the one in which
+    the k-th row falls are taken as they are, and only that group is ordered.
+    """
+    named = rows.withColumns({"_key": key, "_head": F.substring(key, 1, 4)})
+    left, edge = k, None
+    for head, n in sorted(named.groupBy("_head").count().toLocalIterator()):
+        if n > left:
+            edge = head
+            break
+        left -= n
+    if edge is None:
+        return rows
+    inside = named.where(F.col("_head") < edge)
+    return inside.unionByName(named.where(F.col("_head") == edge).orderBy("_key").limit(left)).select(*rows.columns)
+
+
+def store_dataset(features: DataFrame, *, genes: int, rows: int, components: int, seed: int = 1, log: bool = True) -> tuple[DataFrame, list[int]]:
+    """(row, scores) and the columns used: the way of a stored matrix to principal components.
+
+    Values are log1p of what is above 0, if ``log``; the ``genes`` most variable columns are chosen over all rows, then a
+    keyed subsample of ``rows`` rows is taken exactly, and the scores are those of the subsample. Raises where fewer than
+    two columns vary.
+    """
+    cols = sorted(r.col for r in variable_genes(features, genes, log=log).collect())
+    if len(cols) < 2:
+        raise ValueError("fewer than two columns vary")
+    v = F.array(*[F.col("features")[c] for c in cols])
+    v = F.transform(v, lambda x: F.log1p(F.greatest(x, F.lit(0.0)))) if log else v
+    sample = bottom_k(features.select("row", v.alias("features")), F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("row").cast("string")).cast("binary")), rows)
+    scores, _, _ = pca(sample, min(components, len(cols)))
+    return scores, cols
+
+
 def observation_labels(rows: DataFrame, label: str, most: int = 64) -> DataFrame:
     """Adds ``code``: the label's place among the distinct ones; missing ones are ``(unassigned)``. Raises beyond ``most``."""
     named = rows.withColumn("label", F.coalesce(F.col(label).cast("string"), F.lit("(unassigned)")))
