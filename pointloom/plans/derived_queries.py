@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import pi
+from math import exp, pi
 
 from pyspark.sql import functions as F
 
@@ -13,9 +13,13 @@ from pointloom.operators import raster as R
 from pointloom.operators import tables as B
 from pointloom.operators.inference import excursions
 from pointloom.plans.grid_queries import _RAST, _rasters
+from pointloom.plans.other_queries import _SERIES
 from pointloom.plans.point_queries import A, W, _kernel_sql
-from pointloom.plans.registry import CELLS, query, r6, rounded
-from pointloom.sources.tables import cells_emb, features, table
+from pointloom.plans.registry import CELLS, ORDERS, query, r6, rounded
+from pointloom.sources.packed import Store, pack_tiles, tile_field, write_store
+from pointloom.sources.tables import WINDOW_ORD, cells_emb, cells_ord, features, table
+from pointloom.streaming.series import run_to_table, series_stream, table_path
+from pointloom.streaming.stateful import read_events
 
 
 def _weights(spark, d, count=3):
@@ -170,3 +174,41 @@ def s20d(spark, d):
     """Components of the ten most variable features, log1p, of a subsample of 300 rows."""
     scores, _ = B.store_dataset(features(spark, d), genes=10, rows=300, components=5)
     return rounded(scores.select("row", *[F.col("scores")[k].alias(f"s{k}") for k in range(5)]), *[f"s{k}" for k in range(5)], digits=5)
+
+
+_PX = f"""{ORDERS}, px AS (SELECT least(greatest(floor((y-1000)*48/2600), 0), 47)::INT AS y, least(greatest(floor(x*80/5000), 0), 79)::INT AS x, count(*) AS n, sum(round(x*100)) AS total FROM ord GROUP BY 1, 2)"""
+
+
+@query(
+    "s22_tile_to_field",
+    f"WITH {_PX} SELECT a.y::INT AS y, b.x::INT AS x, coalesce(total, 0)::DOUBLE AS v FROM range(48) a(y) CROSS JOIN range(80) b(x) LEFT JOIN px ON px.y = a.y AND px.x = b.x WHERE EXISTS (SELECT 1 FROM px p WHERE p.y // 32 = a.y // 32 AND p.x // 32 = b.x // 32)",
+)
+def s22(spark, d):
+    """Orders as a raster of two lanes, count and price, packed as tiles; the second lane as a field."""
+    x0, y0, x1, y1 = WINDOW_ORD
+    pixel = lambda c, lo, hi, n: F.least(F.greatest(F.floor((F.col(c) - lo) * n / (hi - lo)), F.lit(0)), F.lit(n - 1)).cast("int")
+    p = cells_ord(spark, d).groupBy(pixel("y", y0, y1, 48).alias("y"), pixel("x", x0, x1, 80).alias("x")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("x") * 100)).alias("total"))
+    return tile_field(pack_tiles(p, 80, 48, ["n", "total"], tile=32, kind="f8"), 1, tile=32)
+
+
+@query("s10_store", "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS row, s_nationkey::DOUBLE AS nation, s_acctbal AS balance FROM supplier")
+def s10(spark, d):
+    """Suppliers written as a store, and two of its columns read back as doubles."""
+    path = table_path(spark, "store")
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name", F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
+    write_store({"suppliers": (s, ["s_suppkey"])}, path, chunk_rows=4096)
+    return Store.open(spark, path).read_f64("suppliers", ["nation", "balance"])
+
+
+@query(
+    "g29_series_stream",
+    f"""WITH RECURSIVE {_SERIES}, y AS (SELECT user_id, tick, v AS smooth FROM s WHERE tick = 0 UNION ALL
+      SELECT s.user_id, s.tick, y.smooth + {1 - exp(-1 / 4.0)!r} * (s.v - y.smooth) FROM y JOIN s ON s.user_id = y.user_id AND s.tick = y.tick + 1),
+    l AS (SELECT *, lag(v, 3, 0.0) OVER w AS delayed, first_value(v) OVER w AS f, lag(v, 2) OVER w AS a, lag(v, 3) OVER w AS b FROM s WINDOW w AS (PARTITION BY user_id ORDER BY tick))
+    SELECT user_id, tick, delayed, {r6('coalesce(a, f)+(coalesce(b, f)-coalesce(a, f))*0.25')} AS sample, {r6('smooth', 5)} AS smooth FROM l JOIN y USING (user_id, tick)""",
+)
+def g29s(spark, d):
+    """Each user's events as a stream: three ticks late, two and a quarter ticks back, and smoothed."""
+    stream = series_stream(read_events(spark, f"{d}/events.parquet*"), delay=3, age=2.25, tau=4.0)
+    got = run_to_table(stream, table_path(spark, "series")).drop("event_id")
+    return rounded(rounded(got, "sample"), "smooth", digits=5)
