@@ -54,6 +54,8 @@ SIMILAR = Search(words=4, budget=60, turns=14, run=18, run_budget=2, subtree=1 <
 LEAST_SIMILARITY = (4, 5)
 #: Text bytes and rows of a block of a group of similar fingerprints, whose texts are compared block against block.
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 1024
+#: Most rows of two numbers (64 MB) that are sent to all executors to pick texts; more are joined by a shuffle.
+SMALL_ROWS = 4_000_000
 
 
 def _mixed(h: np.ndarray, words: int) -> np.ndarray:
@@ -446,7 +448,10 @@ def _similar_classes(
     near = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
     groups = saved(fps.join(near, "node"), "groups")
     source = marked.select(F.col(f"`{row}`").alias("least"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    texts = groups.select("node", "least").join(source, "least").select("node", "text")
+    wanted = groups.select("node", "least")
+    if groups.count() <= SMALL_ROWS:  # the texts of documents without a like one stay where they are
+        wanted = F.broadcast(wanted)
+    texts = source.join(wanted, "least").select("node", "text")
     sure = saved(confirmed(groups.select("node", "fp", "root"), texts, shingle, search), "sure")
     rooted = fps.join(components(sure), "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
     rooted = saved(rooted, "rooted")
