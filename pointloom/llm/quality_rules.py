@@ -19,17 +19,32 @@ LEAST_WORDS = 20
 MOST_REPEATED = 30
 #: Words of a window that counts as repeated when it stands twice in a text.
 WINDOW = 8
-#: A line fails the punctuation rule if it has more than one mark for so many words, or at least so many words and no
-#: sign at its end that ends or carries on a sentence.
+#: A line fails the punctuation rule if it has more than one mark for so many words, or at least so many words and
+#: neither a sign at its end that ends or carries on a sentence nor anything else that explains its end (``_explained``).
 WORDS_PER_MARK = 5
 LEAST_UNENDED = 4
+#: A heading has no more words.
+MOST_HEADING = 10
 #: A line fails the navigation rule with at least so many separators, if there is one for every four words.
 LEAST_SEPARATORS = 3
 #: Rejected if the removed lines hold more than this percentage of the text.
 MOST_LOST = 50
 SYMBOLS = r"[#*$%&|<>]"
 MARKS = r"[#*$%&|<>]|[!?]{2,}"
-ENDS = ".!?…:;\"'”’»)]。！？"
+ENDS = ".!?…:;,\"'”’»)]}([{-–—。！？、，"
+#: A line of nothing but ASCII white space parts blocks of lines.
+BLANK = r"[\x20\x09\x0B-\x0D]"
+WORD = r"[^\x20\x09-\x0D]"
+#: The mark before a list item or heading is none of the line's marks.
+ITEM = r"^[\x20\x09]*(?:[-+*•‣–]|#{1,6}|[0-9]{1,3}[.)]|[A-Za-z][.)])[\x20\x09]+"
+#: Program text, whose signs are no symbols; indented lines may end anywhere.
+CODE = (
+    r"\x20(?:[-+*/%&|^<>=!:]?=|=>|->|&&|\|\||\+)\x20|[;{}][\x20\x09\x0D]*\z"
+    r"|^[\x20\x09]*(?:#include\x20|#define\x20|from\x20[A-Za-z0-9_.]+\x20import\x20)"
+)
+INDENTED = r"^(?:\x20\x20|\x09)"
+GOES_ON = r"^[\x20\x09]*\p{Ll}"
+HEADING = r"^[\x20\x09]*[\p{Lu}0-9]"
 SEPARATORS = r"[|»›•·]"
 #: Lines that are nothing but one of these (English, German, Spanish, French) fail the navigation rule.
 _NAVIGATION = (
@@ -118,17 +133,39 @@ def has_boilerplate(text: Column) -> Column:
     return _bound(F.lower(text), held)
 
 
-def line_fails(line: Column, boilerplate: Column) -> Column:
-    """True for a line that the punctuation, navigation or boilerplate rule removes.
+def line_rows(text: Column) -> Column:
+    r"""All ``\n``-split lines in order as (l, e): the line and whether its block of lines ends with a sign of ``ENDS``."""
+    blocks = F.split(text, rf"\n(?={BLANK}*(?:\n|\z))")
+    rows = lambda b, e: F.transform(F.split(b, "\n"), lambda x: F.struct(x.alias("l"), e.alias("e")))
+    return F.flatten(F.transform(blocks, lambda b: _bound(_ended(b), lambda e: rows(b, e))))
+
+
+def _ended(text: Column) -> Column:
+    return F.right(F.rtrim(text, F.lit(" \t\n\x0b\x0c\r")), F.lit(1)).isin(*ENDS)
+
+
+def _explained(rows: Column, i: Column, n_words: Column) -> Column:
+    """Whether a line without a sign at its end may have none: its block ends with one (wrapped prose, verse), the next
+    line goes on in lower case, it is a list item, program text or indented, or it stands alone above a block that ends with a sign (a heading)."""
+    row, following, after = (F.get(rows, i + k) for k in range(3))
+    first = (i == 0) | ~F.get(rows, i - 1)["l"].rlike(WORD)
+    heads = (n_words <= MOST_HEADING) & row["l"].rlike(HEADING) & first & ~following["l"].rlike(WORD) & after["l"].rlike(WORD) & after["e"]
+    goes_on = following["l"].rlike(GOES_ON)
+    return row["e"] | F.coalesce(goes_on, F.lit(False)) | row["l"].rlike(f"{ITEM}|{CODE}|{INDENTED}") | F.coalesce(heads, F.lit(False))
+
+
+def line_fails(rows: Column, i: Column, boilerplate: Column) -> Column:
+    """True for line ``i`` of ``line_rows`` if the punctuation, navigation or boilerplate rule removes it; a blank line stays.
 
     ``boilerplate``: whether the line's text holds any boilerplate, so that most texts are searched once for it.
     """
+    line = F.get(rows, i)["l"]
     n_words = F.size(F.split(F.trim(line), SPACES))
-    marks = F.regexp_count(line, F.lit(MARKS))
+    marked = lambda x: F.regexp_count(x, F.lit(MARKS)) * WORDS_PER_MARK > n_words
     separators = _count(line, SEPARATORS)
-    return (
-        (marks * WORDS_PER_MARK > n_words)
-        | ((n_words >= LEAST_UNENDED) & ~F.right(F.rtrim(line, F.lit(" \t\n\x0b\x0c\r")), F.lit(1)).isin(*ENDS))
+    return line.rlike(WORD) & (
+        (marked(line) & marked(F.regexp_replace(line, ITEM, "")) & ~line.rlike(CODE))
+        | ((n_words >= LEAST_UNENDED) & ~_ended(line) & ~_explained(rows, i, n_words))
         | ((separators >= LEAST_SEPARATORS) & (separators * 4 >= n_words))
         | F.lower(line).rlike(NAVIGATION)
         | (boilerplate & has_boilerplate(line))
@@ -137,8 +174,8 @@ def line_fails(line: Column, boilerplate: Column) -> Column:
 
 def cleaned(text: Column) -> Column:
     r"""The text without the ``\n``-split lines that fail; unchanged if none does, null if it is null."""
-    fails = lambda x: x.rlike(r"[^\x20\x09-\x0D]") & line_fails(x, F.lit(True))
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~fails(x)), "\n")
+    left = lambda rows: F.filter(rows, lambda x, i: ~line_fails(rows, i, F.lit(True)))
+    return F.array_join(F.transform(_bound(line_rows(text), left), lambda x: x["l"]), "\n")
 
 
 def measures(docs: DataFrame, *, keep: Sequence[str], text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -149,14 +186,17 @@ def measures(docs: DataFrame, *, keep: Sequence[str], text_col: str = "text", pr
     """
     names = [fresh([*docs.columns, "kept"], x) for x in ("words__", "lines__", "text__")]
     words, lines, text = names
+    rows = fresh([*docs.columns, "kept"], "rows__")
     out = {x: prefix + x for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "line_chars", "kept")}
     df = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text))
-    df = df.withColumns({words: word_array(F.col(text)), lines: line_array(F.col(text))})
+    df = df.withColumns({words: word_array(F.col(text)), lines: line_array(F.col(text)), rows: line_rows(F.col(text))})
     zero = F.lit(0).cast("long")
     # bound, so that it is not worked out again for each line
     lost = _bound(
         has_boilerplate(F.col(text)),
-        lambda b: F.aggregate(lines, zero, lambda a, x: a + F.when(line_fails(x, b), F.length(x)).otherwise(0)),
+        lambda b: F.aggregate(
+            F.transform(rows, lambda x, i: F.when(line_fails(F.col(rows), i, b), F.length(x["l"])).otherwise(0)), zero, lambda a, n: a + n
+        ),
     )
     df = df.select(
         *[F.col(f"`{c}`") for c in keep],
@@ -204,17 +244,24 @@ eight AS (SELECT doc_id, n, p, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDE
 wins AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, win) AS n FROM eight WHERE p + 7 <= n),
 twice AS (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM wins WHERE n > 1),
 cover AS (SELECT doc_id, sum(least(8, coalesce(q - p, 8))) AS n_repeat_words FROM twice GROUP BY doc_id),
-lines AS (SELECT doc_id, l FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
-          WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+every AS (SELECT doc_id, l, i, regexp_matches(l, '{word}') AS has, regexp_matches(l, '{ended}') AS fin
+          FROM (SELECT doc_id, unnest(ls) AS l, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM d))),
+block AS (SELECT *, sum((NOT has)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM every),
+flow AS (SELECT *, coalesce(max(i) FILTER (has AND fin) OVER (PARTITION BY doc_id, b) = max(i) FILTER (has) OVER (PARTITION BY doc_id, b), false) AS e FROM block),
+lines AS (SELECT *, lead(l) OVER t AS following, coalesce(lag(has) OVER t, false) OR lead(has) OVER t AS near_has, lead(has AND e, 2) OVER t AS after_ends
+          FROM flow WINDOW t AS (PARTITION BY doc_id ORDER BY i)),
 marks AS (SELECT doc_id, l, length(l) AS n,
             len(regexp_split_to_array(trim(l, ' '), '[\x20\x09-\x0D]+')) AS nw,
-            len(regexp_extract_all(l, '[#*$%&|<>]|[!?]{{2,}}')) AS nm,
+            least(len(regexp_extract_all(l, '{marks}')), len(regexp_extract_all(regexp_replace(l, '{item}', ''), '{marks}'))) AS nm,
+            regexp_matches(l, '{code}') AS code,
             length(l) - length(regexp_replace(l, '[|»›•·]', '', 'g')) AS ns,
-            NOT regexp_matches(l, '{ended}') AS unended,
+            NOT fin AND NOT e AND NOT coalesce(regexp_matches(following, '{goes_on}'), false) AND NOT regexp_matches(l, '{item}|{code}|{indented}') AS unended,
+            regexp_matches(l, '{heading}') AND coalesce(NOT near_has AND after_ends, false) AS heads,
             regexp_matches(lower(l), '{navigation}') OR regexp_matches(lower(l), '{boilerplate}') AS chrome
-          FROM lines),
+          FROM lines WHERE has),
 loss AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines, sum(n) AS line_chars,
-            coalesce(sum(n) FILTER (nm * 5 > nw OR (nw >= 4 AND unended) OR (ns >= 3 AND ns * 4 >= nw) OR chrome), 0) AS lost_chars
+            coalesce(sum(n) FILTER ((nm * 5 > nw AND NOT code) OR (nw >= 4 AND unended AND NOT (heads AND nw <= {most_heading}))
+              OR (ns >= 3 AND ns * 4 >= nw) OR chrome), 0) AS lost_chars
          FROM marks GROUP BY doc_id),
 m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
             (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
@@ -229,6 +276,9 @@ FROM f
 
 
 def sql(docs: str = "documents") -> str:
-    ended = rf"[{ENDS.replace(']', chr(92) + ']')}][\x20\x09-\x0D]*\z"
-    navigation, boilerplate, ended = (x.replace("'", "''") for x in (NAVIGATION, BOILERPLATE, ended))
-    return SQL.format(docs=docs, navigation=navigation, boilerplate=boilerplate, ended=ended)
+    signs = "".join("\\" + c if c in r"[]-^" else c for c in ENDS)
+    patterns = {
+        "word": WORD, "ended": rf"[{signs}][\x20\x09-\x0D]*\z", "marks": MARKS, "item": ITEM, "code": CODE, "indented": INDENTED,
+        "goes_on": GOES_ON, "heading": HEADING, "navigation": NAVIGATION, "boilerplate": BOILERPLATE,
+    }
+    return SQL.format(docs=docs, most_heading=MOST_HEADING, **{k: x.replace("'", "''") for k, x in patterns.items()})

@@ -25,6 +25,10 @@ ROWS = [
     (16, "Please accept cookies " + " ".join(f"long{k}" for k in range(150)) + "."),
     (17, "Please accept cookies " + " ".join(f"short{k}" for k in range(18)) + "."),
     (13, "x" * 100000),
+    (21, "\n".join(["They walked along the old road in the", "morning while the others slept in their", "tents and nobody said a word until they", "came back."] * 1) + " " + " ".join(f"m{k}" for k in range(9)) + "."),
+    (18, "menu of all our pages\nproducts and services for you\nContact us by phone today\nCompany news and press releases\nMore from us this week"),
+    (19, "# A Heading of Many Words\n\n* first item of the list\n* second item of the list\n\n1. third item of the list\n \n\tindented text has no end"),
+    (20, "A Title Above Some Text\n\nIt goes on here\nand there, as texts do.\r\n\r\nNo Title Above The Void\n\n\nIt has no end at all\n"),
 ]
 
 
@@ -91,3 +95,41 @@ def test_failing_lines_are_removed(spark):
     docs = spark.createDataFrame([(1, "\n".join(mixed), "a"), (2, plain, "b")], "doc_id long, text string, source string")
     left = {r.doc_id: r.text for r in keep_good(docs).collect()}
     assert left == {1: "\n".join([*good[:4], "", *good[4:], ""]), 2: plain}
+
+
+WRAPPED = """The committee met on the first day of the
+month and talked about the new bridge across
+the river, which had been planned for
+several years without any result."""
+VERSE = """We wandered down the silver shore
+And heard the water's hollow call
+A song that none had sung before
+And none remembered after all."""
+CODE = """def total(rows, price):
+    found = [r for r in rows if r]
+    if not found and price < 3:
+        return price or None
+    amount = price + len(found) * price
+    return amount"""
+LISTS = """How To Bake A Plain Bread
+
+Mix the flour with water and wait an hour.
+
+- two cups of plain flour
+- one cup of warm water
+* a spoon of salt or less
+
+1. knead the dough for ten minutes
+2. bake it until it is brown"""
+
+
+@pytest.mark.parametrize("text", [WRAPPED, VERSE, CODE, LISTS, WRAPPED.replace("\n", "\r\n"), f"{WRAPPED}\n\n{VERSE}\n\n{CODE}\n"])
+def test_good_lines_without_a_stop_stay(spark, text):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [r.text for r in keep_good(docs).collect()] == [text]
+
+
+def test_menus_still_go(spark):
+    menu = "Products and services for you\nContact us by phone today\nCompany news and press releases"
+    docs = spark.createDataFrame([(1, f"{menu}\n\n{WRAPPED}"), (2, f"{menu}\n\n\n{menu}\nMore pages of ours to see")], "doc_id long, text string")
+    assert [(r.doc_id, r.text) for r in keep_good(docs).collect()] == [(1, f"\n{WRAPPED}")]
