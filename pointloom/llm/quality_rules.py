@@ -25,6 +25,8 @@ WORDS_PER_MARK = 5
 LEAST_UNENDED = 4
 #: A heading has no more words.
 MOST_HEADING = 10
+#: A line of so many words or more fails the same rule if over half of them repeat the word before.
+LEAST_STUTTER = 8
 #: A line fails the navigation rule with at least so many separators, if there is one for every four words.
 LEAST_SEPARATORS = 3
 #: Rejected if the removed lines hold more than this percentage of the text.
@@ -37,11 +39,12 @@ BLANK = r"[\x20\x09\x0B-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 #: The mark before a list item or heading is none of the line's marks.
 ITEM = r"^[\x20\x09]*(?:[-+*•‣–]|#{1,6}|[0-9]{1,3}[.)]|[A-Za-z][.)])[\x20\x09]+"
-#: Program text, whose signs are no symbols; indented lines may end anywhere.
+#: Program text, whose signs are no symbols unless three stand together; indented lines may end anywhere.
 CODE = (
     r"\x20(?:[-+*/%&|^<>=!:]?=|=>|->|&&|\|\||\+)\x20|[;{}][\x20\x09\x0D]*\z"
     r"|^[\x20\x09]*(?:#include\x20|#define\x20|from\x20[A-Za-z0-9_.]+\x20import\x20)"
 )
+TRIPLE = r"[#*$%&|<>]{3}"
 INDENTED = r"^(?:\x20\x20|\x09)"
 GOES_ON = r"^[\x20\x09]*\p{Ll}"
 HEADING = r"^[\x20\x09]*[\p{Lu}0-9]"
@@ -160,16 +163,22 @@ def line_fails(rows: Column, i: Column, boilerplate: Column) -> Column:
     ``boilerplate``: whether the line's text holds any boilerplate, so that most texts are searched once for it.
     """
     line = F.get(rows, i)["l"]
-    n_words = F.size(F.split(F.trim(line), SPACES))
-    marked = lambda x: F.regexp_count(x, F.lit(MARKS)) * WORDS_PER_MARK > n_words
-    separators = _count(line, SEPARATORS)
-    return line.rlike(WORD) & (
-        (marked(line) & marked(F.regexp_replace(line, ITEM, "")) & ~line.rlike(CODE))
-        | ((n_words >= LEAST_UNENDED) & ~_ended(line) & ~_explained(rows, i, n_words))
-        | ((separators >= LEAST_SEPARATORS) & (separators * 4 >= n_words))
-        | F.lower(line).rlike(NAVIGATION)
-        | (boilerplate & has_boilerplate(line))
-    )
+
+    def fails(words: Column) -> Column:
+        n_words = F.size(words)
+        marked = lambda x: F.regexp_count(x, F.lit(MARKS)) * WORDS_PER_MARK > n_words
+        separators = _count(line, SEPARATORS)
+        again = F.size(F.filter(words, lambda w, k: (k > 0) & (w == F.get(words, k - 1))))
+        return (
+            (marked(line) & marked(F.regexp_replace(line, ITEM, "")) & (~line.rlike(CODE) | line.rlike(TRIPLE)))
+            | ((n_words >= LEAST_UNENDED) & ~_ended(line) & ~_explained(rows, i, n_words))
+            | ((n_words >= LEAST_STUTTER) & (again * 2 > n_words))
+            | ((separators >= LEAST_SEPARATORS) & (separators * 4 >= n_words))
+            | F.lower(line).rlike(NAVIGATION)
+            | (boilerplate & has_boilerplate(line))
+        )
+
+    return line.rlike(WORD) & _bound(F.split(F.trim(line), SPACES), fails)
 
 
 def cleaned(text: Column) -> Column:
@@ -250,18 +259,18 @@ block AS (SELECT *, sum((NOT has)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS
 flow AS (SELECT *, coalesce(max(i) FILTER (has AND fin) OVER (PARTITION BY doc_id, b) = max(i) FILTER (has) OVER (PARTITION BY doc_id, b), false) AS e FROM block),
 lines AS (SELECT *, lead(l) OVER t AS following, coalesce(lag(has) OVER t, false) OR lead(has) OVER t AS near_has, lead(has AND e, 2) OVER t AS after_ends
           FROM flow WINDOW t AS (PARTITION BY doc_id ORDER BY i)),
-marks AS (SELECT doc_id, l, length(l) AS n,
-            len(regexp_split_to_array(trim(l, ' '), '[\x20\x09-\x0D]+')) AS nw,
+marks AS (SELECT doc_id, l, length(l) AS n, len(ws) AS nw,
+            len(list_filter(ws, lambda x, k: k > 1 AND x = ws[k - 1])) AS again,
             least(len(regexp_extract_all(l, '{marks}')), len(regexp_extract_all(regexp_replace(l, '{item}', ''), '{marks}'))) AS nm,
-            regexp_matches(l, '{code}') AS code,
+            regexp_matches(l, '{code}') AND NOT regexp_matches(l, '{triple}') AS code,
             length(l) - length(regexp_replace(l, '[|»›•·]', '', 'g')) AS ns,
             NOT fin AND NOT e AND NOT coalesce(regexp_matches(following, '{goes_on}'), false) AND NOT regexp_matches(l, '{item}|{code}|{indented}') AS unended,
             regexp_matches(l, '{heading}') AND coalesce(NOT near_has AND after_ends, false) AS heads,
             regexp_matches(lower(l), '{navigation}') OR regexp_matches(lower(l), '{boilerplate}') AS chrome
-          FROM lines WHERE has),
+          FROM (SELECT *, regexp_split_to_array(trim(l, ' '), '[\x20\x09-\x0D]+') AS ws FROM lines WHERE has)),
 loss AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines, sum(n) AS line_chars,
             coalesce(sum(n) FILTER ((nm * 5 > nw AND NOT code) OR (nw >= 4 AND unended AND NOT (heads AND nw <= {most_heading}))
-              OR (ns >= 3 AND ns * 4 >= nw) OR chrome), 0) AS lost_chars
+              OR (nw >= {stutter} AND again * 2 > nw) OR (ns >= 3 AND ns * 4 >= nw) OR chrome), 0) AS lost_chars
          FROM marks GROUP BY doc_id),
 m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
             (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
@@ -278,7 +287,7 @@ FROM f
 def sql(docs: str = "documents") -> str:
     signs = "".join("\\" + c if c in r"[]-^" else c for c in ENDS)
     patterns = {
-        "word": WORD, "ended": rf"[{signs}][\x20\x09-\x0D]*\z", "marks": MARKS, "item": ITEM, "code": CODE, "indented": INDENTED,
+        "word": WORD, "ended": rf"[{signs}][\x20\x09-\x0D]*\z", "marks": MARKS, "item": ITEM, "code": CODE, "triple": TRIPLE, "indented": INDENTED,
         "goes_on": GOES_ON, "heading": HEADING, "navigation": NAVIGATION, "boilerplate": BOILERPLATE,
     }
-    return SQL.format(docs=docs, most_heading=MOST_HEADING, **{k: x.replace("'", "''") for k, x in patterns.items()})
+    return SQL.format(docs=docs, most_heading=MOST_HEADING, stutter=LEAST_STUTTER, **{k: x.replace("'", "''") for k, x in patterns.items()})

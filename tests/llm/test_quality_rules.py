@@ -28,6 +28,7 @@ ROWS = [
     (21, "\n".join(["They walked along the old road in the", "morning while the others slept in their", "tents and nobody said a word until they", "came back."] * 1) + " " + " ".join(f"m{k}" for k in range(9)) + "."),
     (18, "menu of all our pages\nproducts and services for you\nContact us by phone today\nCompany news and press releases\nMore from us this week"),
     (19, "# A Heading of Many Words\n\n* first item of the list\n* second item of the list\n\n1. third item of the list\n \n\tindented text has no end"),
+    (22, "It begins well enough.\n" + "one one one one one two two two two two three three three\n" * 2 + "And it ends as well.\nx = 1 a*** b c d e\nx = y && z"),
     (20, "A Title Above Some Text\n\nIt goes on here\nand there, as texts do.\r\n\r\nNo Title Above The Void\n\n\nIt has no end at all\n"),
 ]
 
@@ -61,6 +62,7 @@ def test_base_figures_equal_brute_force(docs):
 def test_line_rules(docs):
     kept = {r.doc_id: r.kept for r in judged(docs).collect()}
     assert kept[6] and kept[9] and kept[12] and kept[15] and not kept[7] and not kept[8] and not kept[11]
+    assert not kept[18] and not kept[22]
     assert not kept[14] and not kept[16] and not kept[17]  # no end of a sentence; boilerplate in lines of any length
 
 
