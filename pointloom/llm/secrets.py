@@ -21,18 +21,26 @@ REACH = 200
 #: Spans found in one text are gathered in blocks of this many.
 _BLOCK = 256
 _VALUE = r"""["']?\x20*[:=]\x20*["']?"""
+_SIGN = "[A-Za-z0-9+/_.=!-]"
+#: What tells a weak secret from a word: a letter with a digit or exclamation mark, quotes, or a password after a bare "=".
+_EVIDENCE = (
+    rf"""(?:(?=[A-Za-z+/_.=-]*[0-9!])(?=[0-9+/_.=!-]*[A-Za-z])|(?<=["'])(?={_SIGN}+["'])|(?<=(?:pwd|pass|PWD|PASS)=))"""
+)
 SPAN = "array<struct<s:int,e:int,k:int>>"
 
 
 @dataclass(frozen=True)
 class Kind:
-    """A pattern; ``least``: characters of its group 2 that a match needs; ``role``: the part of a credential it is."""
+    """A pattern; ``least``: characters of its group 2 that a match needs; ``role``: the part of a credential it is.
+
+    ``weak``: reported only with a complement close by; ``whole``: holds complementary parts itself."""
 
     name: str
     pattern: str
     role: str
     least: int = 0
     weak: bool = False
+    whole: bool = False
 
 
 KINDS = (
@@ -41,19 +49,21 @@ KINDS = (
     Kind("hex", r"[0-9a-f]{24,}", "secret"),
     Kind(
         "link_id",
-        rf"((?i:user_?name|user_?id|user|login|account|client_?id|access_?key_?id)){_VALUE}([A-Za-z0-9._@-]{{3,}})",
+        rf"(?<![A-Za-z])((?i:user_?name|user_?id|user|login|account|client_?id|access_?key_?id)){_VALUE}([A-Za-z0-9._@-]{{2,}}[A-Za-z0-9_@-])",
         "identifier",
         weak=True,
     ),
-    Kind("link_secret", rf"((?i:pwd|pass|private_?key|credentials?|auth)){_VALUE}([A-Za-z0-9+/_.=!-]{{6,}})", "secret", weak=True),
+    Kind("link_secret", rf"(?<![A-Za-z])((?i:pwd|pass|private_?key|credentials?|auth)){_VALUE}({_EVIDENCE}{_SIGN}{{5,}}[A-Za-z0-9+/_=!-])", "secret", weak=True),
     Kind(
         "link_key",
-        # neither in nor at the begin of a URL, nor a path of words
-        r"(?<![A-Za-z0-9+/=._%~?&#@-])(?!//)(?!/?(?:[A-Za-z]+/){3})(?=[0-9+/a-z]*[A-Z])(?=[0-9+/A-Z]*[a-z])(?=[A-Za-z+/]*[0-9])"
+        # neither in nor at the begin of a URL, nor a path, nor a name of many words: random letters change their case often
+        r"(?<![A-Za-z0-9+/=._%~?&#@-])(?!//)(?!/?(?:[A-Za-z]+/){3})(?!(?:[A-Za-z0-9+]*/){4})"
+        r"(?=(?:[A-Z0-9]*+[a-z+/]++){4})(?=(?:[A-Za-z+/]*+[0-9]++){2})(?=[0-9+/a-z]*[A-Z])"
         r"[A-Za-z0-9+/]{40,}+={0,2}+(?![:.])",
         "secret",
         weak=True,
     ),
+    Kind("link_url", r"(?<=://)[^\x20\x09-\x0D\x22\x27<>/:@?#]+:[^\x20\x09-\x0D\x22\x27<>/@]+(?=@[A-Za-z0-9])", "secret", whole=True),
     Kind("endpoint", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\x20\x09-\x0D\x22\x27<>]+", "endpoint"),
 )
 #: What a weak part of a role needs close by: one of these roles.
@@ -157,6 +167,7 @@ def find_secrets(
     Spans are in code points, the end exclusive, k the number in ``KINDS``, sorted by start, then kind. A null text is
     empty. Weak parts (user names, short passwords, random keys) are in ``spans`` only with a complementary part at
     most ``REACH`` code points away in the same paragraph that does not overlap them; endpoints are parts, never secrets.
+    User and password within a URL are all three parts in one place.
     """
     taken = [*docs.columns, *names]
     text, parts = fresh(taken, "text__"), fresh(taken, "parts__")
@@ -165,8 +176,9 @@ def find_secrets(
     plain = [k for k, x in enumerate(KINDS) if x.name in BASE]
     df = df.withColumn(parts, F.concat(*[_spans(F.col(text), k, x) for k, x in enumerate(KINDS)]))
     df = df.withColumn(base, F.sort_array(F.filter(parts, lambda x: x["k"].isin(plain))))
+    whole = F.filter(parts, lambda x: x["k"].isin([k for k, x in enumerate(KINDS) if x.whole]))
     return df.select(
-        *[F.col(f"`{c}`") for c in keep], base, F.sort_array(F.concat(base, _once(F.col(parts), lambda p: _linked(p, F.col(text))))).alias(spans)
+        *[F.col(f"`{c}`") for c in keep], base, F.sort_array(F.concat(base, whole, _once(F.col(parts), lambda p: _linked(p, F.col(text))))).alias(spans)
     )
 
 
