@@ -3,7 +3,7 @@
 The highest-IDF words of each license notice are indexed with their positions. Each file looks up every
 indexed word it holds; every posting votes for the offset of its template in the file, and postings that agree on the offset
 are the intersection by relative position. A template with enough votes is reported if its key phrase stands in the
-file. Document frequencies are counted over all documents; the rest is SQL expressions over one document.
+file and no other template that shares its words agrees better at the same place. Document frequencies are counted over all documents; the rest is SQL expressions over one document.
 """
 
 from __future__ import annotations
@@ -41,6 +41,13 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc0", "to the extent possible under law the author has waived all copyright under cc0 1 0 universal public domain dedication", "cc0 1 0 universal"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("epl", "made available under the terms of the eclipse public license", "eclipse public license"),
+    ("mit", "spdx license identifier mit", "license identifier mit"),
+    ("apache", "spdx license identifier apache 2 0", "license identifier apache 2 0"),
+    ("bsd", "spdx license identifier bsd 3 clause", "license identifier bsd"),
+    ("gpl", "spdx license identifier gpl 2 0 only", "license identifier gpl"),
+    ("lgpl", "spdx license identifier lgpl 2 1 only", "license identifier lgpl"),
+    ("mpl", "spdx license identifier mpl 2 0", "license identifier mpl"),
     ("all-rights-reserved", "all rights reserved", "all rights reserved"),
 )
 #: Words of a template that are indexed, at most; least share of votes.
@@ -89,6 +96,22 @@ def _index(df: dict[str, int], n: int) -> tuple[dict[str, list[tuple[int, int]]]
     return postings, sizes
 
 
+def _rivals(postings: dict[str, list[tuple[int, int]]], sizes: list[int]) -> dict[int, list[tuple[int, int]]]:
+    """For each template the others (template, shift) of another label that get half the votes or more where it gets half of
+    its own: at offset o + shift if it stands at o."""
+    shared: dict[tuple[int, int, int], int] = {}
+    for at in postings.values():
+        for t, p in at:
+            for u, q in at:
+                if TEMPLATES[t][0] != TEMPLATES[u][0]:
+                    shared[t, u, p - q] = shared.get((t, u, p - q), 0) + 1
+    found: dict[int, list[tuple[int, int]]] = {}
+    for (t, u, shift), n in sorted(shared.items()):
+        if n >= LEAST_SHARE * sizes[t]:
+            found.setdefault(t, []).append((u, shift))
+    return found
+
+
 def _n_spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
@@ -110,15 +133,13 @@ def _places(line: Column, n_words: Column, phrase: str) -> Column:
 
 
 def _runs(votes: Column) -> Column:
-    """Equal neighbours of sorted votes as (template, how many)."""
+    """Equal neighbours of sorted votes as (template, offset, how many)."""
     ends = F.filter(
-        F.transform(votes, lambda v, i: F.struct(v["t"].alias("t"), (i + 1).alias("end"), (~F.get(votes, i + 1).eqNullSafe(v)).alias("last"))),
+        F.transform(votes, lambda v, i: F.struct(v["t"].alias("t"), v["off"].alias("off"), (i + 1).alias("end"), (~F.get(votes, i + 1).eqNullSafe(v)).alias("last"))),
         lambda x: x["last"],
     )
-    return _once(
-        ends,
-        lambda e: F.transform(e, lambda x, i: F.struct(x["t"].alias("t"), (x["end"] - F.coalesce(F.get(e, i - 1)["end"], F.lit(0))).alias("n"))),
-    )
+    size = lambda e, x, i: x["end"] - F.coalesce(F.get(e, i - 1)["end"], F.lit(0))
+    return _once(ends, lambda e: F.transform(e, lambda x, i: F.struct(x["t"].alias("t"), x["off"].alias("off"), size(e, x, i).alias("n"))))
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,14 +170,31 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     held = F.array_intersect(F.col(words), F.array(*map(F.lit, postings)))
 
+    rivals = _rivals(postings, sizes)
+
     def shares(runs: Column) -> Column:
-        most = lambda t: F.array_max(F.transform(F.filter(runs, lambda r: r["t"] == t), lambda r: r["n"]))
+        """(score, label) of the templates that are verified and keep a place of their own."""
+
+        def of(t: int) -> Column:
+            """Runs of a template with votes enough, none without its key phrase."""
+            enough = F.filter(runs, lambda r: (r["t"] == t) & (r["n"] >= LEAST_SHARE * sizes[t]))
+            return F.when(F.col(line).contains(f" {TEMPLATES[t][2]} "), enough).otherwise(F.slice(runs, 1, 0))
+
+        def left(mine: Column, u: int, shift: int, t: int) -> Column:
+            """Runs of ``t`` at whose place ``u`` has no larger share, nor an equal one of a longer notice."""
+            longer = len(TEMPLATES[u][1].split()) > len(TEMPLATES[t][1].split())
+            beats = lambda n, m: (n * sizes[t] >= m * sizes[u]) if longer else (n * sizes[t] > m * sizes[u])
+            free = lambda at: F.filter(mine, lambda r: ~F.coalesce(beats(at[r["off"] + shift], r["n"]), F.lit(False)))
+            places_of = lambda o: F.map_from_arrays(F.transform(o, lambda r: r["off"]), F.transform(o, lambda r: r["n"]))
+            return F.when(F.size(mine) == 0, mine).otherwise(_once(_once(of(u), places_of), free))
+
         out = []
-        for t, (label, _, key) in enumerate(TEMPLATES):
-            n = most(t)
-            share = F.least(F.coalesce(n, F.lit(0)) / F.lit(float(sizes[t])), F.lit(1.0))
-            share = F.when(F.col(line).contains(f" {key} "), share).otherwise(F.lit(0.0))
-            out.append(F.struct(share.alias("score"), F.lit(label).alias("label")))
+        for t, (label, _, _) in enumerate(TEMPLATES):
+            mine = of(t)
+            for u, shift in rivals.get(t, []):
+                mine = _once(mine, lambda m, u=u, shift=shift, t=t: left(m, u, shift, t))
+            n = F.coalesce(F.array_max(F.transform(mine, lambda r: r["n"])), F.lit(0))
+            out.append(F.struct(F.least(n / F.lit(float(sizes[t])), F.lit(1.0)).alias("score"), F.lit(label).alias("label")))
         return F.filter(F.array(*out), lambda x: x["score"] >= LEAST_SHARE)
 
     found = _once(_once(held, votes), lambda v: _once(_runs(v), shares))

@@ -63,3 +63,24 @@ def test_every_notice_of_a_file_is_found(spark):
     docs = spark.createDataFrame([*plain, (100, " . ".join(n for _, n, _ in TEMPLATES))], "doc_id long, text string")
     labels = {r.doc_id: r.labels for r in scan_licenses(docs).collect()}
     assert labels[100] == ",".join(sorted({x for x, _, _ in TEMPLATES}))
+
+
+PRECISE = [
+    ("Licensed under the Creative Commons Attribution-ShareAlike license.", "cc-by-sa"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by"),
+    ("Text under a Creative Commons Attribution 4.0 International License; pictures licensed under the Creative Commons Attribution ShareAlike license.", "cc-by,cc-by-sa"),
+    ("// SPDX-License-Identifier: BSD-3-Clause", "bsd"),
+    ("# SPDX-License-Identifier: MIT", "mit"),
+    ("/* SPDX-License-Identifier: GPL-2.0-only */ then /* SPDX-License-Identifier: MIT */", "gpl,mit"),
+    ("made available under the terms of the Eclipse Public License v2.0", "epl"),
+    ("The committee may grant a license to use the hall without a fee, and all members have rights to it.", ""),
+    ("A public license of this kind is free; the terms of the agreement are under review.", ""),
+    ("Permission was granted free of charge to visitors.", ""),
+]
+
+
+def test_one_label_a_place(spark):
+    plain = [(100 + k, f"plain{k} text of the work in use") for k in range(20)]
+    docs = spark.createDataFrame([*plain, *[(k, t) for k, (t, _) in enumerate(PRECISE)]], "doc_id long, text string")
+    labels = {r.doc_id: r.labels for r in scan_licenses(docs).collect()}
+    assert [labels[k] for k in range(len(PRECISE))] == [x for _, x in PRECISE]
