@@ -331,27 +331,46 @@ def p40(spark, d):
     return shift_null_counts(cells_emb(spark, d), 0, 1, W, r_max=100.0, bins=4, sims=19, seed=5)
 
 
-@query(
-    "p40_label_null",
-    f"""WITH {PAIRS}, u AS (SELECT cell_id, type_id FROM cells WHERE type_id IN (0, 1)),
+_LABEL_NULL = f"""WITH {PAIRS}, u AS (SELECT cell_id, type_id FROM cells WHERE type_id IN (0, 1)),
     o AS (SELECT s AS sim, cell_id, row_number() OVER (PARTITION BY s ORDER BY md5('6-' || s || '-' || cell_id), cell_id) AS k FROM u, range(1, 20) r(s)),
     l AS (SELECT sim, cell_id, k <= (SELECT count(*) FROM u WHERE type_id = 0) AS is_a FROM o UNION ALL SELECT 0, cell_id, type_id = 0 FROM u),
     p AS (SELECT a.sim, least(floor(sqrt(d2)/25.0), 3)::INT AS r FROM pairs JOIN l a ON a.cell_id = i AND a.is_a JOIN l b ON b.sim = a.sim AND b.cell_id = j AND NOT b.is_a
       WHERE ta IN (0, 1) AND tb IN (0, 1) AND d2 < 10000.0)
-    SELECT s::INT AS curve, q::INT AS r, count(p.r) AS pairs FROM range(20) x(s) CROSS JOIN range(4) y(q) LEFT JOIN p ON p.sim = s AND p.r = q GROUP BY 1,2""",
-)
+    SELECT s::INT AS curve, q::INT AS r, count(p.r) AS pairs FROM range(20) x(s) CROSS JOIN range(4) y(q) LEFT JOIN p ON p.sim = s AND p.r = q GROUP BY 1,2"""
+
+
+@query("p40_label_null", _LABEL_NULL)
 def p40l(spark, d):
     from pointloom.operators.inference import label_null_counts
 
     return label_null_counts(cells_emb(spark, d), 0, 1, r_max=100.0, bins=4, sims=19, seed=6)
 
 
-@query("p40_pcf_envelope")
+def _envelope_sql(counts: str, curves: int, drop: int) -> str:
+    """Rank envelope of the counts' curves: keys of sorted two-sided ranks, hull without the ``drop`` smallest."""
+    return f"""WITH counts AS ({counts}),
+    k AS (SELECT curve, r, pairs::DOUBLE AS v, least(rank() OVER (PARTITION BY r ORDER BY pairs), rank() OVER (PARTITION BY r ORDER BY pairs DESC)) AS rk FROM counts),
+    e AS (SELECT curve, list(rk ORDER BY rk) AS key FROM k GROUP BY 1),
+    o AS (SELECT *, row_number() OVER (ORDER BY key, curve) AS n FROM e),
+    p AS (SELECT count(*) FILTER (key <= (SELECT key FROM o WHERE curve = 0)) / {curves}.0 AS p FROM o)
+    SELECT r, min(v) FILTER (n > {drop}) AS lo, max(v) FILTER (n > {drop}) AS hi, max(v) FILTER (curve = 0) AS observed, {r6('any_value(p)')} AS p
+    FROM k JOIN o USING (curve), p GROUP BY r"""
+
+
+@query("p40_pcf_envelope", _envelope_sql(shifted_sql(), 20, 2))
 def p40e(spark, d):
     from pointloom.operators.inference import rank_envelope, shift_null_counts
 
     counts = shift_null_counts(cells_emb(spark, d), 0, 1, W, r_max=100.0, bins=4, sims=19, seed=5)
-    return rank_envelope(counts.select("curve", "r", F.col("pairs").cast("double").alias("v")), curves=20, alpha=0.1)
+    return rounded(rank_envelope(counts.select("curve", "r", F.col("pairs").cast("double").alias("v")), curves=20, alpha=0.1), "p")
+
+
+@query("p40_label_envelope", _envelope_sql(_LABEL_NULL, 20, 2))
+def p40le(spark, d):
+    from pointloom.operators.inference import label_null_counts, rank_envelope
+
+    counts = label_null_counts(cells_emb(spark, d), 0, 1, r_max=100.0, bins=4, sims=19, seed=6)
+    return rounded(rank_envelope(counts.select("curve", "r", F.col("pairs").cast("double").alias("v")), curves=20, alpha=0.1), "p")
 
 
 _ORD_BOX = WINDOW_ORD

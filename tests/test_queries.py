@@ -76,7 +76,6 @@ HOLDS = {
     "p33_colocation_modes": [lambda f: np.allclose(f.groupby("mode").loading.apply(lambda x: (x**2).sum()), 1, atol=1e-3), lambda f: abs(f.groupby("mode").value.first().sum() - 3) < 1e-3],
     "p34_mode_projection": [per("mode", 1024)],
     "p38_spectrum_envelope": [ordered("lo", "hi"), lambda f: f.p.between(0, 1).all()],
-    "p40_pcf_envelope": [ordered("lo", "hi"), lambda f: f.p.between(0, 1).all()],
     "p41_block_bootstrap": [ordered("lo", "hi"), lambda f: (f.g >= 0).all()],
     "s20_store_dataset": [lambda f: len(f) == 300 and f.row.is_unique, lambda f: np.allclose(f[[f"s{k}" for k in range(5)]].mean(), 0, atol=1e-4), lambda f: (np.diff(f[[f"s{k}" for k in range(5)]].var()) <= 1e-6).all()],
     "s24_escape_time": [lambda f: f.n.between(0, 32).all() and len(f) == 48 * 32 and f.n.nunique() > 5],
