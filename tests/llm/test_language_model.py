@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from pointloom.llm import language_model
-from pointloom.llm.language_model import CLASSES, CONTEXT, LogBilinear, score_texts, train
+from pointloom.llm.language_model import ADD, CLASSES, CONTEXT, WIDTH, Classes, Inside, LogBilinear, score_texts, train
 
 
 def rows():
@@ -53,14 +53,22 @@ def test_base_equals_brute_force(spark, monkeypatch, head):
 
 
 def test_scores_do_not_depend_on_the_size_of_the_head(spark, monkeypatch):
-    """Rarer tokens meet their counts in a join instead of the head; the words that are classes are the same."""
+    """Rarer tokens meet their counts in a join instead of the head; the words that are classes or leaves are the same."""
     monkeypatch.setattr(language_model, "WORDS", 5)
+    monkeypatch.setattr(language_model, "GROWTH", 1)
     whole = {(r.doc_id, r.n_tokens): r.score for r in score_texts(table(spark, rows())).collect()}
     monkeypatch.setattr(language_model, "HEAD", 40)
     small = {(r.doc_id, r.n_tokens): r.score for r in score_texts(table(spark, rows())).collect()}
     assert whole.keys() == small.keys() and all(abs(whole[k] - small[k]) < 1e-3 * abs(whole[k]) for k in whole)
 
 
+def kinds(leaf_count, sizes=None):
+    """Classes of so many leaves (one, unless told) with these counts; no token of them is known."""
+    sizes = np.ones(CLASSES, int) if sizes is None else sizes
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    return Classes({}, {}, first, np.repeat(np.arange(CLASSES), sizes), np.asarray(leaf_count, float), leaf_count[first[:-1]], np.ones(CLASSES))
+
+
 def chain(rng, n):
     """Classes of which each depends on the one three places before it."""
     jump = rng.dirichlet(np.full(40, 0.05), 40)
@@ -74,11 +82,11 @@ def test_log_probabilities_are_normalised_and_learn_from_three_places(spark):
     rng = np.random.default_rng(1)
     line = chain(rng, 60_000)
     places = np.arange(CONTEXT, len(line))
-    unigram = np.bincount(line[places], minlength=CLASSES) + 0.1
-    unigram = unigram / unigram.sum()
-    rows_ = [(bytearray(line.astype("<u1").tobytes()), bytearray(places.astype("<u4").tobytes()))]
+    classes = kinds(np.bincount(line[places], minlength=CLASSES))
+    unigram = classes.unigram()
+    rows_ = [(bytearray(line.astype("<u2").tobytes()), bytearray(places.astype("<u4").tobytes()))]
     frame = spark.createDataFrame(rows_ * 6, "line binary, places binary").coalesce(1)
-    model = train(frame, unigram)
+    model, _ = train(frame, classes)
     some = places[:50]
     total = np.zeros(50)
     for t in range(CLASSES):
@@ -109,7 +117,7 @@ def test_gradient_of_the_objective(monkeypatch):
 
     state = [0, 0.0, 0.0]
     before = model.flat.copy()
-    model.improve(line, places, unigram, noise_rng, 1e-9, state)
+    list(model.improve(line, places, unigram, noise_rng, 1e-9, state))
     g = state[1] / 0.1
     for k in rng.choice(np.nonzero(np.abs(g) > 1e-3)[0], 12, replace=False):
         up, down = before.astype(float), before.astype(float)
@@ -118,6 +126,49 @@ def test_gradient_of_the_objective(monkeypatch):
         assert (objective(up) - objective(down)) / 2e-2 == pytest.approx(g[k], rel=0.05, abs=2e-4)
 
 
+def leafy(rng):
+    sizes = np.ones(CLASSES, int)
+    sizes[[1, 5]] = 7, 3
+    classes = kinds(rng.integers(1, 50, sizes.sum()), sizes)
+    inside = Inside(classes, rng.normal(0, 0.4, sizes.sum() * (WIDTH + 1)))
+    return classes, inside
+
+
+def test_leaves_of_each_class_are_normalised():
+    rng = np.random.default_rng(3)
+    classes, inside = leafy(rng)
+    hidden, n = rng.normal(size=(4, WIDTH)).astype(np.float32), len(classes.of_leaf)
+    for k in range(4):
+        sums = np.bincount(classes.of_leaf, np.exp(inside.log(hidden, np.full(n, k), np.arange(n))))
+        assert np.allclose(sums, 1, atol=1e-5)
+    fresh = Inside(classes)  # as it begins: by the counts
+    want = (classes.leaf_count + ADD) / np.bincount(classes.of_leaf, classes.leaf_count + ADD)[classes.of_leaf]
+    assert np.allclose(np.exp(fresh.log(hidden, np.zeros(n, int), np.arange(n))), want, atol=1e-5)
+
+
+def test_leaves_learn_what_their_context_says():
+    """Two contexts, each with leaves of its own in class 1; the noise of an example comes from its class."""
+    rng = np.random.default_rng(4)
+    classes, _ = leafy(rng)
+    inside, hidden = Inside(classes), np.eye(WIDTH, dtype=np.float32)[rng.integers(0, 2, 40_000)]
+    leaf = 1 + np.where(hidden[:, 0] > 0, rng.integers(0, 3, 40_000), 3 + rng.integers(0, 4, 40_000))
+    for at in range(0, 40_000, 1000):
+        inside.learn(hidden[at : at + 1000], leaf[at : at + 1000], rng, 0.1)
+    for _ in range(20):
+        inside.learn(hidden, leaf, rng, 0.1)
+    found = np.exp(inside.log(np.eye(WIDTH, dtype=np.float32)[:2], np.repeat([0, 1], 7), np.tile(np.arange(1, 8), 2))).reshape(2, 7)
+    assert found[0, :3].sum() > 0.9 and found[1, 3:].sum() > 0.9
+    begun = Inside(classes)
+    assert np.array_equal(inside.b[8:12], begun.b[8:12])  # leaves of other classes were no noise
+
+
+def test_copies_are_summed_whatever_their_number(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "FAN", 3)
+    rows_ = [(t, p, t + 1, bytearray(np.full(4, t * 10.0 + p).tobytes())) for t in range(10) for p in range(2)]
+    n, flat = language_model._summed(spark.createDataFrame(rows_, "task long, piece long, n long, part binary"))
+    assert n == 55 and flat.tolist() == [450.0] * 4 + [460.0] * 4
+
+
 def test_model_beats_the_base_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = [r for r in score_texts(docs).collect() if r.held_out and r.n_tokens > 50]
