@@ -29,7 +29,7 @@ from pointloom.llm.common import fold_texts, fresh, held_out, map_texts, one_thr
 HEAD, HEAD_BYTES = 1 << 18, 64
 #: Classes: 0 is the end (and what stands before a text), 1 all other tokens, then the commonest words, then the
 #: commonest endings of the other tokens (their last two bytes).
-WORDS, ENDINGS = 78, 48
+WORDS, ENDINGS = 78, 112
 CLASSES = 2 + WORDS + ENDINGS
 #: Words that are leaves: so many for each square root of the number of distinct tokens, at most ``LEAVES`` (with the
 #: classes, they are numbered by 16 bits); all further words share the last leaf of their class.
