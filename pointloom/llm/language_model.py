@@ -169,6 +169,16 @@ def class_lines(docs: DataFrame, classes: Classes, *, id_col: str, text_col: str
     return fold_texts(rows, text_col, "line binary, places binary", start, extra=[train])
 
 
+def log_shares(hidden: np.ndarray, q: np.ndarray, b: np.ndarray, row: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log probabilities of targets in the contexts ``hidden[row]``, normalised over all rows of ``q``."""
+    score = hidden @ q.T
+    score += b
+    np.minimum(score, np.float32(80), out=score)  # its sum of exponentials is finite
+    found = score[row, target]
+    np.exp(score, out=score)
+    return found - np.log(score.sum(1))[row]
+
+
 class LogBilinear:
     """score(t after c1, c2, c3) = (sum of r[ci] M[i]) . q[t] + b[t]; the parameters are one flat array."""
 
@@ -192,19 +202,18 @@ class LogBilinear:
         key = np.zeros(len(places), np.int64)
         for i in range(CONTEXT):
             key = key * CLASSES + line[places - 1 - i]
-        keys, which = np.unique(key, return_inverse=True)
-        out, order = np.zeros(len(places)), np.argsort(which, kind="stable")
-        ends, parts, target = np.searchsorted(which[order], np.arange(0, len(keys), 4096)), self.contexts(), line[places]
-        for n, lo in enumerate(range(0, len(keys), 4096)):
-            some = keys[lo : lo + 4096]
-            hidden = sum(parts[CONTEXT - 1 - i][some // CLASSES**i % CLASSES] for i in range(CONTEXT))
-            score = np.minimum(hidden @ self.q.T + self.b, np.float32(80))  # whose sum of exponentials is finite
-            total = np.log(np.exp(score).sum(1))
-            mine = order[ends[n] : ends[n + 1] if n + 1 < len(ends) else len(order)]
-            row = which[mine] - lo
-            out[mine] = score[row, target[mine]] - total[row]
-            if inside:
-                out[mine] += inside.log(hidden, row, leaves[places[mine]])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.diff(key, prepend=-1) != 0
+        keys, starts, of_key = key[new], np.append(np.nonzero(new)[0], len(key)), np.cumsum(new) - 1
+        parts, target, out = self.contexts(), line[places[order]], np.zeros(len(places))
+        hidden = sum(parts[CONTEXT - 1 - i][keys // CLASSES**i % CLASSES] for i in range(CONTEXT))
+        for lo in range(0, len(keys), 2048):
+            hi = min(lo + 2048, len(keys))
+            begin, end = starts[lo], starts[hi]
+            out[order[begin:end]] = log_shares(hidden[lo:hi], self.q, self.b, of_key[begin:end] - lo, target[begin:end])
+        if inside:
+            out[order] += inside.log(hidden, of_key, leaves[places[order]])
         return out / np.log(10)
 
     def improve(self, line: np.ndarray, places: np.ndarray, unigram: np.ndarray, rng: np.random.Generator, rate: float, state: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -262,11 +271,10 @@ class Inside:
         ends = np.searchsorted(of[order], np.arange(CLASSES + 1))
         for c in np.nonzero((np.diff(ends) > 0) & (np.diff(self.classes.first) > 1))[0]:
             lo, hi = self.classes.first[c], self.classes.first[c + 1]
-            step = max(1, (1 << 20) // (hi - lo))
+            step = max(1, (1 << 18) // (hi - lo))
             for at in range(ends[c], ends[c + 1], step):
                 some = order[at : min(at + step, ends[c + 1])]
-                score = np.minimum(hidden[row[some]] @ self.q[lo:hi].T + self.b[lo:hi], np.float32(80))
-                out[some] = score[np.arange(len(some)), leaf[some] - lo] - np.log(np.exp(score).sum(1))
+                out[some] = log_shares(hidden[row[some]], self.q[lo:hi], self.b[lo:hi], np.arange(len(some)), leaf[some] - lo)
         return out
 
     def learn(self, hidden: np.ndarray, leaf: np.ndarray, rng: np.random.Generator, rate: float, *, last: bool = False) -> None:
@@ -410,6 +418,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         one_thread()
         s = shared.value
         get, rare = s.number.get, len(s.number)
+        leaf_of = np.append(s.classes.of(list(s.number)), 0)  # numbers are in order
 
         def work(texts):
             out = [[], [], [], []]
@@ -418,13 +427,14 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 words = space_words(text)
                 at = np.fromiter((get(w, rare) for w in words), np.int64, len(words))
                 logs, unknown = s.log_count[at], at == rare
-                line = s.classes.of(words)
+                line, others = leaf_of[at], np.nonzero(unknown)[0].tolist()
+                line[unknown] = s.classes.of([words[k] for k in others])
                 out[0].append(len(words) + 1)
                 out[1].append(len(words) - int(unknown.sum()) + s.end_known)
                 out[2].append(float(logs.sum()) - len(words) * s.base_all + s.base_end)
                 out[3].append(float(logs[s.shared[line]].sum() - s.among[line].sum()))
                 lines.append(line)
-                rest = Counter(words[k] for k in np.nonzero(unknown)[0].tolist())
+                rest = Counter(words[k] for k in others)
                 tail += rest
                 tail_n += rest.values()
                 ends.append(len(tail))
