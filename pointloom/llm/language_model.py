@@ -39,7 +39,7 @@ CONTEXT, WIDTH = 3, 16
 #: Examples of a batch, noise classes drawn for it; rounds, each over its part of all lines; rate of the first round.
 BATCH, NOISE, ROUNDS, RATE = 1024, 32, 4, 0.01
 #: The same for leaves: examples, noise leaves for each of them, rate.
-LEAF_BATCH, LEAF_NOISE, LEAF_RATE = 8192, 4, 0.03
+LEAF_BATCH, LEAF_NOISE, LEAF_RATE = 8192, 2, 0.03
 #: Numbers of a piece in which a copy of the parameters is passed on; copies that are summed at once.
 PIECE, FAN = 8192, 256
 #: Distinct tokens that a task counts before it passes them on.
