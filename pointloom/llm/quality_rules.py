@@ -200,11 +200,11 @@ def measures(docs: DataFrame, *, keep: Sequence[str], text_col: str = "text", pr
     df = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(text))
     df = df.withColumns({words: word_array(F.col(text)), lines: line_array(F.col(text)), rows: line_rows(F.col(text))})
     zero = F.lit(0).cast("long")
-    # bound, so that it is not worked out again for each line
+    # both bound, so that they are not worked out again for each line, also where a filter takes in what they stand for
     lost = _bound(
-        has_boilerplate(F.col(text)),
-        lambda b: F.aggregate(
-            F.transform(rows, lambda x, i: F.when(line_fails(F.col(rows), i, b), F.length(x["l"])).otherwise(0)), zero, lambda a, n: a + n
+        F.struct(F.col(rows).alias("r"), has_boilerplate(F.col(text)).alias("b")),
+        lambda v: F.aggregate(
+            F.transform(v["r"], lambda x, i: F.when(line_fails(v["r"], i, v["b"]), F.length(x["l"])).otherwise(0)), zero, lambda a, n: a + n
         ),
     )
     df = df.select(
@@ -239,8 +239,12 @@ def keep_good(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     prefix = fresh([c[: len("q__")] for c in docs.columns], "q__")
     found = measures(docs, keep=docs.columns, text_col=text_col, prefix=prefix)
     text = F.col(f"`{text_col}`")
-    left = F.when(F.col(prefix + "lost_chars") > 0, cleaned(text)).otherwise(text).alias(text_col)
-    return found.where(F.col(prefix + "kept")).select(*[left if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    left = F.when(F.col(prefix + "lost_chars") > 0, cleaned(text)).otherwise(text)
+    # no filter: it would move below the figures and work them out once more
+    one = F.when(F.col(prefix + "kept"), F.array(left)).otherwise(F.array().cast("array<string>"))
+    name = fresh([*docs.columns, *found.columns], "left__")
+    kept = found.select(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.explode(one).alias(name))
+    return kept.select(*[F.col(name).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 #: DuckDB SQL of ``judged`` over ``{docs}``; doc_id is taken to be unique.
