@@ -26,7 +26,7 @@ from pointloom.llm.common import Generations, fresh, slices, spread, strings
 
 MARK = "▁"
 #: Words in a generation of a task's cache; two generations are kept. Text bytes that are encoded at once.
-CACHE, CHUNK = 1 << 19, 4 << 20
+CACHE, CHUNK = 1 << 18, 1 << 20
 #: By how much spelling a character scores below the least piece.
 SPELLED = 10.0
 _RUNS = re.compile(r" +[^ ]*")
@@ -225,9 +225,19 @@ def encoded_digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     A null text is the empty one, which has no pieces.
     """
+    path = default_model()
     rows = docs.select(F.col(f"`{id_col}`"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("hash__"), F.col(f"`{text_col}`").alias("text__"))
-    ids = encode_pieces(rows, keep=[id_col, "hash__"], text_col="text__", name="ids__")
-    both = decode_pieces(ids, keep=[id_col, "hash__", "ids__"], ids_col="ids__", name="back__")
+    schema = T.StructType([rows.schema[id_col], rows.schema["hash__"], T.StructField("ids__", T.BinaryType()), T.StructField("back__", T.StringType())])
+
+    def run(batches):
+        # one worker a task for both ways: each holds the model
+        codec = model(path)
+        for part in slices(batches, "text__", CHUNK):
+            ids = codec.encode(part.column("text__"))
+            back = pa.array([codec.decode(x) for x in ids.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([part.column(id_col), part.column("hash__"), ids, back], names=schema.names)
+
+    both = rows.mapInArrow(run, schema)
     return both.select(
         id_col,
         (F.octet_length("ids__") / 4).cast("long").alias("n_pieces"),

@@ -120,3 +120,9 @@ def test_pipeline_columns_and_empty_table(docs):
     out = tokenized(docs)
     assert out.columns == ["doc_id", "text", "ids", "n_pieces", "piece_ids", "_n_pieces"]
     assert encoded_digest(docs.limit(0)).count() == 0
+
+
+def test_digest_takes_one_worker_a_task(docs, capsys):
+    """Encoding and decoding in two steps keeps two Python workers with a model each for a task."""
+    encoded_digest(docs).explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
