@@ -155,12 +155,21 @@ def _ramps_sql() -> str:
 @query("v1_ramps", _ramps_sql())
 def v1r(spark, d):
     """Signed and unsigned ramps of a part's size, its chroma drawn in until the colour can be shown."""
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"))
-    ramps = [("diverging", X.diverging((F.col("size") - 25.5) / 24.5)), ("sequential", X.sequential(F.col("size") / 50.0, X.categorical_hue(F.col("k") % 12, 12)))]
-    rows = part.select("k", F.inline(F.array(*[F.struct(F.lit(n).alias("ramp"), *[v.alias(c) for v, c in zip(lch, ("li", "c", "h"), strict=True)]) for n, lch in ramps])))
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"), (F.col("p_partkey") % 12).alias("hue"))
+    return rounded(ramp_colours(part), "chroma", "r", "g", "b", digits=5)
+
+
+def ramp_colours(part):
+    """k, ramp, chroma, r, g, b of parts (k, size, hue). Colours are found once for each size and hue, however many
+    parts have them: the bisection of a chroma is some thousand operations."""
+    seen = part.select(F.col("size").alias("of_size"), F.col("hue").alias("of_hue")).distinct()
+    ramps = [("diverging", X.diverging((F.col("of_size") - 25.5) / 24.5)), ("sequential", X.sequential(F.col("of_size") / 50.0, X.categorical_hue(F.col("of_hue"), 12)))]
+    rows = seen.select("of_size", "of_hue", F.inline(F.array(*[F.struct(F.lit(n).alias("ramp"), *[v.alias(c) for v, c in zip(lch, ("li", "c", "h"), strict=True)]) for n, lch in ramps])))
     rows = rows.withColumn("chroma", X.gamut_chroma(F.col("li"), F.col("c"), F.col("h")))
     rgb = X.oklch_to_srgb(F.col("li"), F.col("chroma"), F.col("h"))
-    return rounded(rows.select("k", "ramp", "chroma", *[v.alias(n) for n, v in zip("rgb", rgb, strict=True)]), "chroma", "r", "g", "b", digits=5)
+    colours = rows.groupBy("of_size", "of_hue").agg(F.collect_list(F.struct("ramp", "chroma", *[v.alias(n) for n, v in zip("rgb", rgb, strict=True)])).alias("colours"))
+    same = F.col("size").eqNullSafe(F.col("of_size")) & F.col("hue").eqNullSafe(F.col("of_hue"))
+    return part.join(colours, same).select("k", F.inline("colours"))
 
 
 @query("s20_subsample", "SELECT vec_id AS row FROM embeddings ORDER BY md5('1-' || vec_id) LIMIT 300")
