@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import log2
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointloom.operators.graphs import components
@@ -105,6 +105,47 @@ def component_deaths(points: DataFrame, radius: float, *, keys: Sequence[str] =
     return forest.join(named, "i").select(*keys, "i", "j", F.col("d").alias("death"))
 
 
+def pieces_at(points: DataFrame, radius: float, key: str) -> DataFrame:
+    """key, n: components of each key's points (cell_id, x, y) linked up to a radius (inclusive).
+
+    Points of one bucket whose diagonal is below the radius are linked, so buckets are the nodes. Two buckets are linked if
+    any of their points are: tried first for the extreme points of each in eight directions, then for all points of those
+    pairs of buckets that are in different components still. So links between crowded buckets are not made.
+    """
+    points = points.select(key, "cell_id", "x", "y")
+    placed = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf")) & F.col(key).isNotNull()
+    alone = points.where(~F.coalesce(placed, F.lit(False))).groupBy(key).agg(F.count("*").alias("n"))
+    node = F.min("cell_id").over(Window.partitionBy(key, "b_x", "b_y"))
+    own = stored(bucketed(points.where(placed), radius * (2**-0.5 - 1e-6)).withColumn("node", node))
+    ways = [F.col("x"), F.col("y"), F.col("x") + F.col("y"), F.col("x") - F.col("y")]
+    ends = own.groupBy(key, "node", "b_x", "b_y").agg(F.array(*[f(F.struct("x", "y"), w) for w in ways for f in (F.max_by, F.min_by)]).alias("ends"))
+    ends = ends.select(key, "node", "b_x", "b_y", F.inline(F.array_distinct("ends")))
+
+    def linked(side: DataFrame) -> DataFrame:
+        steps = F.explode(F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u in range(-2, 3) for v in range(-2, 3)])).alias("s")
+        a = side.select(F.col(key).alias("k"), F.col("node").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"), *[F.col(c).alias(f"a_{c}") for c in side.columns if c == "root"], "b_x", "b_y", steps)
+        a = a.withColumns({"k_x": F.col("b_x") + F.col("s.u"), "k_y": F.col("b_y") + F.col("s.v")}).drop("b_x", "b_y", "s")
+        on = (F.col("k") == F.col(key)) & (F.col("k_x") == F.col("b_x")) & (F.col("k_y") == F.col("b_y")) & (F.col("i") < F.col("node"))
+        if "root" in side.columns:
+            on = on & (F.col("a_root") != F.col("root"))
+        d2 = (F.col("x") - F.col("ax")) * (F.col("x") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("y") - F.col("ay"))
+        return a.join(side, on).where(d2 <= radius * radius).select("i", F.col("node").alias("j")).distinct()
+
+    first = stored(components(own.select("node"), linked(ends)))
+    split = own.join(first, "node").select(key, "node", "x", "y", "b_x", "b_y", "root")
+    # buckets around which there is one component only need no second look
+    around = split.select(key, "b_x", "b_y", "root").distinct()
+    steps = F.explode(F.array(*[F.struct(F.lit(u).alias("u"), F.lit(v).alias("v")) for u in range(-2, 3) for v in range(-2, 3)])).alias("s")
+    around = around.select(key, "root", "b_x", "b_y", steps).withColumns({"b_x": F.col("b_x") + F.col("s.u"), "b_y": F.col("b_y") + F.col("s.v")})
+    mixed = around.groupBy(key, "b_x", "b_y").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select(key, "b_x", "b_y")
+    more = linked(split.join(mixed, [key, "b_x", "b_y"], "left_semi")).select(F.col("i").alias("node"), "j")
+    name = first.select(F.col("node").alias("j"), F.col("root").alias("to"))
+    more = more.join(first, "node").join(name, "j").select(F.col("root").alias("i"), F.col("to").alias("j"))
+    roots = components(first.select(F.col("root").alias("node")), more).where("node = root").select("node")
+    pieces = own.select(key, F.col("cell_id").alias("node")).join(roots, "node").groupBy(key).agg(F.count("*").alias("n"))
+    return pieces.unionByName(alone).groupBy(key).agg(F.sum("n").alias("n"))
+
+
 def component_counts(points: DataFrame, deaths: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
     """(keys,) scale, n: how many components there are from each scale on, beginning with all points at 0."""
     all_points = points.groupBy(*keys).agg(F.count("*").alias("points"))

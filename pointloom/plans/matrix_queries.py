@@ -9,8 +9,6 @@ from pointloom.operators import forest as O
 from pointloom.operators import layout as L
 from pointloom.operators import manifold as M
 from pointloom.operators import topology as T
-from pointloom.operators.graphs import components
-from pointloom.operators.neighbors import neighbour_join
 from pointloom.plans.point_queries import PAIRS
 from pointloom.plans.registry import CELLS, query, r6, rounded
 from pointloom.sources.tables import cells_emb, features, grid_q
@@ -211,11 +209,8 @@ def t6n(spark, d):
     SELECT c.type_id, count(DISTINCT m) AS n FROM (SELECT a, min(b) AS m FROM reach GROUP BY 1) JOIN cells c ON c.cell_id = a GROUP BY 1""",
 )
 def t6c(spark, d):
-    """Pieces of each type's points linked within 60: counted from the links alone, without a complex."""
-    cells = cells_emb(spark, d)
-    links = neighbour_join(cells, cells, 60.0, keys=("type_id",), inclusive=True)
-    roots = components(cells.select(F.col("cell_id").alias("node")), links.select(F.col("a_cell_id").alias("i"), F.col("c_cell_id").alias("j")))
-    return roots.where("node = root").join(cells, roots["node"] == cells["cell_id"]).groupBy("type_id").agg(F.count("*").alias("n"))
+    """Pieces of each type's points linked within 60: counted from links of buckets, without a complex."""
+    return O.pieces_at(cells_emb(spark, d), 60.0, "type_id")
 
 
 def _fields(spark, d):
