@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ CONTEXT, WIDTH = 3, 16
 BATCH, NOISE, ROUNDS, RATE = 1024, 32, 4, 0.01
 #: The same for leaves: examples, noise leaves for each of them, rate.
 LEAF_BATCH, LEAF_NOISE, LEAF_RATE = 8192, 2, 0.03
+#: Contexts that are scored at once, so that their scores stay in the cache.
+CONTEXTS = 512
 #: Numbers of a piece in which a copy of the parameters is passed on; copies that are summed at once.
 PIECE, FAN = 8192, 256
 #: Distinct tokens that a task counts before it passes them on.
@@ -101,8 +104,10 @@ class Classes:
     distinct: np.ndarray
 
     def of(self, tokens: list[bytes]) -> np.ndarray:
-        word, ending = self.words.get, self.endings.get
-        return np.fromiter((word(t) or ending(t[-2:], 1) for t in tokens), np.int64, len(tokens))
+        found = np.fromiter(map(self.words.get, tokens, repeat(0)), np.int64, len(tokens))
+        others, ending = np.nonzero(found == 0)[0].tolist(), self.endings.get  # leaf 0 is the end, of no token
+        found[others] = [ending(tokens[k][-2:], 1) for k in others]
+        return found
 
     def unigram(self) -> np.ndarray:
         """Shares of the classes."""
@@ -173,7 +178,8 @@ def log_shares(hidden: np.ndarray, q: np.ndarray, b: np.ndarray, row: np.ndarray
     """Log probabilities of targets in the contexts ``hidden[row]``, normalised over all rows of ``q``."""
     score = hidden @ q.T
     score += b
-    np.minimum(score, np.float32(80), out=score)  # its sum of exponentials is finite
+    if np.sqrt((hidden**2).sum(1).max(initial=0) * (q**2).sum(1).max()) + b.max() > 79:
+        np.minimum(score, np.float32(80), out=score)  # its sum of exponentials is finite
     found = score[row, target]
     np.exp(score, out=score)
     return found - np.log(score.sum(1))[row]
@@ -208,8 +214,8 @@ class LogBilinear:
         keys, starts, of_key = key[new], np.append(np.nonzero(new)[0], len(key)), np.cumsum(new) - 1
         parts, target, out = self.contexts(), line[places[order]], np.zeros(len(places))
         hidden = sum(parts[CONTEXT - 1 - i][keys // CLASSES**i % CLASSES] for i in range(CONTEXT))
-        for lo in range(0, len(keys), 2048):
-            hi = min(lo + 2048, len(keys))
+        for lo in range(0, len(keys), CONTEXTS):
+            hi = min(lo + CONTEXTS, len(keys))
             begin, end = starts[lo], starts[hi]
             out[order[begin:end]] = log_shares(hidden[lo:hi], self.q, self.b, of_key[begin:end] - lo, target[begin:end])
         if inside:
@@ -274,7 +280,8 @@ class Inside:
             step = max(1, (1 << 18) // (hi - lo))
             for at in range(ends[c], ends[c + 1], step):
                 some = order[at : min(at + step, ends[c + 1])]
-                out[some] = log_shares(hidden[row[some]], self.q[lo:hi], self.b[lo:hi], np.arange(len(some)), leaf[some] - lo)
+                new = np.diff(row[some], prepend=-1) != 0  # equal contexts stand together
+                out[some] = log_shares(hidden[row[some[new]]], self.q[lo:hi], self.b[lo:hi], np.cumsum(new) - 1, leaf[some] - lo)
         return out
 
     def learn(self, hidden: np.ndarray, leaf: np.ndarray, rng: np.random.Generator, rate: float, *, last: bool = False) -> None:
@@ -425,16 +432,17 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             tail, tail_n, ends, lines = [], [], [0], []
             for text in texts:
                 words = space_words(text)
-                at = np.fromiter((get(w, rare) for w in words), np.int64, len(words))
+                at = np.fromiter(map(get, words, repeat(rare)), np.int64, len(words))
                 logs, unknown = s.log_count[at], at == rare
                 line, others = leaf_of[at], np.nonzero(unknown)[0].tolist()
-                line[unknown] = s.classes.of([words[k] for k in others])
+                few = [words[k] for k in others]
+                line[unknown] = s.classes.of(few)
                 out[0].append(len(words) + 1)
                 out[1].append(len(words) - int(unknown.sum()) + s.end_known)
                 out[2].append(float(logs.sum()) - len(words) * s.base_all + s.base_end)
                 out[3].append(float(logs[s.shared[line]].sum() - s.among[line].sum()))
                 lines.append(line)
-                rest = Counter(words[k] for k in others)
+                rest = Counter(few)
                 tail += rest
                 tail_n += rest.values()
                 ends.append(len(tail))

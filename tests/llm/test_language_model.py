@@ -182,3 +182,21 @@ def test_empty_and_untrained(spark):
     row = score_texts(table(spark, [(lone, "a b")])).collect()[0]
     assert (row.n_known, row.train_tokens) == (0, 0) and row.base_score == pytest.approx(0.0)
     assert CLASSES > 2
+
+
+def test_a_context_is_scored_once_a_class(monkeypatch):
+    """Of leaves of one class in equal contexts the denominator is found once, and the values are those of each alone."""
+    first = np.concatenate([[0, 1], 4 + np.arange(CLASSES - 1)])  # class 1 has three leaves
+    of_leaf = np.repeat(np.arange(CLASSES), np.diff(first))
+    classes = Classes({}, {}, first, of_leaf, np.ones(len(of_leaf)), np.ones(CLASSES), np.ones(CLASSES))
+    inside = Inside(classes)
+    rng = np.random.default_rng(6)
+    inside.flat[:] = rng.normal(size=len(inside.flat))
+    hidden = rng.normal(size=(2, WIDTH)).astype(np.float32)
+    row, leaf = np.repeat([0, 1], 50), 1 + np.arange(100) % 3
+    asked, shares = [], language_model.log_shares
+    monkeypatch.setattr(language_model, "log_shares", lambda h, *a: asked.append(len(h)) or shares(h, *a))
+    got = inside.log(hidden, row, leaf)
+    score = hidden @ inside.q[1:4].T + inside.b[1:4]
+    assert np.allclose(got, score[row, leaf - 1] - np.log(np.exp(score).sum(1))[row], atol=1e-5)
+    assert asked == [2]
