@@ -9,6 +9,7 @@ from pointloom.operators import forest as O
 from pointloom.operators import layout as L
 from pointloom.operators import manifold as M
 from pointloom.operators import topology as T
+from pointloom.operators.lineage import stored
 from pointloom.plans.point_queries import PAIRS
 from pointloom.plans.registry import CELLS, query, r6, rounded
 from pointloom.sources.tables import cells_emb, features, grid_q
@@ -91,8 +92,8 @@ def m9(spark, d):
 @query("m11_layout")
 def m11(spark, d):
     """The plane layout of the features' fuzzy graph: 200 epochs from drawn places."""
-    near = M.knn(features(spark, d), 14)
-    return rounded(L.layout(M.fuzzy_graph(near, M.smooth_knn(near, 14))), "x", "y", digits=3)
+    near = stored(M.knn(features(spark, d), 14))
+    return rounded(L.layout(stored(M.fuzzy_graph(near, M.smooth_knn(near, 14)))), "x", "y", digits=3)
 
 
 @query("m12_umap")
